@@ -144,7 +144,7 @@ VERDICT = T.StructType(
 
 def repair_backslashes(text) -> Column:
     r"""Double every backslash that does not start a JSON escape."""
-    return F.regexp_replace(col_of(text), r'\\(?![\\/"bfnrtu])', r"\\\\\\\\")
+    return F.regexp_replace(col_of(text), r'\\(?![\\/"bfnrtu])', r"\\\\")
 
 
 def parse_verdict(text, schema: T.StructType = VERDICT) -> Column:

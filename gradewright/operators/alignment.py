@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gradewright.functions.geometry import CORNERS, complete_corners, scale_matrix, transform_box
 from gradewright.functions.numeric import round_half_up
@@ -93,7 +94,7 @@ def page_transforms(tiers: DataFrame, references: DataFrame, keys: Sequence[str]
         F.when(usable, flat("r_")).alias("src"),
         F.when(usable, flat("")).alias("dst"),
     )
-    schema = ready.drop("src", "dst").schema.add("matrix", "array<double>")
+    schema = ready.drop("src", "dst").schema.add("matrix", T.ArrayType(T.DoubleType()))
     solved = ready.mapInPandas(_solve, schema)
     fits = F.col("matrix").isNotNull()
     return solved.select(

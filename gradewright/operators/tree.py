@@ -49,14 +49,13 @@ def result_tree(
             F.collect_list(F.struct(*order, F.struct(number, *fields).alias("q")))
         ).alias("_q")
     )
-    tree = exam_results.join(nested, keys, "left").withColumn(
-        "questions",
-        F.coalesce(F.transform("_q", lambda x: x["q"]), F.transform(F.slice("_q", 1, 0), lambda x: x["q"])),
-    )
+    nested = nested.select(*keys, F.transform("_q", lambda x: x["q"]).alias("questions"))
+    none = F.array().cast(nested.schema["questions"].dataType)
+    tree = exam_results.join(nested, keys, "left").withColumn("questions", F.coalesce("questions", none))
     if approvals is not None:
         one = [c for c in approvals.columns if c not in keys]
         tree = tree.join(approvals.select(*keys, F.struct(*one).alias("final_approval")), keys, "left")
-    return tree.drop("_q")
+    return tree
 
 
 def newest_first(exams: DataFrame, created: str = "created_at", tie: str = "exam_id") -> DataFrame:

@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 
 from gradewright.functions import collections as col_fns
 from gradewright.functions import numeric as num
-from gradewright.functions import probability, text
+from gradewright.functions import geometry, probability, text
 from gradewright.functions.similarity import agreement, is_fuzzy_match, rounded_similarity, similarity
-from gradewright.operators import changes, cohort, identity, judging, marks, paging, payload, readers, rubric
+from gradewright.operators import alignment, authoring, changes, cohort, identity, judging, marks, paging, payload
+from gradewright.operators import readers, requests, rubric
 from gradewright.operators import running as run
 from gradewright.operators import scoring, series, sheet, stages, tree
 from gradewright.plans import adapters as src
 from gradewright.session import table
-from gradewright.sources import archetypes
+from gradewright.settings import Thresholds
+from gradewright.sources import archetypes, scans
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -942,6 +944,15 @@ def islands(spark, sf):
     )
 
 
+@query
+def request_dedupe(spark, sf):
+    """Requests by user and kind, answers reused for a day."""
+    e = table(spark, sf, "events").withColumn("fingerprint", F.concat_ws("/", F.col("user_id").cast("string"), "event_type"))
+    day = Thresholds(request_ttl_seconds=86400)
+    out = requests.fresh_requests(e.select("fingerprint", "ts"), cfg=day)
+    return out.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
 @query
 def safe_numbers(spark, sf):
     """Numbers out of text fields: unreadable ones take the default."""
@@ -1040,3 +1051,141 @@ def allowed_letters(spark, sf):
     )
     legal = F.coalesce(F.array_join(F.array_sort(col_fns.allowed_letters(m)), ","), F.lit("any"))
     return p.select("p_partkey", legal.alias("allowed"))
+
+
+# ---- boxes, scans, alignment ------------------------------------------------
+
+
+def _boxes_of(df):
+    return F.struct(
+        (F.col("p_size") * 13.7 - 20).alias("x"), (F.col("p_partkey") % 1100 + 0.25).alias("y"),
+        (F.col("p_size") * 1.9).alias("w"), (F.col("p_partkey") % 37 - 2.5).alias("h"),
+    )
+
+
+@query
+def box_arithmetic(spark, sf):
+    """Boxes widened, clipped to the page, and without their border."""
+    p = table(spark, sf, "part")
+    box = _boxes_of(p)
+    parts = {"wide": geometry.expand_box(box), "clip": geometry.clip_box(box, F.lit(756), F.lit(1086)),
+             "inner": geometry.inset_box(box, F.lit(756), F.lit(1086))}
+    cols = [
+        F.coalesce(num.round_half_up(b[s], 2), F.lit(-999.0)).alias(f"{name}_{s}") for name, b in parts.items() for s in "xywh"
+    ]
+    return p.select("p_partkey", *cols)
+
+
+@query
+def number_region(spark, sf):
+    p = table(spark, sf, "part")
+    boxes = F.transform(
+        F.sequence(F.lit(0), F.lit(9)),
+        lambda i: col_fns.record(x=F.lit(430.0) + i * F.col("p_size"), y=F.lit(130.0) - i, w=F.lit(28.0), h=F.lit(34.0)),
+    )
+    r = geometry.number_region(boxes)
+    return p.select("p_partkey", *[r[s].alias(s) for s in "xywh"])
+
+
+@query
+def dark_shares(spark, sf):
+    """Texts as grey rasters 64 bytes wide: dark share of three boxes each."""
+    raw = F.encode("text", "UTF-8")
+    d = table(spark, sf, "documents").select("doc_id", raw.alias("data")).withColumn(
+        "height", F.floor(F.length("data") / 64).cast("int")
+    )
+    box = lambda key, x, y, w, h: F.struct(
+        F.lit(key).alias("key"), *[v.cast("double").alias(n) for n, v in zip("xywh", (x, y, w, h))]
+    )
+    whole = box("whole", F.lit(0), F.lit(0), F.lit(64), F.col("height"))
+    inner = box("inner", F.lit(10.5), F.lit(1), F.lit(30), F.lit(12))
+    tiny = box("tiny", F.lit(62), F.lit(0), F.lit(4), F.lit(6))
+    pages = d.where(F.col("height") > 0).select(
+        "doc_id", "height", F.lit(64).alias("width"), F.lit(1).alias("channels"), "data", F.array(whole, inner, tiny).alias("boxes")
+    )
+    out = scans.dark_shares(pages)
+    return out.select("doc_id", "key", num.round_half_up("ratio", 6).alias("ratio"), "is_blank")
+
+
+def _alignment(spark, sf):
+    """Every order is a scanned page: corners found with offsets, some missing."""
+    o = table(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    off = lambda a, m: ((k * a) % m).cast("double")
+    found = {
+        "TL": (off(3, 17) + 20, off(5, 13) + 22), "TR": (off(7, 19) + 1500, off(11, 11) + 25),
+        "BL": (off(13, 23) + 18, off(17, 29) + 2150), "BR": (off(19, 31) + 1505, off(23, 37) + 2160),
+    }
+    rows = [F.struct(F.lit(c).alias("corner"), x.alias("x"), y.alias("y")) for c, (x, y) in found.items()]
+    anchors = o.select(k.alias("page_id"), F.inline(F.array(*rows)))
+    # corner of pages 3, 6, 9.. (mod 12) is not found; pages 10 and 11 lose two
+    lost = (F.col("corner") == "BR") & (F.col("page_id") % 12).isin(3, 6, 9, 10, 11) | (
+        (F.col("corner") == "TL") & (F.col("page_id") % 12).isin(10, 11)
+    )
+    seen = alignment.corner_columns(anchors.where(~lost), ["page_id"])
+    pt = lambda x, y: F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"))
+    refs = o.select(
+        k.alias("page_id"), pt(11, 11).alias("TL"), pt(745, 11).alias("TR"), pt(11, 1075).alias("BL"), pt(745, 1075).alias("BR"),
+        F.lit(756).alias("page_width"), F.lit(1086).alias("page_height"), F.lit(1512).alias("scan_width"), F.lit(2172).alias("scan_height"),
+    )
+    return alignment.page_transforms(alignment.choose_tier(seen), refs, ["page_id"])
+
+
+@query
+def page_transforms(spark, sf):
+    """The mapped page corners must land on the found ones."""
+    t = _alignment(spark, sf)
+    box = F.struct(F.lit(11.0).alias("x"), F.lit(11.0).alias("y"), F.lit(734.0).alias("w"), F.lit(1064.0).alias("h"))
+    out = alignment.map_boxes(t.select("page_id", box.alias("box")), t, ["page_id"])
+    return out.select("page_id", "scan_box.*")
+
+
+@query
+def transform_report(spark, sf):
+    return alignment.transform_report(_alignment(spark, sf), ["page_id"])
+
+
+@query
+def pages_in_map(spark, sf):
+    """Student pages that the map of their exam knows (maps of one or two pages)."""
+    p = src.pages(spark, sf)
+    split = paging.split_pages(p, 2).withColumn("exam_id", F.col("batch_id") % 3)
+    maps = p.select((F.col("batch_id") % 3).alias("exam_id"), F.col("page_idx").alias("page_index")).distinct()
+    known = maps.where(F.col("page_index") <= F.least(F.col("exam_id"), F.lit(1)))
+    return paging.pages_in_map(split, known).select("batch_id", "student_idx", "page_idx", "exam_page_num")
+
+
+# ---- authoring --------------------------------------------------------------
+
+
+def _records(spark, sf):
+    key = src.answer_key(spark, sf).withColumns(
+        {
+            "question_text": F.when(F.col("q_num").cast("int") % 3 == 0, F.lit(None)).otherwise(F.col("correct_text")),
+            "points": F.lit(10.0), "penalty": F.lit(None).cast("double"), "item_count": F.lit(None).cast("int"), "n_options": F.lit(4),
+        }
+    )
+    return authoring.authoring_records(key)
+
+
+@query
+def authoring_records(spark, sf):
+    r = _records(spark, sf)
+    return r.select(
+        "q_num", "type", "text", "points", "correct_answer", "fill_text", "correct_text",
+        *[F.array_join(c, ",").alias(c) for c in ("options", "match_left", "match_right", "match_correct", "fill_answers")],
+        F.array_join(F.transform("correct_answers", lambda x: x.cast("string")), ",").alias("correct_answers"),
+    )
+
+
+@query
+def question_pool(spark, sf):
+    p = authoring.question_pool(_records(spark, sf))
+    show = lambda c: F.array_join(
+        F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";"
+    )
+    return p.select(
+        "q_num", "q_type", "prompt", F.array_join("options", ",").alias("options"), F.coalesce("correct_option", F.lit("")).alias("correct_option"),
+        F.array_join("correct_options", ",").alias("correct_options"), show("correct_cells").alias("correct_cells"),
+        show("right_options").alias("right_options"), F.coalesce("expected", F.lit("")).alias("expected"),
+    )
