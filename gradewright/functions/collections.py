@@ -16,6 +16,15 @@ def record(**fields) -> Column:
     return F.named_struct(*parts)
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used.
+
+    Spark evaluates a repeated sub-expression again at every use inside a lambda;
+    a lambda variable is evaluated once.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def empty_array() -> Column:
     return F.array().cast("array<string>")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gradewright.functions.collections import record
+from gradewright.functions.collections import bind, record
 from gradewright.functions.numeric import col_of, round_half_up
 from gradewright.settings import DEFAULTS, Thresholds
 
@@ -26,31 +26,37 @@ def token_confidence(probabilities, cfg: Thresholds = DEFAULTS) -> Column:
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def softmax(logits: Column) -> Column:
-    top = F.array_max(logits)
-    exps = F.transform(logits, lambda x: F.exp(x - top))
-    total = F.aggregate(exps, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(exps, lambda x: x / total)
-
-
 def restricted_argmax(logits, allowed=None) -> Column:
     """Letter and raw probability: the best class overall when it is allowed (or
     nothing is restricted), else the best allowed class with its own unscaled
     probability. First class wins ties.
+
+    Classes are compared by their logits, which order them like the softmax; the
+    softmax itself is needed for the chosen class only.
     """
-    probs = softmax(col_of(logits).cast("array<double>"))
     ranked = F.transform(
-        probs,
-        lambda p, i: record(p=p, neg=-i, letter=F.substr(F.lit(LETTERS), i + 1, F.lit(1))),
+        col_of(logits).cast("array<double>"),
+        lambda x, i: record(x=x, neg=-i, letter=F.substr(F.lit(LETTERS), i + 1, F.lit(1))),
     )
-    best = F.array_max(ranked)
-    if allowed is not None:
-        allowed = col_of(allowed)
-        legal = F.array_distinct(
-            F.transform(F.filter(allowed, lambda x: x.rlike("^[A-Za-z]$")), lambda x: F.upper(x))
+
+    def pick(classes: Column) -> Column:
+        top = F.array_max(classes)
+        if allowed is None:
+            best = top
+        else:
+            legal = F.array_distinct(
+                F.transform(F.filter(col_of(allowed), lambda a: a.rlike("^[A-Za-z]$")), lambda a: F.upper(a))
+            )
+            free = F.coalesce(F.size(legal), F.lit(0)) == 0
+            inside = F.array_max(F.filter(classes, lambda c: F.array_contains(legal, c["letter"])))
+            best = F.when(free, top).otherwise(F.coalesce(inside, top))
+        return record(classes=classes, top=top["x"], best=best)
+
+    def outcome(chosen: Column) -> Column:
+        total = F.aggregate(
+            chosen["classes"], F.lit(0.0), lambda acc, c: acc + F.exp(c["x"] - chosen["top"])
         )
-        inside = F.array_max(F.filter(ranked, lambda r: F.array_contains(legal, r["letter"]) & (r["p"] > 0)))
-        # all allowed probabilities underflowed: the overall letter with confidence 0
-        none = record(p=F.lit(0.0), neg=best["neg"], letter=best["letter"])
-        best = F.when(F.coalesce(F.size(legal), F.lit(0)) == 0, best).otherwise(F.coalesce(inside, none))
-    return record(letter=best["letter"], confidence=round_half_up(best["p"], 4))
+        p = F.exp(chosen["best"]["x"] - chosen["top"]) / total
+        return record(letter=chosen["best"]["letter"], confidence=round_half_up(p, 4))
+
+    return bind(bind(ranked, pick), outcome)

@@ -52,10 +52,14 @@ STAGE_FIELDS = (
 )
 
 
-def stage_field(line, name: str, kind: str = "string") -> Column:
-    """One ``name=value`` field. Free text after ``msg=`` is not searched."""
-    head = F.regexp_replace(col_of(line), r"(?s)\bmsg=.*$", "")
-    text = F.nullif(F.regexp_extract(head, rf"(?:^|\s){name}=(\S*)", 1), F.lit(""))
+def stage_head(line) -> Column:
+    """The fields of a line without its free-text message."""
+    return F.regexp_replace(col_of(line), r"(?s)\bmsg=.*$", "")
+
+
+def stage_field(head, name: str, kind: str = "string") -> Column:
+    """One ``name=value`` field of a line head."""
+    text = F.nullif(F.regexp_extract(col_of(head), rf"(?:^|\s){name}=(\S*)", 1), F.lit(""))
     return text if kind == "string" else text.try_cast(kind)
 
 
@@ -67,7 +71,7 @@ def stage_map(line) -> Column:
     """All fields of a stage line as a map; extra fields are kept."""
     line = col_of(line)
     body = F.regexp_replace(line, r"^.*?\[STAGE\]\s*", "")
-    head = F.regexp_replace(body, r"(?s)\bmsg=.*$", "")
+    head = stage_head(body)
     keys = F.regexp_extract_all(head, F.lit(r"(?:^|\s)([A-Za-z_]\w*)=(\S*)"), F.lit(1))
     values = F.regexp_extract_all(head, F.lit(r"(?:^|\s)([A-Za-z_]\w*)=(\S*)"), F.lit(2))
     msg = stage_message(body)

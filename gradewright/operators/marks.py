@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradewright.functions.collections import record, same_set
-from gradewright.functions.numeric import col_of, round_half_up
+from gradewright.functions.numeric import col_of
 from gradewright.settings import DEFAULTS, Thresholds
 
 
@@ -20,7 +20,11 @@ def options(**ratios: Column) -> Column:
 
 
 def rounded(opts) -> Column:
-    return F.transform(col_of(opts), lambda o: record(letter=o["letter"], ratio=round_half_up(o["ratio"], 4)))
+    """Ratios to four places. Plain arithmetic: these are shares of pixel counts, four
+    per question, and not scores."""
+    return F.transform(
+        col_of(opts), lambda o: record(letter=o["letter"], ratio=F.floor(o["ratio"] * 10000 + 0.5) / 10000)
+    )
 
 
 def _ratios(opts: Column) -> Column:

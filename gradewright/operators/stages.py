@@ -8,16 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradewright.functions.numeric import round_half_up
-from gradewright.functions.text import STAGE_FIELDS, STAGE_TAG, stage_field, stage_message
+from gradewright.functions.text import STAGE_FIELDS, STAGE_TAG, stage_field, stage_head, stage_message
 from gradewright.operators.running import Measure, row_numbers, running
 
 
 def stage_events(lines: DataFrame, line: str = "line") -> DataFrame:
     """Lines with the stage tag, fields typed; other columns pass through."""
-    fields = {name: stage_field(line, name, kind) for name, kind in STAGE_FIELDS}
-    return lines.where(F.contains(F.col(line), F.lit(STAGE_TAG))).withColumns(
-        {**fields, "msg": stage_message(line)}
-    )
+    fields = {name: stage_field("_head", name, kind) for name, kind in STAGE_FIELDS}
+    tagged = lines.where(F.contains(F.col(line), F.lit(STAGE_TAG))).withColumn("_head", stage_head(line))
+    return tagged.withColumns({**fields, "msg": stage_message(line)}).drop("_head")
 
 
 def _is_start() -> Column:
