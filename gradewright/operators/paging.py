@@ -12,7 +12,7 @@ every state they might be entered with, then the runs are chained in levels of
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradewright.functions.collections import record
@@ -207,8 +207,10 @@ def split_pages(
 
 def first_scan_per_page(student_pages: DataFrame, keys=("batch_id", "student_idx")) -> DataFrame:
     """Of repeated exam pages of a student the first scan is the one that is read."""
-    w = Window.partitionBy(*keys, "exam_page_num").orderBy("page_idx")
-    return student_pages.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    group = [*keys, "exam_page_num"]
+    rest = [c for c in student_pages.columns if c not in group]
+    first = student_pages.groupBy(*group).agg(F.min_by(F.struct(*rest), "page_idx").alias("_p"))
+    return first.select(*group, "_p.*").select(*student_pages.columns)
 
 
 def pages_in_map(student_pages: DataFrame, map_pages: DataFrame, on=("exam_id",)) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradewright.functions.collections import cell_order, hits, joined, or_empty, surplus
-from gradewright.functions.numeric import col_of, round_half_up, round_score, safe_double
+from gradewright.functions.numeric import round_half_up, round_score, safe_double
 from gradewright.functions.similarity import is_fuzzy_match, rounded_similarity, similarity
 from gradewright.settings import DEFAULTS, Thresholds
 

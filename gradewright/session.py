@@ -29,6 +29,15 @@ def local_session(app: str = "gradewright", cores: str | int = "*", **conf: str)
     return spark
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A folder all executors reach, for stream checkpoints: below the directory the
+    cluster names in ``spark.checkpoint.dir``."""
+    root = spark.conf.get("spark.checkpoint.dir", "")
+    if not root:
+        raise ValueError("spark.checkpoint.dir is not set; pass a folder that all executors reach")
+    return f"{root.rstrip('/')}/gradewright/{name}"
+
+
 # columns to spread a table by when it comes in fewer splits than there are cores
 SPREAD_KEYS = {
     "lineitem": ("l_orderkey", "l_linenumber"),

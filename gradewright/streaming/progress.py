@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gradewright.operators.stages import stage_events
+from gradewright.session import shared_folder
 
 
 def batch_progress(lines: DataFrame, source: str = "source") -> DataFrame:
@@ -143,13 +144,18 @@ def student_buckets(state: DataFrame) -> DataFrame:
 
 
 def apply_feed(
-    feed: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = True
+    feed: DataFrame,
+    write: Callable[[DataFrame, int], None],
+    checkpoint: str | None = None,
+    available_now: bool = True,
 ):
     """Run the batch change operators on every micro-batch of a change feed.
 
     ``write(changes, batch_id)`` appends to the change and audit tables and rebuilds
     the views; it must be idempotent per batch id, for a batch may be repeated.
+    Without ``checkpoint`` the cluster's shared folder is used.
     """
+    checkpoint = checkpoint or shared_folder(feed.sparkSession, "change_feed")
     writer = feed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)

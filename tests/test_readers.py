@@ -2,7 +2,6 @@ import random
 from collections import Counter
 
 from conftest import rows
-from pyspark.sql import functions as F
 
 from gradewright.operators import identity, readers
 
