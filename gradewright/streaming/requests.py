@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import DataFrame
 
 from gradewright.settings import DEFAULTS, Thresholds

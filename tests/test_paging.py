@@ -63,3 +63,11 @@ def test_first_scan_last_page_and_positions(spark):
     a = spark.createDataFrame([(10,), (20,), (30,)], "a int")
     b = spark.createDataFrame([(5,), (6,)], "b int")
     assert rows(paging.zip_by_position(a, b, "a", "b"), "a", "b") == [(10, 5), (20, 6)]
+
+
+def test_one_long_batch_is_cut_exactly(spark):
+    rng = random.Random(11)
+    pages = rng.choices([None, 2, 3], weights=[3, 2, 1], k=2500) + rng.choices([1, None, 2], k=500)
+    got = paging.split_pages(frame(spark, [pages], 4), F.col("n"))
+    want = [(0, *t) for t in brute(pages, 4)]
+    assert rows(got, "batch_id", "student_idx", "page_idx", "exam_page_num") == sorted(want, key=str)
