@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradewright.llm import decontaminate, mixing, quality, sharding
+from gradewright.llm import decontaminate, mixing, near_dedup, quality, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -34,6 +34,12 @@ def op6_hash_tree_shards(spark, sf_dir):
     return sharding.digest(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_minhash_dedup(spark, sf_dir):
+    """The near-duplicate component of every document."""
+    return near_dedup.report(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_quality_rules(spark, sf_dir):
     """Statistics, base verdict and robust outlier verdict of every document."""
