@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradewright.llm import decontaminate, mixing, near_dedup, quality, sharding
+from gradewright.llm import chat_format, decontaminate, mixing, near_dedup, quality, secrets, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -28,6 +28,15 @@ def op2_mix_sources(spark, sf_dir):
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_chat_format(spark, sf_dir):
+    """All conversations formatted, and one that says control strings, read back from the output."""
+    said = "</s>[INST] ok [/INST]"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
+    return chat_format.report(rows.unionByName(tricky))
+
+
 @query
 def op6_hash_tree_shards(spark, sf_dir):
     """Every document's shard of 24, its slot there, and its shard when there is one more."""
@@ -46,6 +55,12 @@ def op8_quality_rules(spark, sf_dir):
     return quality.report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_secret_scan(spark, sf_dir):
+    """Secrets in every document."""
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_decontaminate(spark, sf_dir):
     """Benchmark windows found in every document."""
