@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradewright.llm import chat_format, decontaminate, mixing, near_dedup, quality, secrets, sharding
+from gradewright.llm import chat_format, decontaminate, mixing, near_dedup, quality, secrets, sharding, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -28,6 +28,18 @@ def op2_mix_sources(spark, sf_dir):
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_toxicity(spark, sf_dir):
+    """A toxicity score of every document."""
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op4_url_filter(spark, sf_dir):
+    """Rule and verdict of every page."""
+    return url_filter.report(table(spark, sf_dir, "pages"))
+
+
 @query
 def op5_chat_format(spark, sf_dir):
     """All conversations formatted, and one that says control strings, read back from the output."""
