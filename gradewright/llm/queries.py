@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradewright.llm import chat_format, decontaminate, mixing, near_dedup, quality, secrets, sharding, toxicity, url_filter
+from gradewright.llm import chat_format, decontaminate, line_dedup, mixing, near_dedup, quality, secrets, sharding, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -22,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_line_dedup(spark, sf_dir):
+    """Every line's class, the links of the class, and whether the line stays."""
+    return line_dedup.judge(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_mix_sources(spark, sf_dir):
     """The words that a mix of all documents takes of each."""
