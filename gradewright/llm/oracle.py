@@ -1,5 +1,206 @@
-"""DuckDB twins of the text operators that SQL can express."""
+"""DuckDB twins of the text operators that SQL can express. They state the contracts by brute force, not by the operators'
+methods. Without a twin: op2 (knapsack), op3 (compression), op8 (robust estimates) and op9 (embedded checksums)."""
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+from gradewright.llm.common import LOWER, UPPER
+from gradewright.llm.sharding import BUCKETS, Node, grow, tree
+from gradewright.llm.url_filter import DAMPING, DIGITS, LINK, RULES, STEPS, THRESHOLD
+
+WORDS = r"[^\x20\x09-\x0D]+"
+LETTERS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _lowered(text: str) -> str:
+    return f"translate(coalesce({text}, ''), '{UPPER}', '{LOWER}')"
+
+
+OP1 = rf"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no
+  FROM documents
+), w AS (
+  SELECT doc_id, line_no, list_sort(list_distinct(regexp_extract_all(line, '{WORDS}'))) AS s FROM l WHERE regexp_matches(line, '{WORDS}')
+), c AS (
+  SELECT s, min({{'d': doc_id, 'l': line_no}}) AS place, len(s) AS n, row_number() OVER (ORDER BY min({{'d': doc_id, 'l': line_no}})) AS id FROM w GROUP BY s
+), t AS (
+  SELECT id, n, unnest(s) AS tok FROM c
+), p AS (
+  SELECT a.id AS a, b.id AS b FROM t a JOIN t b ON a.tok = b.tok AND a.id < b.id AND 4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n)
+  GROUP BY a.id, b.id, a.n, b.n HAVING 4 * count(*) >= 3 * (a.n + b.n - count(*))
+), k AS (
+  SELECT id, count(*) AS n_links, min(other) AS earliest FROM (SELECT a AS id, b AS other FROM p UNION ALL SELECT b, a FROM p) GROUP BY id
+)
+SELECT w.doc_id, w.line_no::BIGINT AS line_no, c.place.d AS class_doc_id, c.place.l::BIGINT AS class_line_no, coalesce(k.n_links, 0)::BIGINT AS n_links,
+  (w.doc_id = c.place.d AND w.line_no = c.place.l AND coalesce(k.earliest > c.id, true)) AS kept
+FROM w JOIN c ON w.s = c.s LEFT JOIN k ON k.id = c.id
+"""
+
+
+def _links() -> str:
+    """Trust and distrust ranks by host after all steps."""
+    steps = ", ".join(
+        f"""r{k} AS (
+  SELECT kind, host, sum(mass) AS mass FROM (
+    SELECT e.kind, e.dst AS host, r.mass * e.share * {DAMPING} AS mass FROM r{k - 1} r JOIN e ON e.kind = r.kind AND e.src = r.host
+    UNION ALL SELECT kind, host, mass * (1 - {DAMPING}) FROM r0
+  ) GROUP BY kind, host)"""
+        for k in range(1, STEPS + 1)
+    )
+    link = LINK.replace("'", "''")
+    return f"""
+l AS (
+  SELECT src, lower_host AS dst FROM (
+    SELECT src, translate(regexp_extract('http:' || regexp_extract(link, '(?s)(//.*)$', 1), '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS lower_host
+    FROM (SELECT host AS src, unnest(regexp_extract_all(html, '{link}', 1)) AS link FROM p WHERE host <> '')
+  ) WHERE lower_host <> '' AND lower_host <> src
+), named AS (
+  SELECT host FROM p WHERE host <> '' UNION SELECT dst FROM l
+), chain AS (
+  SELECT DISTINCT array_to_string(s[i:], '.') AS low, array_to_string(s[i + 1:], '.') AS high
+  FROM (SELECT s, unnest(range(1, len(s) - 1)) AS i FROM (SELECT string_split(host, '.') AS s FROM named))
+), g AS MATERIALIZED (
+  SELECT src, dst, sum(weight) AS weight FROM (
+    SELECT src, dst, 1.0::DOUBLE AS weight FROM l UNION ALL SELECT low, high, 1.0 FROM chain UNION ALL SELECT high, low, 1.0 FROM chain
+  ) GROUP BY src, dst
+), e AS MATERIALIZED (
+  SELECT 'trust' AS kind, src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM g
+  UNION ALL SELECT 'distrust', dst, src, weight / sum(weight) OVER (PARTITION BY dst) FROM g
+), r0 AS MATERIALIZED (
+  SELECT if(by_rule = 'allow', 'trust', 'distrust') AS kind, host, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY by_rule) AS mass
+  FROM p WHERE host <> '' AND by_rule IS NOT NULL GROUP BY by_rule, host
+), {steps}, bad AS (
+  SELECT host FROM r{STEPS} GROUP BY host
+  HAVING round(coalesce(sum(mass) FILTER (kind = 'distrust'), 0), {DIGITS}) > round({THRESHOLD} * coalesce(sum(mass) FILTER (kind = 'trust'), 0), {DIGITS})
+)"""
+
+
+def _rules(column: int) -> str:
+    out = "CASE "
+    for r in sorted(RULES, key=lambda r: (-len(r), r)):
+        name, start = r.split("/", 1)
+        out += f"WHEN (host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '/{start}') THEN '{(r, RULES[r])[column]}' "
+    return out + "END"
+
+
+OP4 = rf"""
+WITH u AS (
+  SELECT page_id, html, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
+), p AS MATERIALIZED (
+  SELECT *, {_rules(0)} AS rule, {_rules(1)} AS by_rule FROM u
+), {_links()}
+SELECT page_id, p.host, path, rule, coalesce(by_rule, if(bad.host IS NULL, 'allow', 'block')) AS verdict FROM p LEFT JOIN bad ON bad.host = p.host
+"""
+
+CONTROLS = r"<s>|</s>|\[INST\]|\[/INST\]|\[SYS\]|\[/SYS\]|\[BOT\]|\[ROLE\]|\[TEXT\]|\[/ROLE\]"
+# what a turn adds: its text, one more for each backslash, two for each control string inside, and the marks around
+_ESCAPED = rf"length({{0}}) + length({{0}}) - length(replace({{0}}, '\', '')) + 2 * len(regexp_extract_all(replace({{0}}, '\', '\\'), '{CONTROLS}'))"
+OP5 = f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS said FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), t AS (
+  SELECT *, {_ESCAPED.format("said")}
+    + CASE role WHEN 'user' THEN 13 WHEN 'assistant' THEN 9 WHEN 'system' THEN 11 ELSE 19 + {_ESCAPED.format("role")} END AS chars FROM c
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || said || chr(10), '' ORDER BY turn NULLS FIRST, role, said)) AS turns_sha256,
+  coalesce(sum(length(said)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(said, '' ORDER BY turn NULLS FIRST, role, said) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (3 + sum(chars))::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+
+def _draw(name: str, weight: float = 1.0) -> str:
+    text = f"md5('s0:{name}:' || coalesce(doc_id::VARCHAR, 'null'))"
+    u = f"((('0x' || substr({text}, 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)"
+    return u if name == "slot" else f"(-ln({u}) / {weight})"
+
+
+def _shard(node: Node) -> str:
+    if not node.children:
+        return str(node.shard)
+    if len(node.children) == 1:
+        return _shard(node.children[0])
+    draws = [_draw(c.name, c.weight) for c in node.children]
+    cases = " ".join(f"WHEN {d} = least({', '.join(draws)}) THEN {_shard(c)}" for d, c in zip(draws, node.children, strict=True))
+    return f"CASE {cases} END"
+
+
+def _crc_table() -> str:
+    out = []
+    for n in range(256):
+        for _ in range(8):
+            n = (n >> 1) ^ (0xEDB88320 if n & 1 else 0)
+        out.append(n)
+    return f"{out}::BIGINT[]"
+
+
+_TREE = tree(24)
+_NEW = grow(_TREE).children[-1]
+OP6 = f"""
+WITH b AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 8 AS size, {_crc_table()} AS crcs,
+    list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM documents
+), d AS (
+  SELECT doc_id, size::BIGINT AS size, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda a, x: xor(a >> 8, crcs[(xor(a, x) & 255) + 1])), 4294967295) AS text_crc32,
+    {_shard(_TREE)} AS shard, {_draw(_NEW.name, _NEW.weight)} < least({", ".join(_draw(c.name, c.weight) for c in _TREE.children)}) AS moves,
+    floor({_draw("slot")} * {BUCKETS}) AS bucket FROM b
+)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, if(moves, 24, shard) AS grown_shard,
+  row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id, size, text_crc32) - 1 AS slot FROM d
+"""
+
+OP7 = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all({_lowered("text")}, '{WORDS}') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS gram FROM w WHERE len(w) > 0
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+  JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 75 * (na.n + nb.n - count(*))
+), r AS (
+  SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a
+), m AS (
+  SELECT a, min(b) AS low FROM r GROUP BY a
+)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(m.low, w.doc_id)) AS component_id,
+  w.doc_id <= coalesce(m.low, w.doc_id) AS kept
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN m ON m.a = w.doc_id
+"""
+
+OP10 = rf"""
+WITH i AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all({_lowered("text")}, '{LETTERS}') AS w FROM benchmark
+), g AS (
+  SELECT DISTINCT item, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda k: w[k:k + 9])) AS gram FROM i WHERE len(w) > 0
+), d AS (
+  SELECT doc_id, regexp_extract_all({_lowered("text")}, '{LETTERS}') AS w FROM documents
+), z AS (
+  SELECT DISTINCT len(gram) AS size FROM g
+), v AS (
+  SELECT doc_id, size, unnest(range(1, len(w) - size + 2)) AS pos, w FROM d, z WHERE len(w) >= size
+), h AS (
+  SELECT doc_id, pos, size, item FROM (SELECT doc_id, pos, size, w[pos:pos + size - 1] AS gram FROM v) x JOIN g USING (gram)
+), hit AS (
+  SELECT doc_id, count(DISTINCT word) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + size)) AS word FROM h) GROUP BY doc_id
+), item AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN item ON item.doc_id = d.doc_id
+"""
+
+SQL: dict[str, str] = {
+    "op1_line_dedup": OP1,
+    "op4_url_filter": OP4,
+    "op5_chat_format": OP5,
+    "op6_hash_tree_shards": OP6,
+    "op7_minhash_dedup": OP7,
+    "op10_decontaminate": OP10,
+}
