@@ -78,13 +78,11 @@ def fill(lengths: np.ndarray, left: np.ndarray, budget: int) -> np.ndarray:
     return taken
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, target: float, most: int = MOST, fit_words: int = FIT_WORDS) -> tuple[int, np.ndarray]:
-    """Whole rounds, and how many documents of each length one time more."""
+def choose(lengths: np.ndarray, counts: np.ndarray, budget: int, fit_words: int = FIT_WORDS) -> np.ndarray:
+    """How many documents of each length have ``budget`` words together: shares by length, the knapsack for the rest."""
     total = int((lengths * counts).sum())
-    rounds = min(most, int(target // total)) if total else 0
-    budget = int(round(target)) - rounds * total
-    if budget <= 0 or rounds >= most:
-        return rounds, np.zeros(len(lengths), np.int64)
+    if 2 * budget > total:  # choosing what stays out has more documents to choose from
+        return counts - choose(lengths, counts, total - budget, fit_words)
     extra = (counts * (budget / total)).astype(np.int64)
     left, rest = counts - extra, budget - int((lengths * extra).sum())
     for i in np.argsort(-lengths):  # shares are rounded down; long documents bring the rest below what the knapsack fills
@@ -97,7 +95,17 @@ def fit(lengths: np.ndarray, counts: np.ndarray, target: float, most: int = MOST
             rest -= more * int(lengths[i])
     if 0 < rest <= fit_words:
         extra += fill(lengths, left, rest)
-    return rounds, extra
+    return extra
+
+
+def fit(lengths: np.ndarray, counts: np.ndarray, target: float, most: int = MOST) -> tuple[int, np.ndarray]:
+    """Whole rounds, and how many documents of each length one time more."""
+    total = int((lengths * counts).sum())
+    rounds = min(most, int(target // total)) if total else 0
+    budget = int(round(target)) - rounds * total
+    if budget <= 0 or rounds >= most:
+        return rounds, np.zeros(len(lengths), np.int64)
+    return rounds, choose(lengths, counts, budget)
 
 
 def _fit_source(rows: pd.DataFrame) -> pd.DataFrame:
