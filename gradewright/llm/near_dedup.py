@@ -9,7 +9,8 @@ document with the smallest id.
 2. A node's signature has ``HASHES`` minima of 16 bits. The first ``BANDS * ROWS`` make the buckets of candidates; a pair
    at the similarity shares no bucket with a probability of 5 in a million.
 3. First every node is compared with the first node of each of its buckets, which joins most of a group without its pairs.
-   Then, only in buckets that still hold more than one component, nodes of different components are compared in blocks.
+   Then, only in buckets that still hold more than one component, nodes of different components are compared in blocks,
+   nearest pairs first, and a pair that such a task has already joined is passed over.
 4. A comparison reads the signatures batch by batch and stops as soon as the posterior probability that the
    similarity reaches the bound (uniform prior) falls below ``MISS``. Survivors are confirmed on the full sets.
 
@@ -20,6 +21,7 @@ empty table gives an empty result; extra columns pass through. Shingles are comp
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 from math import comb
 
 import numpy as np
@@ -35,8 +37,7 @@ SHINGLE = 5
 SIMILARITY = (75, 100)
 BANDS, ROWS, HASHES, BATCH = 32, 4, 256, 32
 MISS = 1e-5
-BLOCK = 1024  # nodes of a bucket that one task compares with as many others
-PAIRS = 50_000  # compared at a time
+BLOCK = 512  # nodes of a bucket that one task compares with as many others
 BROADCAST_NODES = 1_000_000  # node ids (8 bytes each) that are sent to every task to choose the texts of candidates
 _rng = np.random.default_rng(20_011)
 _SHINGLE = _rng.integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -104,6 +105,13 @@ def similar_sizes(m, n):
     return SIMILARITY[1] * least >= SIMILARITY[0] * most
 
 
+def similar(a: bytes, b: bytes) -> bool:
+    """The exact test on full sets."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return SIMILARITY[1] * shared >= SIMILARITY[0] * (len(x) + len(y) - shared)
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``key`` of the word sequence (null without words), ``sig``."""
     kind = StructType([StructField("n_shingles", LongType()), StructField("key", BinaryType()), StructField("sig", BinaryType())])
@@ -122,10 +130,11 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", signed("text").alias("s")).select("doc_id", "s.*")
 
 
-@F.pandas_udf(BinaryType())
-def _sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.pandas_udf(StructType([StructField("key", BinaryType()), StructField("set", BinaryType())]))
+def _sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
-        yield pd.Series([shingle_set(words(t)).tobytes() for t in texts], dtype=object)
+        split = [words(t) for t in texts]
+        yield pd.DataFrame({"key": [xxh3_128_digest(b" ".join(w)) for w in split], "set": [shingle_set(w).tobytes() for w in split]})
 
 
 def _rows(column: pd.Series) -> np.ndarray:
@@ -141,11 +150,7 @@ def _prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in batches:
-        good = []
-        for x, y in zip(rows["set_a"], rows["set_b"], strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            shared = len(np.intersect1d(x, y, assume_unique=True))
-            good.append(SIMILARITY[1] * shared >= SIMILARITY[0] * (len(x) + len(y) - shared))
+        good = [similar(x, y) for x, y in zip(rows["set_a"], rows["set_b"], strict=True)]
         yield rows.loc[good, ["a", "b"]]
 
 
@@ -156,59 +161,84 @@ def _with(pairs: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame:
     return pairs
 
 
-def _compare(group: pd.DataFrame) -> pd.DataFrame | None:
-    """The pairs of one block pair of a bucket that lie in different components and survive."""
-    n, comp, first = group["n"].to_numpy(), group["comp"].to_numpy(), group["part"].to_numpy() == group["i"].to_numpy()
-    sig, ids = _rows(group["sig"]), group["node"].to_numpy()
-    one_block = bool(group["i"].iloc[0] == group["j"].iloc[0])
-    found = []
+class Merged:
+    """Components joined inside one task, so that a pair already joined is not confirmed again."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def top(self, c: int) -> int:
+        while (u := self.up.get(c, c)) != c:
+            c = u
+        return c
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.top(a), self.top(b)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+COMPARED = ("bucket", "i", "j", "band", "node", "comp", "part", "n", "sig", "set")
+
+
+def _compare(rows: dict[str, np.ndarray], sig: np.ndarray, merged: Merged) -> list[tuple[int, int]]:
+    """The confirmed links of one block pair of a bucket between different components, nearest pairs first. A pair that
+    shares an earlier band is left to that band's bucket."""
+    n, comp, first, band = rows["n"], rows["comp"], rows["part"] == rows["i"], int(rows["band"][0])
+    one_block, pairs = rows["i"][0] == rows["j"][0], []
     for x in np.flatnonzero(first):
-        others = np.arange(x + 1, len(ids)) if one_block else np.flatnonzero(~first)
+        others = np.arange(x + 1, len(n)) if one_block else np.flatnonzero(~first)
         others = others[(comp[others] != comp[x]) & similar_sizes(n[others], n[x])]
-        if len(others):
-            good = others[survivors(np.broadcast_to(sig[x], (len(others), HASHES)), sig[others])]
-            found.append(np.stack([np.full(len(good), ids[x]), ids[good], np.full(len(good), comp[x]), comp[good]], axis=1))
-    if not found:
-        return None
-    p = np.concatenate(found)
-    flip = p[:, 0] > p[:, 1]
-    p[flip] = p[flip][:, [1, 0, 3, 2]]
-    return pd.DataFrame(p, columns=["a", "b", "comp_a", "comp_b"])
+        if len(others) and len(good := others[survivors(np.broadcast_to(sig[x], (len(others), HASHES)), sig[others])]):
+            same = sig[good] == sig[x]
+            seen = same[:, : band * ROWS].reshape(len(good), band, ROWS).all(axis=2).any(axis=1)
+            pairs += [(-int(m), int(x), int(y)) for m, y in zip(same[~seen].sum(axis=1), good[~seen], strict=True)]
+    out = []
+    for _, x, y in sorted(pairs):
+        if merged.top(int(comp[x])) != merged.top(int(comp[y])) and similar(rows["set"][x], rows["set"][y]):
+            merged.join(int(comp[x]), int(comp[y]))
+            out.append((int(rows["node"][x]), int(rows["node"][y])))
+    return out
 
 
 def _compare_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Block pairs arrive one after another; a batch may end inside one."""
-    rest: list[pd.DataFrame] = []
-    for batch in batches:
-        rows = pd.concat([*rest, batch], ignore_index=True)
+    merged, rest = Merged(), None
+    for batch in chain(batches, [None]):
+        rows = [x for x in (rest, batch) if x is not None]
+        if not rows:
+            return
+        rows = pd.concat(rows, ignore_index=True)
         keys = rows[["bucket", "i", "j"]].to_numpy()
-        ends = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-        start = 0
-        for end in ends:
-            if end - start > 1 and (out := _compare(rows.iloc[start:end])) is not None:
-                yield out
-            start = end
-        rest = [rows.iloc[start:]]
-    if rest and len(rest[0]) > 1 and (out := _compare(rest[0])) is not None:
-        yield out
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(rows)]
+        whole = len(cuts) - 1 if batch is None else len(cuts) - 2  # the last one may go on
+        columns, links = {c: rows[c].to_numpy() for c in COMPARED}, []
+        sig = _rows(rows["sig"])
+        for start, end in zip(cuts[:whole], cuts[1:], strict=False):
+            if end - start > 1:
+                links += _compare({c: v[start:end] for c, v in columns.items()}, sig[start:end], merged)
+        if links:
+            yield pd.DataFrame(links, columns=["a", "b"])
+        rest = rows.iloc[cuts[whole] :] if batch is not None else None
 
 
 def across(members: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Surviving pairs of nodes that share a bucket and lie in different components. A large bucket is cut into
+    """Confirmed links between nodes that share a bucket and lie in different components. A large bucket is cut into
     parts; each pair of parts is a task's work, and parts of one component alone are no work."""
     comp = F.coalesce("root", "node").alias("comp")
-    placed = keep(members.join(labels, "node", "left").select("bucket", "node", comp), "near-members")
+    placed = keep(members.join(labels, "node", "left").select("bucket", "band", "node", comp), "near-members")
     mixed = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low < high")
     parts = F.ceil(F.col("size") / BLOCK).cast("int")
     rows = (
         placed.join(mixed.select("bucket", parts.alias("parts")), "bucket")
         .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("bucket", "node", "comp", "part", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"))
-        .join(nodes.select("node", F.col("n_shingles").alias("n"), "sig"), "node")
+        .select("bucket", "band", "node", "comp", "part", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"))
+        .join(nodes.select("node", F.col("n_shingles").alias("n"), "sig", "set"), "node")
+        .select(*COMPARED)
     )
     dealt = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
-    return dealt.mapInPandas(_compare_sorted, "a long, b long, comp_a long, comp_b long").distinct()
+    return dealt.mapInPandas(_compare_sorted, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -239,25 +269,23 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The signature table, and for each word sequence (``key``) its ``component``."""
     signed = keep(signatures(docs), "near-signatures")
     reps = keep(signed.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("node")), "near-copies")
-    nodes = signed.join(reps, (signed["key"] == reps["key"]) & (signed["doc_id"] == reps["node"])).select("node", "n_shingles", "sig")
+    nodes = signed.join(reps, (signed["key"] == reps["key"]) & (signed["doc_id"] == reps["node"])).select("node", reps["key"], "n_shingles", "sig")
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(F.substring("sig", k * 2 * ROWS + 1, F.lit(2 * ROWS)), k))
-    buckets = nodes.select("node", F.explode(bands).alias("bucket"))
+    buckets = nodes.select("node", F.posexplode(bands).alias("band", "bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
-    members = keep(buckets.join(shared, "bucket").select("bucket", "node", "first"), "near-buckets")
+    members = keep(buckets.join(shared, "bucket").select("bucket", "band", "node", "first"), "near-buckets")
     chosen = keep(members.select("node").distinct(), "near-candidates")
     few = small(chosen, chosen.count(), BROADCAST_NODES)
-    nodes = keep(nodes.join(few, "node", "left_semi"), "near-nodes")
-    sets = keep(docs.join(few, F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), _sets("text").alias("set")), "near-sets")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        return _with(pairs, sets, ["set"]).mapInPandas(_confirm, "a long, b long")
+    texts = docs.join(few, F.col("doc_id") == F.col("node"), "left_semi")
+    sets = texts.select(F.col("doc_id").alias("node"), _sets("text").alias("s")).select("node", "s.*")
+    one = ["node", "key"]  # repeated rows are one node
+    nodes = keep(nodes.join(few, "node", "left_semi").dropDuplicates(one).join(sets.dropDuplicates(one), one), "near-nodes")
 
     firsts = members.where("node > first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    near = _with(firsts, nodes.select("node", F.col("n_shingles").alias("n"), "sig"), ["n", "sig"]).mapInPandas(_prune, "a long, b long")
-    links = keep(confirmed(near), "near-links")
+    near = keep(_with(firsts, nodes.select("node", F.col("n_shingles").alias("n"), "sig"), ["n", "sig"]).mapInPandas(_prune, "a long, b long"), "near-pairs")
+    links = _with(near, nodes.select("node", "set"), ["set"]).mapInPandas(_confirm, "a long, b long")
     labels = components(links)
-    rest = keep(across(members.select("bucket", "node"), labels, nodes), "near-rest")
-    more = keep(confirmed(rest.select("a", "b")), "near-links")
+    more = across(members.select("bucket", "band", "node"), labels, nodes)
     labels = components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     return signed, reps.join(labels, "node", "left").select("key", F.coalesce("root", "node").alias("component"))
 
