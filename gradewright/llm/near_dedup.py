@@ -133,8 +133,11 @@ def signatures(docs: DataFrame) -> DataFrame:
 @F.pandas_udf(StructType([StructField("key", BinaryType()), StructField("set", BinaryType())]))
 def _sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
-        split = [words(t) for t in texts]
-        yield pd.DataFrame({"key": [xxh3_128_digest(b" ".join(w)) for w in split], "set": [shingle_set(w).tobytes() for w in split]})
+        rows = []
+        for text in texts:  # one text's words at a time
+            parts = words(text)
+            rows.append((xxh3_128_digest(b" ".join(parts)), shingle_set(parts).tobytes()))
+        yield pd.DataFrame(rows, columns=["key", "set"])
 
 
 def _rows(column: pd.Series) -> np.ndarray:
