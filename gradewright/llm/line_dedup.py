@@ -2,15 +2,18 @@
 
 Lines are the parts of a text between line feeds; a line's tokens are its distinct words (runs without ASCII white space).
 Lines of equal token sets are one class, whose place is its first line by doc_id and number. Two classes are linked
-if their sets' Jaccard similarity is ``SIMILARITY`` or more, and a line goes if its class, or a linked class, has an
-earlier line.
+if their sets' Jaccard similarity is ``SIMILARITY`` or more, and a line stays if it is the first of its class and no linked class
+has an earlier line.
 
 1. Tokens are counted over the whole corpus in ``BUCKETS`` hash buckets. A token's code has its bucket's count, in third
    octaves, in the upper bits and its hash below, so codes in ascending order are tokens from rare to frequent.
 2. A linked pair shares one of the first ``n - ceil(t n) + 1`` codes of either set: only this prefix is indexed, by class.
-3. The join on a code keeps pairs whose sizes can reach the similarity and whose places in the two orders leave enough
-   tokens for the overlap it needs.
-4. Candidates are confirmed on the words themselves.
+3. A pair is a candidate if it meets at a code, its sizes can reach the similarity, its places in the two orders
+   leave enough tokens for the overlap it needs, and so do the parities of 64 token buckets (a pair's sets differ in one
+   token at least for every parity that differs).
+4. Candidates are confirmed on the words themselves. First every class is compared with the earliest class of each of its
+   codes; that settles most of a group of near copies without its pairs. Only classes that are still to stay then meet all
+   earlier classes of their codes.
 
 Only DataFrame functions run. Defined results: a null text has no lines; lines without a word are kept, have no class and no
 links; rows without doc_id come first; repeated rows are repeated lines, which go; extra columns pass through in ``clean``.
@@ -18,7 +21,7 @@ links; rows without doc_id come first; repeated rows are repeated lines, which g
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradewright.llm.common import BLANKS, keep, pieces, small
@@ -39,22 +42,27 @@ def tokens(line: Column) -> Column:
     return F.array_distinct(pieces(line, BLANKS))
 
 
-def bucket(token: Column) -> Column:
-    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
-
-
 def rarity(docs: DataFrame) -> DataFrame:
     """One row: an array with the logarithmic count of every bucket, of all tokens of all documents."""
-    counted = docs.select(F.explode(pieces(F.col("text"), BLANKS)).alias("t")).groupBy(bucket(F.col("t")).alias("b")).count()
+    counted = docs.select(F.explode(pieces(F.col("text"), BLANKS)).alias("t")).groupBy(F.pmod(F.xxhash64("t"), F.lit(BUCKETS)).cast("int").alias("b")).count()
     ranked = F.least(F.floor(F.log2(F.col("count")) * 3), F.lit(2**RANK_BITS - 1)).cast("tinyint")
     every = docs.sparkSession.range(BUCKETS).join(counted, F.col("id") == F.col("b"), "left")
     pairs = F.sort_array(F.collect_list(F.struct("id", F.coalesce(ranked, F.lit(0).cast("tinyint")).alias("rank"))))
     return every.agg(F.transform(pairs, lambda p: p["rank"]).alias("ranks"))
 
 
-def code(token: Column, ranks: Column) -> Column:
-    rank = F.element_at(ranks, bucket(token) + 1).cast("long")
-    return F.shiftleft(rank, 63 - RANK_BITS).bitwiseOR(F.xxhash64(token).bitwiseAND(F.lit(2 ** (63 - RANK_BITS) - 1)))
+def codes(line: Column, ranks: Column) -> Column:
+    """The sorted distinct codes of a line."""
+    rank = lambda h: F.element_at(ranks, F.pmod(h, F.lit(BUCKETS)).cast("int") + 1).cast("long")
+    code = lambda h: F.shiftleft(rank(h), 63 - RANK_BITS).bitwiseOR(h.bitwiseAND(F.lit(2 ** (63 - RANK_BITS) - 1)))
+    hashed = F.transform(F.split(line, BLANKS), lambda t: F.xxhash64(t))
+    return F.sort_array(F.array_distinct(F.transform(F.array_remove(hashed, F.xxhash64(F.lit(""))), code)))
+
+
+def parities(codes: Column) -> Column:
+    """64 bits: whether the number of codes with this remainder is odd."""
+    one = F.lit(1).cast("long")
+    return F.aggregate(codes, F.lit(0).cast("long"), lambda bits, c: bits.bitwiseXOR(F.call_function("shiftleft", one, c.bitwiseAND(63).cast("int"))))
 
 
 def prefix_length(n: Column) -> Column:
@@ -62,74 +70,95 @@ def prefix_length(n: Column) -> Column:
     return n - F.ceil(n * s / t).cast("int") + 1
 
 
+FIRST = -(2**63)  # stands for a null doc_id, before all others
+
+
+def doc_key() -> Column:
+    return F.coalesce("doc_id", F.lit(FIRST).cast("long"))
+
+
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The lines with the key of their token set, and for each set its id, first place, size and prefix."""
+    """The lines with the key of their token set, and for each set its id, first place, size, parities and prefix."""
     ranks = keep(rarity(docs), "line-rarity").scalar()  # one array of fixed size
-    codes = F.sort_array(F.array_distinct(F.transform(tokens(F.col("line")), lambda t: code(t, F.col("ranks")))))
-    coded = lines(docs).withColumn("ranks", ranks).select("doc_id", "line_no", codes.alias("codes"))
+    coded = lines(docs).withColumn("ranks", ranks).select("doc_id", "line_no", codes(F.col("line"), F.col("ranks")).alias("codes"))
     placed = keep(
         coded.select(
             "doc_id", "line_no", F.xxhash64("codes").alias("k1"), F.xxhash64("codes", F.lit(1)).alias("k2"), F.size("codes").alias("n"),
-            F.slice("codes", F.lit(1), prefix_length(F.size("codes"))).alias("prefix"),
+            parities(F.col("codes")).alias("bits"), F.slice("codes", F.lit(1), prefix_length(F.size("codes"))).alias("prefix"),
         ),
         "line-sets",
     )
-    first = F.coalesce("doc_id", F.lit(-(2**63)).cast("long")).alias("doc")
-    in_doc = placed.groupBy("k1", "k2", first).agg(F.min("line_no").alias("line"))
+    in_doc = placed.groupBy("k1", "k2", doc_key().alias("doc")).agg(F.min("line_no").alias("line"))
     reps = in_doc.groupBy("k1", "k2").agg(F.min("doc").alias("doc"), F.min_by("line", "doc").alias("line"))
-    here = (F.col("p.k1") == F.col("r.k1")) & (F.col("p.k2") == F.col("r.k2")) & (first == F.col("r.doc")) & (F.col("line_no") == F.col("r.line"))
-    sets = placed.alias("p").join(reps.alias("r"), here).select("p.k1", "p.k2", "doc", "line", "n", "prefix").dropDuplicates(["k1", "k2"])
-    return placed.drop("prefix", "n"), keep(sets.withColumn("id", F.monotonically_increasing_id()), "line-classes")
+    at = [doc_key() == F.col("doc"), F.col("line_no") == F.col("line"), *[F.col(f"p.{k}") == F.col(f"r.{k}") for k in ("k1", "k2")]]
+    sets = placed.alias("p").join(reps.alias("r"), at).select("r.k1", "r.k2", "doc", "line", "n", "bits", "prefix")
+    return placed.select("doc_id", "line_no", "k1", "k2"), keep(sets.withColumn("id", F.monotonically_increasing_id()), "line-classes")
 
 
-def candidates(sets: DataFrame) -> DataFrame:
-    """Pairs of classes (a before b by id) that the prefix, length and positional filters leave."""
+def can_link(a: str, b: str) -> Column:
+    """Sizes, places in the two orders, and parities leave room for the overlap that ``b`` needs with an earlier ``a``."""
     s, t = SIMILARITY
-    index = sets.select("id", "n", F.posexplode("prefix").alias("at", "code"))
-    a, b = index.alias("a"), index.alias("b")
-    longest = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
-    fits = (
-        (F.col("a.code") == F.col("b.code"))
-        & (F.col("a.id") < F.col("b.id"))
-        & (t * F.least("a.n", "b.n") >= s * F.greatest("a.n", "b.n"))
-        & ((s + t) * longest >= s * (F.col("a.n") + F.col("b.n")))
-    )
-    return a.join(b, fits).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
+    total = x("n") + y("n")
+    left = F.least(x("n") - x("at"), y("n") - y("at"))  # tokens from here on
+    differ = F.bit_count(x("bits").bitwiseXOR(y("bits")))
+    earlier = (x("doc") < y("doc")) | ((x("doc") == y("doc")) & (x("line") < y("line")))
+    return earlier & (t * F.least(x("n"), y("n")) >= s * F.greatest(x("n"), y("n"))) & ((s + t) * left >= s * total) & ((s + t) * (total - differ) >= 2 * s * total)
 
 
-def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Linked pairs of classes."""
+INDEXED = ("id", "doc", "line", "n", "bits", "at")
+
+
+def index(sets: DataFrame) -> DataFrame:
+    return sets.select(*INDEXED[:-1], F.posexplode("prefix").alias("at", "code"))
+
+
+def with_first(sets: DataFrame) -> DataFrame:
+    """Candidate pairs of every class with the earliest class of each of its codes."""
+    entry = F.struct(*[F.col(c) for c in ("doc", "line", "id", "n", "bits", "at")])
+    here = F.struct(*[F.col(c) for c in INDEXED])
+    first = F.min(entry).over(Window.partitionBy("code"))
+    pairs = index(sets).select(here.alias("b"), first.alias("a"))
+    return pairs.where(can_link("a", "b")).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+
+
+def with_all(sets: DataFrame, gone: DataFrame) -> DataFrame:
+    """Candidate pairs of the classes that are not gone with all earlier classes of their codes."""
+    rest = index(sets.join(gone, "id", "left_anti"))
+    a, b = index(sets).alias("a"), rest.alias("b")
+    met = a.join(b, (F.col("a.code") == F.col("b.code")) & can_link("a", "b"))
+    return met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+
+
+def linked(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The ids of later classes of the candidate pairs that are linked, compared by their words."""
     s, t = SIMILARITY
-    pairs = keep(candidates(sets), "line-candidates")
-    chosen = keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(sets, "id").select("id", "doc", "line"), "line-chosen")
-    at = (F.coalesce(F.col("doc_id"), F.lit(-(2**63)).cast("long")) == F.col("doc")) & (F.col("line_no") == F.col("line_at"))
-    few = small(chosen.withColumnRenamed("line", "line_at"), chosen.count(), BROADCAST_LINES)
-    words = keep(lines(docs).join(few, at).select("id", tokens(F.col("line")).alias("w")), "line-words")
+    pairs = keep(pairs, "line-candidates")
+    chosen = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(sets, "id")
+    chosen = keep(chosen.select("id", "doc", F.col("line").alias("line_at")), "line-chosen")
+    few = small(chosen, chosen.count(), BROADCAST_LINES)
+    words = lines(docs).join(few, (doc_key() == F.col("doc")) & (F.col("line_no") == F.col("line_at"))).select("id", tokens(F.col("line")).alias("w"))
+    words = keep(words, "line-words")
     for side in "ab":
         pairs = pairs.join(words.select(F.col("id").alias(side), F.col("w").alias(f"w_{side}")), side)
     shared = F.size(F.array_intersect("w_a", "w_b"))
-    return pairs.where(t * shared >= s * (F.size("w_a") + F.size("w_b") - shared)).select("a", "b").distinct()
+    good = t * shared >= s * (F.size("w_a") + F.size("w_b") - shared)
+    return pairs.where(good).select(F.col("b").alias("id")).distinct()
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """Every line with a word: its class (place of the first line), links of the class, and whether it is kept."""
+    """Every line with a word: its class (place of the first line), and whether it is kept."""
     placed, sets = classes(docs)
-    found = keep(links(docs, sets), "line-links")
-    place = sets.select("id", F.struct("doc", "line").alias("place"))
-    both = found.select("a", "b").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    linked = both.join(place.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.count("*").alias("n_links"), F.min("place").alias("earliest"))
-    known = sets.join(linked.withColumnRenamed("a", "id"), "id", "left").select(
-        "k1", "k2", "doc", "line", F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("earliest") < F.struct("doc", "line")).alias("later")
-    )
-    doc = F.coalesce(F.col("doc_id"), F.lit(-(2**63)).cast("long"))
-    first = (doc == F.col("doc")) & (F.col("line_no") == F.col("line"))
+    gone = keep(linked(docs, sets, with_first(sets)), "line-gone")
+    gone = gone.unionByName(linked(docs, sets, with_all(sets, gone)))
+    known = sets.join(gone.withColumn("later", F.lit(True)), "id", "left").select("k1", "k2", "doc", "line", F.col("later").isNull().alias("stays"))
+    first = (doc_key() == F.col("doc")) & (F.col("line_no") == F.col("line"))
     return placed.join(known, ["k1", "k2"]).select(
         "doc_id",
         F.col("line_no").cast("long").alias("line_no"),
-        F.nullif(F.col("doc"), F.lit(-(2**63)).cast("long")).alias("class_doc_id"),
+        F.nullif(F.col("doc"), F.lit(FIRST).cast("long")).alias("class_doc_id"),
         F.col("line").cast("long").alias("class_line_no"),
-        F.col("n_links").cast("long").alias("n_links"),
-        (first & ~F.coalesce("later", F.lit(False))).alias("kept"),
+        (first & F.col("stays")).alias("kept"),
     )
 
 

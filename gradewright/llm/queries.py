@@ -24,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query
 def op1_line_dedup(spark, sf_dir):
-    """Every line's class, the links of the class, and whether the line stays."""
+    """Every line's class, and whether the line stays."""
     return line_dedup.judge(table(spark, sf_dir, "documents"))
 
 

@@ -2,6 +2,7 @@ import brute
 import pytest
 
 from gradewright.llm import chat_format as chat
+from llm_fixtures import clashing  # noqa: F401
 
 SCHEMA = "conv_id long, turn long, role string, text string"
 

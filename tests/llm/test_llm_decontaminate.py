@@ -2,6 +2,7 @@ import brute
 import pytest
 
 from gradewright.llm import decontaminate
+from llm_fixtures import awkward, clashing, frame, prose  # noqa: F401
 
 
 @pytest.fixture(scope="module")

@@ -2,17 +2,18 @@ from collections import Counter
 
 import brute
 from gradewright.llm import line_dedup
+from llm_fixtures import awkward, clashing, frame, prose  # noqa: F401
 
 
 def expected(rows):
-    """{(doc_id, line_no): (class doc_id, class line, links, kept)} from all pairs of token sets."""
+    """{(doc_id, line_no): (class doc_id, class line, kept)} from all pairs of token sets."""
     lines = [(-1 if i is None else i, k, frozenset(brute.WORD.findall(line))) for i, t in rows if t is not None for k, line in enumerate(t.split("\n")) if brute.WORD.search(line)]
     lines.sort(key=lambda x: x[:2])
     first = {}
     for i, k, s in lines:
         first.setdefault(s, (i, k))
     links = {s: [o for o in first if o != s and 4 * len(s & o) >= 3 * len(s | o)] for s in first}
-    return Counter((i, k, *first[s], len(links[s]), (i, k) == first[s] and all(first[o] > first[s] for o in links[s])) for i, k, s in lines)
+    return Counter((i, k, *first[s], (i, k) == first[s] and all(first[o] > first[s] for o in links[s])) for i, k, s in lines)
 
 
 def result(df):

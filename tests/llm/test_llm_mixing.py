@@ -3,6 +3,7 @@ import pytest
 
 import brute
 from gradewright.llm import mixing
+from llm_fixtures import awkward, clashing, frame, prose  # noqa: F401
 
 
 def water_fill(sizes, weights, most=3):

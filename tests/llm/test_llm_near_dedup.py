@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from gradewright.llm import near_dedup
+from llm_fixtures import awkward, clashing, frame, prose  # noqa: F401
 
 
 def edited(words, r, n):

@@ -5,6 +5,7 @@ import pytest
 
 import corpus_pipeline
 from gradewright.llm import mixing
+from llm_fixtures import frame, prose  # noqa: F401
 
 
 @pytest.fixture(scope="module")

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from gradewright.llm import quality
+from llm_fixtures import awkward, clashing, frame, prose  # noqa: F401
 
 
 def test_statistics_equal_plain_python(frame, awkward, prose):

@@ -3,6 +3,7 @@ import hashlib
 import brute
 
 from gradewright.llm import secrets
+from llm_fixtures import clashing, frame  # noqa: F401
 
 
 def hub(body):

@@ -3,6 +3,7 @@ import pytest
 
 from gradewright.llm import sharding
 from pyspark.sql import functions as F
+from llm_fixtures import awkward, clashing, frame, prose  # noqa: F401
 
 
 def test_digest(frame, awkward):

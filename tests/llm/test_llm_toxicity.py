@@ -4,6 +4,7 @@ import zlib
 import pytest
 
 from gradewright.llm import toxicity
+from llm_fixtures import awkward, clashing, frame, prose  # noqa: F401
 
 INSULTS = ["grobblewit", "snivelhead", "wretchling", "dungbrain"]
 

@@ -1,6 +1,7 @@
 import pytest
 
 from gradewright.llm import url_filter
+from llm_fixtures import clashing  # noqa: F401
 
 SCHEMA = "page_id long, url string, html string"
 
