@@ -16,7 +16,7 @@ has an earlier line.
    earlier classes of their codes.
 
 Only DataFrame functions run. Defined results: a null text has no lines; lines without a word are kept, have no class and no
-links; rows without doc_id come first; repeated rows are repeated lines, which go; extra columns pass through in ``clean``.
+links; rows without doc_id come first; repeated rows share their places and are judged alike; extra columns pass through in ``clean``.
 """
 
 from __future__ import annotations
@@ -92,6 +92,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     reps = in_doc.groupBy("k1", "k2").agg(F.min("doc").alias("doc"), F.min_by("line", "doc").alias("line"))
     at = [doc_key() == F.col("doc"), F.col("line_no") == F.col("line"), *[F.col(f"p.{k}") == F.col(f"r.{k}") for k in ("k1", "k2")]]
     sets = placed.alias("p").join(reps.alias("r"), at).select("r.k1", "r.k2", "doc", "line", "n", "bits", "prefix")
+    sets = sets.dropDuplicates(["k1", "k2", "doc", "line"])  # of repeated rows; partitioned and sorted by the join already
     return placed.select("doc_id", "line_no", "k1", "k2"), keep(sets.withColumn("id", F.monotonically_increasing_id()), "line-classes")
 
 
