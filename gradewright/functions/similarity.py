@@ -16,6 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gradewright.functions.space import SPACES, strip
 from gradewright.functions.numeric import col_of, round_half_up
 from gradewright.settings import DEFAULTS, Thresholds
 
@@ -54,11 +55,11 @@ def _lcs(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def normalised(text) -> Column:
-    return F.trim(F.lower(F.coalesce(col_of(text), F.lit(""))))
+    return strip(F.lower(F.coalesce(col_of(text), F.lit(""))))
 
 
 def sorted_tokens(text) -> Column:
-    tokens = F.filter(F.split(col_of(text), r"\s+"), lambda t: t != "")
+    tokens = F.filter(F.split(col_of(text), SPACES), lambda t: t != "")
     return F.array_join(F.array_sort(tokens), " ")
 
 

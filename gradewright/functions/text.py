@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gradewright.functions.space import is_blank_text, strip
 from gradewright.functions.collections import map_keeping_last
 from gradewright.functions.numeric import clamp, col_of, round_half_up, safe_double
 from gradewright.settings import (
@@ -82,6 +83,7 @@ def stage_map(line) -> Column:
 
 # ---- detail strings of a score sheet ----------------------------------------
 
+# fixed values: the forms in which score sheets and replies are written
 CELL_MATCHED = r"#(\d+):\s*'([^']*)'\s*=\s*'([^']*)'\s*\[(OK|X)\]"
 CELL_ANY = r"#(\d+):\s*'([^']*)'\s*!?=\s*'([^']*)'\s*\[(OK|X)\]"
 CHOICE_MATCHED = r"\b(?:chose|Correct \(|\(see )([A-D])"
@@ -130,7 +132,7 @@ def first_letter(text, allowed: Column | None = None) -> Column:
 
 def after_preamble(text) -> Column:
     """Text after the first colon, trimmed; unchanged (but trimmed) without one."""
-    return F.trim(F.regexp_replace(col_of(text), r"(?s)^[^:]*:", ""))
+    return strip(F.regexp_replace(col_of(text), r"(?s)^[^:]*:", ""))
 
 
 # ---- verdict JSON -----------------------------------------------------------
@@ -157,7 +159,7 @@ def parse_verdict(text, schema: T.StructType = VERDICT) -> Column:
     Null means both attempts failed. Corrupt input is told apart from empty
     objects by a marker column that from_json fills on a parse failure.
     """
-    text = F.trim(col_of(text))
+    text = strip(col_of(text))
     probe = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
 
     def attempt(t: Column) -> Column:
@@ -168,12 +170,13 @@ def parse_verdict(text, schema: T.StructType = VERDICT) -> Column:
     return F.coalesce(attempt(text), attempt(repair_backslashes(text)))
 
 
+# fixed value: the object that a score reply holds
 SCORE_OBJECT = r'(?s)(\{[^{}]*"score"[^{}]*\})'
 
 
 def parse_score_reply(text, max_points, cfg: Thresholds = DEFAULTS) -> Column:
     """Score object inside a free reply: clamp, round, truncate; ai_error otherwise."""
-    cleaned = F.trim(F.regexp_replace(F.trim(col_of(text)), r"(?s)<think>.*?</think>", ""))
+    cleaned = strip(F.regexp_replace(strip(col_of(text)), r"(?s)<think>.*?</think>", ""))
     found = F.regexp_extract(cleaned, SCORE_OBJECT, 1)
     body = F.when(found != "", found).otherwise(cleaned)
     schema = "score string, confidence string, explanation string, _bad string"
@@ -186,14 +189,14 @@ def parse_score_reply(text, max_points, cfg: Thresholds = DEFAULTS) -> Column:
         ),
         round_half_up(confidence, 3).alias("confidence"),
         F.lit("ai_graded").alias("status"),
-        F.substring(F.coalesce(data["explanation"], F.lit("")), 1, 500).alias("explanation"),
+        F.coalesce(data["explanation"], F.lit("")).alias("explanation"),
         (confidence < F.lit(cfg.high_confidence)).alias("needs_review"),
     )
     bad = F.struct(
         F.lit(0.0).alias("score"),
         F.lit(0.0).alias("confidence"),
         F.lit("ai_error").alias("status"),
-        F.concat(F.lit("Invalid AI output: "), F.substring(body, 1, 200)).alias("explanation"),
+        F.concat(F.lit("Invalid AI output: "), body).alias("explanation"),
         F.lit(True).alias("needs_review"),
     )
     return F.when(ok, good).otherwise(bad)
@@ -207,14 +210,19 @@ def mentions_safety_phrase(text) -> Column:
     return found
 
 
+# fixed value: what may stand before a list item
+BULLET_MARKS = "-•*0123456789. "
+
+
 def bullet_lines(text, limit: int = 3) -> Column:
-    """Bullets of a reply: its JSON ``bullets``, else lines without list marks."""
+    """Bullets of a reply: its JSON ``bullets``, else lines without list marks. The summary shows the first ``limit``
+    of them; that is its definition, not a cap on work."""
     text = F.coalesce(col_of(text), F.lit(""))
     parsed = F.from_json(text, "bullets array<string>")["bullets"]
-    listed = F.filter(F.coalesce(parsed, F.array().cast("array<string>")), lambda x: F.trim(x) != "")
+    listed = F.filter(F.coalesce(parsed, F.array().cast("array<string>")), lambda x: ~is_blank_text(x))
     lines = F.transform(
         F.split(text, r"\R"),
-        lambda ln: F.trim(F.ltrim(F.trim(ln), F.lit("-•*0123456789. "))),
+        lambda ln: strip(F.ltrim(strip(ln), F.lit(BULLET_MARKS))),
     )
     lines = F.filter(lines, lambda ln: F.length(ln) > 5)
     return F.slice(F.when(F.size(listed) > 0, listed).otherwise(lines), 1, limit)

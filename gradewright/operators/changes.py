@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradewright.functions.numeric import safe_double
-from gradewright.operators.running import Measure, running, surrogate_ids
+from gradewright.operators.running import surrogate_ids
 
 OVERRIDDEN = "overridden"
+EXACT = "decimal(18,6)"  # sums of scores and of their changes
 
 
 def replace_by_key(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -68,9 +69,9 @@ def override_history(questions: DataFrame, overrides: DataFrame, keys: Sequence[
         F.coalesce("needs_review", F.lit(False)).alias("_review"),
     )
     effective = overrides.withColumn("new_score", safe_double("new_score")).join(base, keys)
-    prior = running(
-        effective, "change_id", [Measure("_prev", "last", F.col("new_score"), inclusive=False)], keys
-    )
+    # the overrides of one question of one paper are few, so one window orders them
+    before = Window.partitionBy(*keys).orderBy("change_id").rowsBetween(Window.unboundedPreceding, -1)
+    prior = effective.withColumn("_prev", F.last("new_score", ignorenulls=True).over(before))
     again = F.col("_prev").isNotNull()
     return prior.select(
         *overrides.columns,
@@ -119,29 +120,26 @@ def approval_history(
 
     A missing final score is the total of that moment: the stored total, or, once
     something was overridden, the sum of the questions plus all score changes up
-    to then.
+    to then. Sums are decimals, so they do not depend on the order of addition. The
+    changes of one paper are few, so one window orders them.
     """
     keys = list(result_keys)
-    base = questions.groupBy(*keys).agg(F.sum(safe_double("score")).alias("_sum"))
+    base = questions.groupBy(*keys).agg(F.sum(safe_double("score").cast(EXACT)).alias("_sum"))
     effective = approvals.join(exam_results.select(*keys, F.col("total_score").alias("_total")), keys).join(
         base, keys, "left"
     )
-    moves = history.select(*keys, "change_id", (F.col("new_score") - F.col("old_score")).alias("_move"))
+    moves = history.select(*keys, "change_id", (F.col("new_score").cast(EXACT) - F.col("old_score").cast(EXACT)).alias("_move"))
     feed = effective.unionByName(moves, allowMissingColumns=True)
     is_move = F.col("_move").isNotNull()
-    carried = running(
-        feed,
-        "change_id",
-        [
-            Measure("_moved", "sum", F.coalesce("_move", F.lit(0.0))),
-            Measure("_moves", "sum", F.when(is_move, 1).otherwise(0).cast("bigint")),
-        ],
-        keys,
+    upto = Window.partitionBy(*keys).orderBy("change_id").rowsBetween(Window.unboundedPreceding, 0)
+    carried = feed.withColumns(
+        {"_moved": F.coalesce(F.sum("_move").over(upto), F.lit(0)), "_moves": F.count_if(is_move).over(upto)}
     ).where(F.col("_move").isNull())
-    total = F.when(F.col("_moves") > 0, F.col("_sum") + F.col("_moved")).otherwise(F.col("_total"))
+    total = F.when(F.col("_moves") > 0, (F.col("_sum") + F.col("_moved")).cast("double")).otherwise(F.col("_total"))
     scored = carried.withColumn("final_score", F.coalesce(F.col("final_score").try_cast("double"), total))
     value = F.struct("status", "final_score", "approved_by")
-    prior = running(scored, "change_id", [Measure("_old", "last", value, inclusive=False)], keys)
+    before = Window.partitionBy(*keys).orderBy("change_id")
+    prior = scored.withColumn("_old", F.lag(value).over(before))
     return prior.select(*approvals.columns, F.col("_old").alias("old_value"))
 
 

@@ -35,8 +35,10 @@ def papers_needing_review(
 
 
 def exam_summary(totals: DataFrame, exam: Sequence[str], first_by: str) -> DataFrame:
-    """Students, mean, best and worst score, and the points of the first student."""
-    return totals.groupBy(*exam).agg(
+    """Students, mean, best and worst score, and the points of the first student. A paper
+    without a total has 0 in all of them."""
+    scored = totals.withColumn("total_score", F.coalesce("total_score", F.lit(0.0)))
+    return scored.groupBy(*exam).agg(
         F.count(F.lit(1)).alias("students"),
         round_score(F.sum("total_score") / F.count(F.lit(1))).alias("average_score"),
         round_score(F.max("total_score")).alias("highest_score"),
@@ -45,14 +47,15 @@ def exam_summary(totals: DataFrame, exam: Sequence[str], first_by: str) -> DataF
     )
 
 
-def exam_header(questions: DataFrame, exam: Sequence[str], student: str, number: str = "q_num") -> DataFrame:
-    """Numbers of students and of different questions per exam.
+def exam_header(papers: DataFrame, questions: DataFrame, exam: Sequence[str], student: str, number: str = "q_num") -> DataFrame:
+    """Numbers of students, with or without questions, and of different questions per exam.
 
     Each distinct count is two plain aggregates, so no exam is counted in one task.
     """
-    students = questions.select(*exam, student).distinct().groupBy(*exam).agg(F.count(F.lit(1)).alias("total_students"))
+    students = papers.select(*exam, student).distinct().groupBy(*exam).agg(F.count(F.lit(1)).alias("total_students"))
     numbers = questions.select(*exam, number).distinct().groupBy(*exam).agg(F.count(F.lit(1)).alias("total_questions"))
-    return students.join(numbers, list(exam))
+    total = F.coalesce("total_questions", F.lit(0)).alias("total_questions")
+    return students.join(numbers, list(exam), "left").select(*exam, "total_students", total)
 
 
 def question_numbers(questions: DataFrame, exam: Sequence[str] = (), number: str = "q_num") -> DataFrame:
@@ -156,7 +159,8 @@ def question_difficulty(questions: DataFrame, exam: Sequence[str], number: str =
 
 
 def hardest_questions(questions: DataFrame, exam: Sequence[str], k: int = 5, number: str = "q_num") -> DataFrame:
-    """The k questions with the lowest mean percentage of every exam, ranked."""
+    """The k questions with the lowest mean percentage of every exam, ranked. The report is
+    defined as a top k; all questions are compared."""
     w = Window.partitionBy(*exam).orderBy(F.col("avg_pct"), *question_order(number))
     ranked = question_difficulty(questions, exam, number).withColumn("rank", F.row_number().over(w))
     return ranked.where(F.col("rank") <= k)
@@ -192,11 +196,12 @@ def class_summary(
 
 
 def score_histogram(pcts: DataFrame, value: str = "pct", by: Sequence[str] = (), bins: int = 10) -> DataFrame:
-    """Counts over equal bins of [0, 100]; 100 falls in the last bin."""
+    """Counts over equal bins of [0, 100]; 100 falls in the last bin. Values below are
+    bin -1, values above (an override beyond the maximum) are bin ``bins``."""
     width = 100 / bins
-    inside = pcts.where(F.col(value).between(0, 100))
     bucket = F.least(F.floor(F.col(value) / width), F.lit(bins - 1)).cast("int")
-    return inside.groupBy(*by, bucket.alias("bin")).agg(F.count(F.lit(1)).alias("students"))
+    bucket = F.when(F.col(value) < 0, -1).when(F.col(value) > 100, bins).otherwise(bucket)
+    return pcts.where(F.col(value).isNotNull()).groupBy(*by, bucket.alias("bin")).agg(F.count(F.lit(1)).alias("students"))
 
 
 def exact_median(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gradewright.functions.space import is_blank_text, strip
 from gradewright.functions.numeric import round_half_up
 from gradewright.functions.similarity import agreement, is_fuzzy_match, similarity
 from gradewright.functions.text import first_letter
@@ -138,14 +139,14 @@ def word_cascade(
     t3, c3 = F.coalesce(F.col(third[0]), F.lit("")), F.coalesce(F.col(third[1]), F.lit(0.0))
     key = F.coalesce(F.col(expected), F.lit(""))
     is_blank = F.coalesce(F.col(blank), F.lit(False)) if blank else F.lit(False)
-    retry_wins = (c2 > c1) & (F.trim(t2) != "")
+    retry_wins = (c2 > c1) & ~is_blank_text(t2)
     df = df.withColumns(
         {"_t": F.when(retry_wins, t2).otherwise(t1), "_c": F.when(retry_wins, c2).otherwise(c1)}
     )
     t, c = F.col("_t"), F.col("_c")
 
     def sure(text: Column, conf: Column) -> Column:
-        return (conf >= cfg.high_confidence) & (F.trim(text) != "")
+        return (conf >= cfg.high_confidence) & ~is_blank_text(text)
 
     # similarity only where it decides
     need1, need2 = sure(t1, c1) & (key != ""), sure(t, c) & (key != "")
@@ -192,7 +193,7 @@ def with_agreement(df: DataFrame, a: str, b: str, name: str = "agreement") -> Da
 def first_non_empty(readings: DataFrame, keys: Sequence[str]) -> DataFrame:
     """First reading with text, in reader order; if all are empty, an empty text
     with the first reader's confidence."""
-    text = F.trim(F.coalesce(F.col("text"), F.lit("")))
+    text = strip(F.coalesce(F.col("text"), F.lit("")))
     got = readings.withColumn("_t", text).groupBy(*keys).agg(
         F.min_by(F.struct(F.col("_t"), F.col("confidence")), F.when(F.col("_t") != "", F.col("ord"))).alias("_hit"),
         F.min_by("confidence", "ord").alias("_first"),
@@ -212,7 +213,7 @@ def words_to_cell(words: DataFrame, keys: Sequence[str]) -> DataFrame:
     """
     conf = F.col("conf").try_cast("double")
     whole = F.when(conf >= 0, F.floor(conf)).when(conf > -1, F.lit(0))
-    kept = F.when(F.trim(F.coalesce(F.col("text"), F.lit(""))) != "", F.struct("pos", "text"))
+    kept = F.when(~is_blank_text("text"), F.struct("pos", "text"))
     cell = words.groupBy(*keys).agg(
         F.array_sort(F.collect_list(kept)).alias("_w"),
         F.sum(whole).alias("_sum"),
@@ -220,7 +221,7 @@ def words_to_cell(words: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
     return cell.select(
         *keys,
-        F.trim(F.array_join(F.transform("_w", lambda w: w["text"]), " ")).alias("text"),
+        strip(F.array_join(F.transform("_w", lambda w: w["text"]), " ")).alias("text"),
         F.coalesce(round_half_up(F.col("_sum") / F.nullif(F.col("_n"), F.lit(0)) / 100, 4), F.lit(0.0)).alias(
             "confidence"
         ),
@@ -232,15 +233,15 @@ def best_lines(variants: DataFrame, keys: Sequence[str], line: str = "line_no")
     earliest), lines joined in order, mean confidence of the lines with text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rank = F.struct(
-        F.when(F.trim(text) != "", 1).otherwise(0).alias("has"),
+        F.when(~is_blank_text(text), 1).otherwise(0).alias("has"),
         F.col("confidence"),
         F.length(text).alias("len"),
         (-F.col("ord")).alias("o"),
     )
     per_line = variants.groupBy(*keys, line).agg(F.max_by(F.struct(text.alias("t"), F.col("confidence").alias("c")), rank).alias("b"))
-    kept = per_line.where(F.trim("b.t") != "")
+    kept = per_line.where(~is_blank_text("b.t"))
     return kept.groupBy(*keys).agg(
-        F.trim(
+        strip(
             F.array_join(
                 F.transform(F.array_sort(F.collect_list(F.struct(F.col(line), F.col("b.t").alias("t")))), lambda x: x["t"]),
                 " ",
@@ -252,7 +253,7 @@ def best_lines(variants: DataFrame, keys: Sequence[str], line: str = "line_no")
 
 def smart_reading(single: DataFrame, variants: DataFrame, keys: Sequence[str], cfg: Thresholds = DEFAULTS) -> DataFrame:
     """A confident single pass stands; other cells take their best lines, if any."""
-    sure = (F.col("confidence") >= cfg.multiline_trigger) & (F.trim(F.coalesce("text", F.lit(""))) != "")
+    sure = (F.col("confidence") >= cfg.multiline_trigger) & ~is_blank_text("text")
     done = single.where(sure)
     hard = single.where(~F.coalesce(sure, F.lit(False)))
     wanted = variants.join(hard.select(*keys), list(keys), "left_semi")

@@ -130,8 +130,9 @@ def post_process(
     """Turn rubric outcomes into result rows.
 
     ``failed`` marks verdicts the grader answered with an error (ai_error);
-    ``crashed`` holds an error text when no verdict came back at all. With
-    grading switched off every row waits for a teacher.
+    ``crashed`` holds an error text, maybe empty, when no verdict came back at all.
+    With grading switched off every row waits for a teacher. The messages are fixed
+    values; texts in them are whole.
     """
     text = F.coalesce(F.col(explanation), F.lit(""))
     failed_c = F.coalesce(F.col(failed), F.lit(False)) if failed else F.lit(False)
@@ -140,7 +141,7 @@ def post_process(
     wrote = F.col(student_text) if student_text else F.lit(None).cast("string")
     quoted = F.when(
         F.coalesce(wrote, F.lit("")) != "",
-        F.concat(F.lit(' Student wrote: "'), F.substring(wrote, 1, 200), F.lit('"')),
+        F.concat(F.lit(' Student wrote: "'), wrote, F.lit('"')),
     ).otherwise(F.lit(""))
     dropped = [c for c in (explanation,) if c in df.columns]
     if not cfg.ai_enabled:
@@ -172,9 +173,13 @@ def post_process(
         "explanation": F.when(
             is_crash,
             F.concat(
-                F.lit("AI error ("), F.substring(crashed_c, 1, 200), F.lit(") — awaiting manual review."), quoted
+                F.when(crashed_c == "", F.lit("AI unavailable")).otherwise(F.concat(F.lit("AI error ("), crashed_c, F.lit(")"))),
+                F.lit(" — awaiting manual review."),
+                quoted,
             ),
-        ).otherwise(text),
+        )
+        .when(failed_c & F.col(explanation).isNull(), F.lit("Unknown AI error"))
+        .otherwise(text),
     }
     return df.withColumns(out)
 

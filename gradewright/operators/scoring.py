@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gradewright.functions.space import strip
 from gradewright.functions.collections import cell_order, hits, joined, or_empty, surplus
 from gradewright.functions.numeric import round_half_up, round_score, safe_double
 from gradewright.functions.similarity import is_fuzzy_match, rounded_similarity, similarity
@@ -128,7 +129,7 @@ def match_cells(
     cells = expected.join(
         read.select(*keys, item, "text", "confidence", "needs_review"), [*keys, item], "left"
     )
-    predicted = F.trim(F.coalesce(F.col("text"), F.lit("")))
+    predicted = strip(F.coalesce(F.col("text"), F.lit("")))
     filled = cells.withColumn("predicted", predicted)
     sim = similarity(
         F.when(F.col("predicted") != "", F.col("predicted")), "expected", cfg, decide_only=not exact_similarity
@@ -267,7 +268,22 @@ def error_rows(questions: DataFrame, keys: Sequence[str], reason: Column, points
         F.lit("error").alias("status"),
         F.lit(0.0).alias("confidence"),
         F.lit(True).alias("needs_review"),
-        F.concat(F.lit("Evaluation error: "), F.substring(reason, 1, 200)).alias("explanation"),
+        F.concat(F.lit("Evaluation error: "), reason).alias("explanation"),
+    )
+
+
+def error_papers(papers: DataFrame, position: str, error: str, number: str = "student_number") -> DataFrame:
+    """Papers whose evaluation failed, kept with a total of 0 and their error. ``position`` counts papers from 0;
+    a paper without a number is ``error_<position + 1>``."""
+    failed = papers.where(F.col(error).isNotNull())
+    stand_in = F.concat(F.lit("error_"), (F.col(position) + 1).cast("string"))
+    return failed.withColumns(
+        {
+            number: F.coalesce(F.col(number), stand_in),
+            "number_confidence": F.lit(0.0),
+            "total_score": F.lit(0.0),
+            "total_max_points": F.lit(0.0),
+        }
     )
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gradewright.functions.space import strip
 from gradewright.functions.numeric import confidence_is_low, confidence_percent, percent, round_score
 from gradewright.functions.text import detail_cells, detail_choice, highlight_class
 from gradewright.operators.judging import recovered_review, recovered_status, review_on_sheet
@@ -85,7 +86,7 @@ def unpivot_sheet(sheet: DataFrame, numbers: Sequence[str]) -> DataFrame:
         sheet.where(F.col("`#`").isNotNull())
         .select(
             *head,
-            F.trim(F.coalesce(F.col("`Student Number`").cast("string"), F.lit(""))).alias("student_number"),
+            strip(F.coalesce(F.col("`Student Number`").cast("string"), F.lit(""))).alias("student_number"),
             (F.coalesce(F.col("`SN Confidence`").try_cast("double"), F.lit(0.0)) / 100).alias("number_confidence"),
             F.col("`Needs Review`").alias("sheet_review"),
             F.inline(F.array(*parts)),

@@ -119,6 +119,21 @@ def text_pairs(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# what readers leave around a text: line ends, form feeds, no-break spaces
+NOISE = ("\n", "\x0c", "\xa0\t", "")
+
+
+def noise(k) -> F.Column:
+    """One of NOISE by a number."""
+    return F.element_at(F.array(*map(F.lit, NOISE)), (k % len(NOISE) + 1).cast("int"))
+
+
+def noisy_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Text pairs as readers give them, with white space around the text."""
+    k = F.col("pair_id")
+    return text_pairs(spark, sf).withColumn("predicted", F.concat(noise(k), "predicted", noise(k + 1)))
+
+
 def verdicts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
@@ -164,11 +179,16 @@ def approvals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scored_results(spark: SparkSession, sf: str) -> DataFrame:
-    """Exam results with their stored totals."""
+    """Every exam result with its stored totals; a paper without questions has 0."""
     from gradewright.operators.cohort import student_totals
 
     totals = student_totals(question_results(spark, sf), ["exam_result_id"])
-    return exam_results(spark, sf).join(totals, "exam_result_id")
+    return (
+        exam_results(spark, sf)
+        .join(totals, "exam_result_id", "left")
+        .fillna(0.0, ["total_score", "total_max_points"])
+        .fillna(False, ["had_ai", "needs_review"])
+    )
 
 
 def hourly_counts(spark: SparkSession, sf: str) -> DataFrame:

@@ -16,6 +16,11 @@ def rate(part: str, whole: str, digits: int = 1) -> str:
     return f"CASE WHEN {whole} > 0 THEN {rnd(f'CAST({part} AS DOUBLE)/{whole}*100', digits)} ELSE 0.0 END"
 
 
+# Unicode white space with the ASCII separators, as a list of characters
+WS = "concat(" + ",".join(f"chr({c})" for c in (*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288)) + ")"
+
+WSRE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
 QR = """question_results AS (
 SELECT exam_result_id,q_num,q_type,score,max_points,status,confidence,needs_review FROM (
  SELECT l_orderkey AS exam_result_id, CAST(l_linenumber AS VARCHAR) AS q_num,
@@ -35,7 +40,8 @@ EQ = "exam_questions AS (SELECT q.*, e.exam_id, e.student_number, e.created_at F
 TOT = f"""totals AS (SELECT exam_result_id, {rnd('sum(score)', 2)} AS total_score, sum(max_points) AS total_max_points,
  bool_or(q_type = 'open_ended') AS had_ai, bool_or(needs_review OR status IN ('pending_review','ai_flagged','error')) AS needs_review
  FROM question_results GROUP BY 1)"""
-SR = "scored AS (SELECT e.*, t.total_score, t.total_max_points, t.had_ai, t.needs_review FROM exam_results e JOIN totals t USING (exam_result_id))"
+SR = """scored AS (SELECT e.*, coalesce(t.total_score, 0) AS total_score, coalesce(t.total_max_points, 0) AS total_max_points,
+ coalesce(t.had_ai, FALSE) AS had_ai, coalesce(t.needs_review, FALSE) AS needs_review FROM exam_results e LEFT JOIN totals t USING (exam_result_id))"""
 BASE = f"WITH {QR}, {ER}, {EQ}, {TOT}, {SR}"
 
 PAGE = """page AS (
@@ -119,7 +125,7 @@ APH = """asum AS (SELECT a.change_id, sum(coalesce((SELECT arg_max(c.new_score,
    FROM approvals a JOIN question_results q USING (exam_result_id) GROUP BY 1),
  aph0 AS (SELECT a.change_id, a.exam_result_id, a.status, a.approved_by,
    coalesce(a.final_score, CASE WHEN x.touched THEN x.s ELSE s.total_score END) AS final_score
-   FROM approvals a JOIN scored s USING (exam_result_id) JOIN asum x ON x.change_id = a.change_id),
+   FROM approvals a JOIN scored s USING (exam_result_id) LEFT JOIN asum x ON x.change_id = a.change_id),
  aph AS (SELECT *, lag(status) OVER w AS old_status, lag(final_score) OVER w AS old_final, lag(approved_by) OVER w AS old_by
    FROM aph0 WINDOW w AS (PARTITION BY exam_result_id ORDER BY change_id))"""
 STATE = f"{BASE}, {CHG}, {APR}, {HIST}, {NOW}, {APH}"
@@ -135,7 +141,7 @@ DIFF = f"""difficulty AS (SELECT exam_id, q_num, min(q_type) AS q_type, {rnd('su
 SQL: dict[str, str] = {}
 
 # ---- totals and cohort
-SQL["student_totals"] = f"{BASE} SELECT * FROM totals"
+SQL["student_totals"] = f"{BASE} SELECT exam_result_id, total_score, total_max_points, had_ai, needs_review FROM scored"
 SQL["needs_review"] = f"""{BASE} SELECT exam_result_id, bool_or(needs_review OR status IN ('pending_review','ai_flagged','error')) AS in_store,
  bool_or(needs_review OR confidence < 0.8) AS on_sheet, bool_or(needs_review OR confidence < 0.8) AS in_summary,
  count(*) FILTER (needs_review) AS flagged FROM question_results GROUP BY 1"""
@@ -144,8 +150,8 @@ SQL["exam_summary"] = f"""{BASE} SELECT exam_id, count(*) AS students, {rnd('sum
  arg_min(total_max_points, exam_result_id) AS max_points FROM scored GROUP BY 1"""
 SQL["papers_needing_review"] = f"""{BASE} SELECT exam_id, count(DISTINCT exam_result_id) FILTER (needs_review OR confidence < 0.8) AS papers_needing_review
  FROM exam_questions GROUP BY 1"""
-SQL["exam_header"] = f"""{BASE} SELECT exam_id, count(DISTINCT student_number) AS total_students, count(DISTINCT q_num) AS total_questions
- FROM exam_questions GROUP BY 1"""
+SQL["exam_header"] = f"""{BASE} SELECT exam_id, count(DISTINCT e.student_number) AS total_students, count(DISTINCT q_num) AS total_questions
+ FROM exam_results e LEFT JOIN question_results q USING (exam_result_id) GROUP BY 1"""
 SQL["question_order"] = f"""{BASE} SELECT exam_id, q_num, CAST(row_number() OVER (PARTITION BY exam_id ORDER BY {NUM}) AS INT) AS position
  FROM (SELECT DISTINCT exam_id, q_num FROM exam_questions)"""
 SQL["accuracy_grouping_sets"] = f"""{BASE}, {JUDGED}
@@ -153,23 +159,23 @@ SQL["accuracy_grouping_sets"] = f"""{BASE}, {JUDGED}
  UNION ALL SELECT 'type', NULL, q_type, {ACC} FROM judged GROUP BY q_type UNION ALL SELECT 'overall', NULL, NULL, {ACC} FROM judged"""
 SQL["accuracy_by_type"] = f"WITH {QR}, judged AS (SELECT *, status='correct' AS ok, status='partial' AS part FROM question_results) SELECT q_type, {ACC} FROM judged GROUP BY 1"
 SQL["exam_accuracy"] = f"""{BASE}, {JUDGED}, a AS (SELECT exam_id, {ACC} FROM judged GROUP BY 1),
- t AS (SELECT exam_id, count(*) AS students, {rnd('sum(total_score/total_max_points*100)/count(*)', 1)} AS avg_score_pct FROM scored GROUP BY 1)
+ t AS (SELECT exam_id, count(*) AS students, {rnd('sum(total_score/greatest(total_max_points,1)*100)/count(*)', 1)} AS avg_score_pct FROM scored GROUP BY 1)
  SELECT * FROM t JOIN a USING (exam_id)"""
 SQL["per_question_status"] = f"""{BASE} SELECT exam_id, q_num, count(*) FILTER (status='correct') AS correct, count(*) FILTER (status='partial') AS partial,
  count(*) FILTER (status='blank') AS blank, count(*) FILTER (status='wrong') AS wrong, sum(score) AS points, sum(max_points) AS max_points,
  {rnd('sum(score)/sum(max_points)*100', 0)} AS points_pct FROM exam_questions GROUP BY 1,2"""
-SQL["overall_points"] = f"{BASE} SELECT sum(total_score) AS earned, sum(total_max_points) AS possible, {rnd('sum(total_score)/sum(total_max_points)*100', 1)} AS pct FROM totals"
-SQL["recovered_mean"] = f"{BASE} SELECT {rnd('sum(total_score/total_max_points*100)/count(*)', 1)} AS average_pct FROM totals"
+SQL["overall_points"] = f"{BASE} SELECT sum(total_score) AS earned, sum(total_max_points) AS possible, {rnd('sum(total_score)/sum(total_max_points)*100', 1)} AS pct FROM scored"
+SQL["recovered_mean"] = f"{BASE} SELECT {rnd('sum(total_score/greatest(total_max_points,1)*100)/count(*)', 1)} AS average_pct FROM scored"
 SQL["hardest_questions"] = f"""{BASE}, {CHG}, {NOW}, nowx AS (SELECT n.*, e.exam_id FROM now n JOIN exam_results e USING (exam_result_id)),
  {DIFF.format(src='nowx')} SELECT exam_id, rank, q_num, q_type, avg_pct, students FROM ranked WHERE rank <= 5"""
 SQL["class_summary"] = f"""{BASE}, {DIFF.format(src='exam_questions')},
  hard AS (SELECT exam_id, string_agg(concat_ws(':', q_num, q_type, CAST(avg_pct AS VARCHAR), CAST(students AS VARCHAR)), ';' ORDER BY rank) AS hardest
   FROM ranked WHERE rank <= 5 GROUP BY 1),
- p AS (SELECT exam_id, total_score/total_max_points*100 AS pct FROM scored)
+ p AS (SELECT exam_id, total_score/greatest(total_max_points,1)*100 AS pct FROM scored)
  SELECT exam_id, count(*) AS total_students, {rnd('avg(pct)', 1)} AS class_mean, {rnd('stddev_pop(pct)', 1)} AS class_std_dev,
   count(*) FILTER (pct < 50) AS below_passing, any_value(hardest) AS hardest FROM p JOIN hard USING (exam_id) GROUP BY 1"""
-SQL["score_histogram"] = f"""{BASE} SELECT exam_id, CAST(least(floor(total_score/total_max_points*100/10), 9) AS INT) AS bin, count(*) AS students FROM scored GROUP BY 1,2"""
-SQL["score_median"] = f"""{BASE} SELECT exam_id, {rnd('avg(total_score/total_max_points*100)', 4)} AS mean, {rnd('median(total_score/total_max_points*100)', 4)} AS median FROM scored GROUP BY 1"""
+SQL["score_histogram"] = f"""{BASE} SELECT exam_id, CAST(least(floor(total_score/greatest(total_max_points,1)*100/10), 9) AS INT) AS bin, count(*) AS students FROM scored GROUP BY 1,2"""
+SQL["score_median"] = f"""{BASE} SELECT exam_id, {rnd('avg(total_score/greatest(total_max_points,1)*100)', 4)} AS mean, {rnd('median(total_score/greatest(total_max_points,1)*100)', 4)} AS median FROM scored GROUP BY 1"""
 SQL["export_rows"] = f"WITH {ER} SELECT exam_id, exam_result_id, student_number, row_number() OVER (PARTITION BY exam_id ORDER BY exam_result_id) AS row_no FROM exam_results"
 SQL["newest_exams"] = f"WITH {ER} SELECT exam_id, max(created_at) AS created_at FROM exam_results GROUP BY 1 ORDER BY 2 DESC, 1 DESC"
 
@@ -265,9 +271,9 @@ SQL["option_verdicts"] = f"""WITH {MARK}, {MULTI}, {MKEY}
 # ---- answers
 # longest common subsequence by bit vectors in a recursion over the second text;
 # `sides` restates lower case, trimming and token order
-LCS = """pairs AS (SELECT pair_id, lower(trim(predicted)) AS a, lower(trim(expected)) AS b FROM text_pair),
+LCS = rf"""pairs AS (SELECT pair_id, trim(lower(predicted), {WS}) AS a, trim(lower(expected), {WS}) AS b FROM text_pair),
  sides AS (SELECT pair_id, 'plain' AS kind, a, b FROM pairs UNION ALL
-  SELECT pair_id, 'token', array_to_string(list_sort(string_split_regex(a, ' +')), ' '), array_to_string(list_sort(string_split_regex(b, ' +')), ' ') FROM pairs),
+  SELECT pair_id, 'token', array_to_string(list_sort(string_split_regex(a, '{WSRE}')), ' '), array_to_string(list_sort(string_split_regex(b, '{WSRE}')), ' ') FROM pairs),
  walk AS (SELECT pair_id, kind, a, b, 0 AS i, CAST((1::HUGEINT << length(a)) - 1 AS HUGEINT) AS v FROM sides
   UNION ALL
   SELECT pair_id, kind, a, b, i + 1, CAST(((v + (v & m)) | (v - (v & m))) & ((1::HUGEINT << length(a)) - 1) AS HUGEINT) FROM (
@@ -392,13 +398,13 @@ SQL["student_number"] = f"""WITH n AS (SELECT o_orderkey AS k, lpad(CAST(o_custk
  CAST(agreements AS INT) AS agreements, CAST(disagreements AS INT) AS disagreements, CAST(overrides AS INT) AS overrides FROM z"""
 AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SQL["restricted_argmax"] = f"""WITH e AS (SELECT vec_id, label, unnest(range(1, 27)) AS i, embedding FROM embeddings),
- x AS (SELECT vec_id, label, i, CAST(embedding[i] AS DOUBLE) * 10 AS lg FROM e),
+ x AS (SELECT vec_id, label, i, (CAST(embedding[i] AS DOUBLE) + coalesce(CAST(embedding[i + 26] AS DOUBLE), 0) + coalesce(CAST(embedding[i + 52] AS DOUBLE), 0)) * 10 AS lg FROM e),
  p AS (SELECT vec_id, label, i, exp(lg) / sum(exp(lg)) OVER (PARTITION BY vec_id) AS p, substr('{AZ}', CAST(i AS INT), 1) AS letter FROM x),
  ok AS (SELECT *, vec_id % 3 = 0 OR letter IN (substr('{AZ}', label % 26 + 1, 1), substr('{AZ}', (label + 5) % 26 + 1, 1), substr('{AZ}', (label + 11) % 26 + 1, 1)) AS legal FROM p)
  SELECT vec_id, arg_max(letter, p) AS letter, {rnd('max(p)', 4)} AS confidence FROM ok WHERE legal GROUP BY 1"""
-SQL["token_confidence"] = f"""WITH t AS (SELECT vec_id, list_sort(list_transform(embedding, lambda x: {rnd('least(abs(CAST(x AS DOUBLE)) * 4, 1.0)', 4)})) AS s FROM embeddings),
- u AS (SELECT vec_id, CASE WHEN vec_id % 10 = 0 THEN [] ELSE s[20 + vec_id % 40 : 24 + vec_id % 40] END AS p FROM t)
- SELECT vec_id, {rnd('CASE WHEN len(p) = 0 THEN 0.5 ELSE (p[1]+p[2]+p[3]+p[4]+p[5]) / 5 * CASE WHEN list_min(p) < 0.2 THEN 0.5 WHEN list_min(p) < 0.4 THEN 0.7 ELSE 1.0 END END * 0.9', 4)} AS confidence FROM u"""
+SQL["token_confidence"] = f"""WITH t AS (SELECT vec_id, list_sort(list_transform(embedding, lambda x: {rnd('greatest(least(abs(CAST(x AS DOUBLE)) * 4, 1.0), (vec_id % 3) / 4.0)', 4)})) AS s FROM embeddings),
+ u AS (SELECT vec_id, CASE WHEN vec_id % 10 = 0 THEN [] ELSE s END AS p FROM t)
+ SELECT vec_id, {rnd('CASE WHEN len(p) = 0 THEN 0.5 ELSE list_sum(p) / len(p) * CASE WHEN list_min(p) < 0.2 THEN 0.5 WHEN list_min(p) < 0.4 THEN 0.7 ELSE 1.0 END END * 0.9', 4)} AS confidence FROM u"""
 
 # ---- verdicts
 RUB = f"""r AS (SELECT *, (coalesce(rating, 1) - 1) / 4.0 * max_points - CASE WHEN missed THEN 0.25 * max_points ELSE 0 END AS raw FROM verdict),
@@ -419,12 +425,12 @@ SQL["grader_reply"] = f"WITH {JUST} SELECT doc_id, CASE WHEN {FLAG} THEN 'ai_fla
 SQL["verdict_json"] = """SELECT doc_id, doc_id % 7 <> 0 AS parsed,
  CASE WHEN doc_id % 7 = 0 THEN -1 ELSE CAST(length(regexp_replace(replace(replace(text, '"', chr(39)), chr(92), chr(39)), '[ \t\n\r\f\v]+', ' ', 'g')) + CASE WHEN doc_id % 3 = 0 THEN 3 ELSE 0 END AS INT) END AS length,
  CASE WHEN doc_id % 7 = 0 THEN '' ELSE CAST(doc_id % 5 + 1 AS VARCHAR) END AS rating, doc_id % 7 <> 0 AS missed FROM documents"""
-SQL["score_reply"] = """SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 0.0 ELSE CAST(least(doc_id % 14, 10) AS DOUBLE) END AS score,
+SQL["score_reply"] = f"""SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 0.0 ELSE CAST(least(doc_id % 14, 10) AS DOUBLE) END AS score,
  CASE WHEN doc_id % 6 = 0 THEN 0.0 ELSE least(CAST(doc_id % 12 AS DOUBLE) / 10, 1.0) END AS confidence,
  CASE WHEN doc_id % 6 = 0 THEN 'ai_error' ELSE 'ai_graded' END AS status, doc_id % 6 = 0 OR doc_id % 12 < 8 AS needs_review,
- CAST(CASE WHEN doc_id % 6 = 0 THEN 19 + least(200, length(trim(text, ' '))) ELSE 1 + length(CAST(doc_id AS VARCHAR)) END AS INT) AS length FROM documents"""
-SQL["bullets"] = """WITH t AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\r\n|\n|\r'),
-  lambda x: trim(ltrim(trim(x, ' '), '-•*0123456789. '), ' ')), lambda x: length(x) > 5)[1:3] AS b FROM documents)
+ CAST(CASE WHEN doc_id % 6 = 0 THEN 19 + length(trim(text, {WS})) ELSE 1 + length(CAST(doc_id AS VARCHAR)) END AS INT) AS length FROM documents"""
+SQL["bullets"] = rf"""WITH t AS (SELECT doc_id, list_filter(list_transform(string_split_regex(CASE WHEN doc_id % 3 = 0 THEN concat(chr(9), '- ', chr(160), 'first point here', chr(12), chr(10), text) ELSE text END, '\r\n|\n|\r|\x0b|\x0c|\x{{85}}|\x{{2028}}|\x{{2029}}'),
+  lambda x: trim(ltrim(trim(x, {WS}), '-•*0123456789. '), {WS})), lambda x: length(x) > 5)[1:3] AS b FROM documents)
  SELECT doc_id, CAST(len(b) AS INT) AS n, md5(array_to_string(b, '|')) AS digest FROM t"""
 
 # ---- store and changes
@@ -488,19 +494,25 @@ def _sheet_cells(table: str, classes: bool) -> str:
     return f"""SELECT exam_result_id, {', '.join(cols)}, count(*) AS n, bool_or(needs_review OR confidence < 0.8) AS rv FROM {table} GROUP BY 1"""
 
 
+def _filled(classes: bool) -> str:
+    """The sheet's question columns; a paper without questions has the defaults."""
+    kinds = {"Score": "0.0", "Conf": "0.0", "Detail": "''"} | ({"Class": "'none'", "Low": "TRUE"} if classes else {})
+    return ", ".join(f'coalesce(w."Q{i} {k}", {d}) AS "Q{i} {k}"' for i in range(1, 8) for k, d in kinds.items())
+
+
 SHEET = f"""{BASE}, rows_ AS (SELECT *, row_number() OVER (PARTITION BY exam_id ORDER BY exam_result_id) AS rn FROM scored),
  wide AS ({{cells}}),
  sheet AS (SELECT r.exam_result_id, r.rn AS "#", r.student_number AS "Student Number", {rnd('CAST(70 + exam_result_id % 30 AS DOUBLE)/100.0*100', 1)} AS "SN Confidence",
-  w.* EXCLUDE (exam_result_id, n, rv), {rnd('r.total_score', 2)} AS "Total Score", r.total_max_points AS "Max Points",
-  {rnd('r.total_score/r.total_max_points*100', 1)} AS "Percentage", CASE WHEN w.n < 7 OR w.rv THEN 'YES' ELSE '' END AS "Needs Review"
-  FROM rows_ r JOIN wide w USING (exam_result_id))"""
-SQL["score_sheet_pivot"] = SHEET.format(cells=_sheet_cells("question_results", True)) + " SELECT * FROM sheet"
+  {{filled}}, {rnd('r.total_score', 2)} AS "Total Score", r.total_max_points AS "Max Points",
+  {rnd('r.total_score/greatest(r.total_max_points,1)*100', 1)} AS "Percentage", CASE WHEN coalesce(w.n, 0) < 7 OR w.rv THEN 'YES' ELSE '' END AS "Needs Review"
+  FROM rows_ r LEFT JOIN wide w USING (exam_result_id))"""
+SQL["score_sheet_pivot"] = SHEET.format(cells=_sheet_cells("question_results", True), filled=_filled(True)) + " SELECT * FROM sheet"
 SQL["current_sheet"] = f"""{BASE}, {CHG}, {NOW}, wide AS ({_sheet_cells('now', False)}),
  t AS (SELECT exam_result_id, sum(score) AS s FROM now GROUP BY 1), rows_ AS (SELECT *, row_number() OVER (PARTITION BY exam_id ORDER BY exam_result_id) AS rn FROM scored)
- SELECT exam_result_id, rn AS "#", {', '.join(f'w."Q{i} Score"' for i in range(1, 8))}, {rnd('t.s', 2)} AS "Total Score",
- {rnd('t.s/r.total_max_points*100', 1)} AS "Percentage", CASE WHEN w.n < 7 OR w.rv THEN 'YES' ELSE '' END AS "Needs Review"
- FROM rows_ r JOIN wide w USING (exam_result_id) JOIN t USING (exam_result_id)"""
-LONG = SHEET.format(cells=_sheet_cells("question_results", False)) + ", long AS (" + " UNION ALL ".join(
+ SELECT exam_result_id, rn AS "#", {', '.join(f'coalesce(w."Q{i} Score", 0.0) AS "Q{i} Score"' for i in range(1, 8))}, {rnd('coalesce(t.s, 0)', 2)} AS "Total Score",
+ {rnd('coalesce(t.s, 0)/greatest(r.total_max_points,1)*100', 1)} AS "Percentage", CASE WHEN coalesce(w.n, 0) < 7 OR w.rv THEN 'YES' ELSE '' END AS "Needs Review"
+ FROM rows_ r LEFT JOIN wide w USING (exam_result_id) LEFT JOIN t USING (exam_result_id)"""
+LONG = SHEET.format(cells=_sheet_cells("question_results", False), filled=_filled(False)) + ", long AS (" + " UNION ALL ".join(
     f"""SELECT CAST(exam_result_id AS VARCHAR) AS exam_id, "Student Number" AS student_number, '{i}' AS q_num, "Q{i} Score" AS score,
  {rnd(f'"Q{i} Conf" / 100', 4)} AS confidence, "Q{i} Detail" AS detail, "Needs Review" AS sheet_review FROM sheet""" for i in range(1, 8)) + ")"
 SQL["sheet_unpivot"] = f"{LONG} SELECT * FROM long"
@@ -566,9 +578,9 @@ SQL["safe_numbers"] = """SELECT event_id, CASE WHEN event_type = 'error' THEN -1
  value / 100 < 0.8 AS low FROM events"""
 
 # ---- text
-SQL["text_cleanup"] = """SELECT doc_id, CAST(length(rtrim(text, ' .,;:!?_-' || chr(39) || '"`*')) AS INT) AS stripped, md5(regexp_replace(text, '[^0-9]', '', 'g')) AS digits,
- substr(regexp_replace(upper(text), '\\P{L}', '', 'g'), 1, 1) AS letter,
- CAST(length(trim(CASE WHEN contains(text, ':') THEN substr(text, strpos(text, ':') + 1) ELSE text END, ' ')) AS INT) AS after_colon FROM documents"""
+SQL["text_cleanup"] = rf"""SELECT doc_id, CAST(length(rtrim(text, ' .,;:!?_-' || chr(39) || '"`*')) AS INT) AS stripped, md5(regexp_replace(text, '[^0-9]', '', 'g')) AS digits,
+ substr(regexp_replace(upper(text), '\P{{L}}', '', 'g'), 1, 1) AS letter,
+ CAST(length(trim(CASE WHEN contains(text, ':') THEN substr(text, strpos(text, ':') + 1) ELSE text END, {WS})) AS INT) AS after_colon FROM documents"""
 SQL["identifiers"] = """WITH t AS (SELECT *, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE concat('24', o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '?' ELSE '' END) END AS num FROM orders),
  u AS (SELECT *, CASE WHEN o_orderkey % 7 = 0 THEN '../a.jpg' ELSE concat(replace(num, '?', 'X'), '_page', o_orderkey % 4 + 1, '.jpg') END AS nm FROM t)
  SELECT o_orderkey, nm AS image_name, o_orderkey % 7 <> 0 AS is_safe, CASE WHEN num = '' THEN concat('unknown_', o_orderkey + 1) ELSE num END AS student_number,
@@ -580,9 +592,12 @@ SQL["type_codes"] = f"""WITH {QR} SELECT exam_result_id, q_num, CASE q_type WHEN
 SQL["fingerprints"] = """SELECT c_custkey, md5(concat('{"c_custkey":', c_custkey, ',"c_name":"', c_name, '","c_mktsegment":"', c_mktsegment, '"}')) AS fingerprint FROM customer"""
 SQL["data_uris"] = "SELECT doc_id, md5(text) AS digest FROM documents"
 # bytes 81 8D 8F 90 9D have no character in the code page: such texts cannot be garbled
-SQL["mojibake"] = """WITH t AS (SELECT doc_id, replace(replace(replace(replace(replace(replace(replace(text, '—', '-'), '–', '-'), '“', '"'), '”', '"'), '‘', chr(39)), '’', chr(39)), '…', '...') AS x,
- regexp_matches(hex(encode(text)), '^(?:..)*(?:81|8D|8F|90|9D)') AS lost FROM documents)
- SELECT doc_id, CASE WHEN lost THEN '' ELSE md5(x) END AS digest FROM t"""
+_BYTES = "[" + ",".join(f"chr({ord(bytes([b]).decode('cp1252')) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else b})" for b in range(1, 256)) + "]"
+# a text whose bytes have no character in the code page stays garbled
+SQL["mojibake"] = f"""WITH b AS (SELECT doc_id, text, regexp_matches(hex(encode(text)), '^(?:..)*(?:81|8D|8F|90|9D)') AS lost FROM documents),
+ g AS (SELECT doc_id, CASE WHEN lost THEN array_to_string(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: m[('0x' || x)::INT]), '') ELSE text END AS text FROM b, (SELECT {_BYTES} AS m)),
+ t AS (SELECT doc_id, replace(replace(replace(replace(replace(replace(replace(text, '—', '-'), '–', '-'), '“', '"'), '”', '"'), '‘', chr(39)), '’', chr(39)), '…', '...') AS x FROM g)
+ SELECT doc_id, md5(x) AS digest FROM t"""
 SQL["strip_images"] = """SELECT doc_id, concat('{"doc_id":', doc_id, ',"b":{"lang":"', lang, '","items":[{"source":"', source, '"}]}}') AS body FROM documents"""
 SQL["allowed_letters"] = """SELECT p_partkey, array_to_string(list_sort(list_distinct(CASE WHEN p_size > 25 THEN [upper(p_name[1]), upper(p_type[1])] ELSE [upper(p_name[1])] END)), ',') AS allowed FROM part"""
 SQL["request_dedupe"] = """WITH RECURSIVE t AS (SELECT concat_ws('/', CAST(user_id AS VARCHAR), event_type) AS fp, epoch_us(ts) AS t,
@@ -605,7 +620,7 @@ SQL["number_region"] = """SELECT p_partkey, 426.0::DOUBLE AS x, 117.0::DOUBLE AS
 # raster lines of 64 bytes as hex; a segment of a line is counted pair by pair
 _DARK = """SELECT b.doc_id, b.key, CAST(sum(len(list_filter(range(0, w0), lambda j: substr(seg, 2*j+1, 2) <= '8C'))) AS DOUBLE) / (any_value(w0) * any_value(h0)) AS share
  FROM (SELECT b.*, substr(l.line, 2*x0+1, 2*w0) AS seg FROM {src} b JOIN lines l ON l.doc_id = b.doc_id AND l.yy >= y0 AND l.yy < y0 + h0) b GROUP BY 1,2"""
-SQL["dark_shares"] = f"""WITH d AS (SELECT doc_id, hex(encode(text)) AS hx, CAST(length(hex(encode(text))) // 128 AS BIGINT) AS ht FROM documents WHERE length(hex(encode(text))) >= 128),
+SQL["dark_shares"] = f"""WITH d AS (SELECT doc_id, rpad(hex(encode(text)), CAST((length(hex(encode(text))) + 127) // 128 * 128 AS INT), 'F') AS hx, CAST((length(hex(encode(text))) + 127) // 128 AS BIGINT) AS ht FROM documents WHERE length(text) > 0),
  lines AS (SELECT doc_id, yy, substr(hx, CAST(128*yy+1 AS BIGINT), 128) AS line FROM (SELECT *, unnest(range(0, ht)) AS yy FROM d)),
  bx AS (SELECT doc_id, ht, 'whole' AS key, 0 AS x, 0 AS y, 64 AS w, ht AS h FROM d UNION ALL SELECT doc_id, ht, 'inner', 10, 1, 30, 12 FROM d
   UNION ALL SELECT doc_id, ht, 'tiny', 62, 0, 4, 6 FROM d),

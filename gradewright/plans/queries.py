@@ -37,7 +37,7 @@ def query(fn: Query) -> Query:
 
 @query
 def student_totals(spark, sf):
-    return cohort.student_totals(src.question_results(spark, sf), RESULT)
+    return src.scored_results(spark, sf).select(*RESULT, "total_score", "total_max_points", "had_ai", "needs_review")
 
 
 @query
@@ -64,7 +64,7 @@ def papers_needing_review(spark, sf):
 
 @query
 def exam_header(spark, sf):
-    return cohort.exam_header(src.exam_questions(spark, sf), EXAM, "student_number")
+    return cohort.exam_header(src.exam_results(spark, sf), src.exam_questions(spark, sf), EXAM, "student_number")
 
 
 @query
@@ -84,9 +84,7 @@ def accuracy_by_type(spark, sf):
 
 @query
 def exam_accuracy(spark, sf):
-    q = src.exam_questions(spark, sf)
-    totals = cohort.student_totals(q, ["exam_id", *RESULT])
-    return cohort.exam_accuracy(cohort.judged(q), totals)
+    return cohort.exam_accuracy(cohort.judged(src.exam_questions(spark, sf)), src.scored_results(spark, sf))
 
 
 @query
@@ -96,13 +94,12 @@ def per_question_status(spark, sf):
 
 @query
 def overall_points(spark, sf):
-    totals = cohort.student_totals(src.question_results(spark, sf), RESULT)
-    return cohort.overall_points(totals)
+    return cohort.overall_points(src.scored_results(spark, sf))
 
 
 @query
 def recovered_mean(spark, sf):
-    return cohort.recovered_mean(cohort.student_totals(src.question_results(spark, sf), RESULT))
+    return cohort.recovered_mean(src.scored_results(spark, sf))
 
 
 @query
@@ -116,9 +113,7 @@ def hardest_questions(spark, sf):
 
 @query
 def class_summary(spark, sf):
-    q = src.exam_questions(spark, sf)
-    totals = cohort.student_totals(q, ["exam_id", *RESULT])
-    out = cohort.class_summary(totals, q)
+    out = cohort.class_summary(src.scored_results(spark, sf), src.exam_questions(spark, sf))
     lines = F.transform(
         "hardest", lambda h: F.concat_ws(":", h["q_num"], h["q_type"], h["avg_pct"].cast("string"), h["students"].cast("string"))
     )
@@ -332,7 +327,7 @@ def option_verdicts(spark, sf):
 
 @query
 def fuzzy_match(spark, sf):
-    p = src.text_pairs(spark, sf).withColumn("s", similarity("predicted", "expected"))
+    p = src.noisy_pairs(spark, sf).withColumn("s", similarity("predicted", "expected"))
     return p.select("pair_id", is_fuzzy_match(F.col("s")).alias("is_match"), rounded_similarity(F.col("s")).alias("similarity"))
 
 
@@ -340,12 +335,12 @@ def fuzzy_match(spark, sf):
 def fuzzy_decision(spark, sf):
     """Only the yes or no: hopeless pairs never reach the comparison."""
     s = similarity("predicted", "expected", decide_only=True)
-    return src.text_pairs(spark, sf).select("pair_id", is_fuzzy_match(s).alias("is_match"))
+    return src.noisy_pairs(spark, sf).select("pair_id", is_fuzzy_match(s).alias("is_match"))
 
 
 @query
 def reader_agreement(spark, sf):
-    return src.text_pairs(spark, sf).select("pair_id", num.round_half_up(agreement("predicted", "expected"), 4).alias("agreement"))
+    return src.noisy_pairs(spark, sf).select("pair_id", num.round_half_up(agreement("predicted", "expected"), 4).alias("agreement"))
 
 
 def _cells(spark, sf):
@@ -359,7 +354,9 @@ def _cells(spark, sf):
     read = pairs.select("pair_id", cell(got).alias("pos", "text")).select(
         "pair_id",
         (F.col("pos") + 1).cast("string").alias("item"),
-        F.when((F.col("pair_id") + F.col("pos")) % 5 == 0, "").otherwise(F.col("text")).alias("text"),
+        F.when((F.col("pair_id") + F.col("pos")) % 5 == 0, src.noise(F.col("pair_id")))
+        .otherwise(F.concat("text", src.noise(F.col("pair_id") + F.col("pos"))))
+        .alias("text"),
         (F.lit(0.7) + ((F.col("pair_id") + F.col("pos")) % 4) / 10).alias("confidence"),
         (F.col("pair_id") % 11 == 0).alias("needs_review"),
     )
@@ -450,7 +447,7 @@ def best_reading(spark, sf):
 
 @query
 def first_non_empty(spark, sf):
-    r = src.readings(spark, sf).withColumn("text", F.when(F.col("confidence") < 0.3, " ").otherwise(F.col("text")))
+    r = src.readings(spark, sf).withColumn("text", F.when(F.col("confidence") < 0.3, src.noise(F.col("ord"))).otherwise(F.col("text")))
     return readers.first_non_empty(r, ["box_id"])
 
 
@@ -460,7 +457,7 @@ def words_to_cell(spark, sf):
     words = e.select(
         F.floor(F.col("event_id") / 5).cast("bigint").alias("cell"),
         F.col("event_id").alias("pos"),
-        F.when(F.col("event_type") == "view", " ").otherwise(F.col("event_type")).alias("text"),
+        F.when(F.col("event_type") == "view", src.noise(F.col("event_id"))).otherwise(F.col("event_type")).alias("text"),
         F.when(F.col("event_type") == "error", -1.0).otherwise(F.least(F.col("value"), F.lit(100.0))).alias("conf"),
     )
     return readers.words_to_cell(words, ["cell"])
@@ -472,7 +469,7 @@ def _variants(spark, sf):
         F.floor(F.col("event_id") / 12).cast("bigint").alias("answer"),
         (F.floor(F.col("event_id") / 4) % 3).cast("int").alias("line_no"),
         (F.col("event_id") % 4).cast("int").alias("ord"),
-        F.when(F.col("event_type") == "error", "").otherwise(F.concat(F.col("event_type"), F.col("user_id").cast("string"))).alias("text"),
+        F.when(F.col("event_type") == "error", src.noise(F.col("event_id"))).otherwise(F.concat(F.col("event_type"), F.col("user_id").cast("string"))).alias("text"),
         num.round_half_up(F.least(F.col("value") / 100, F.lit(1.0)), 2).alias("confidence"),
     )
 
@@ -538,18 +535,20 @@ def restricted_argmax(spark, sf):
     letter = lambda by: F.substr(F.lit(probability.LETTERS), ((F.col("label") + by) % 26 + 1).cast("int"), F.lit(1))
     allowed = F.when(F.col("vec_id") % 3 != 0, F.array(letter(0), letter(5), letter(11)))
     # scaled up: the components of a unit vector give nearly flat probabilities
-    logits = F.transform(F.slice("embedding", 1, 26), lambda x: x.cast("double") * 10)
+    # the whole vector, folded into 26 classes
+    part = lambda i, k: F.coalesce(F.get("embedding", i + 26 * k).cast("double"), F.lit(0.0))
+    logits = F.transform(F.sequence(F.lit(0), F.lit(25)), lambda i: (part(i, 0) + part(i, 1) + part(i, 2)) * 10)
     pick = probability.restricted_argmax(logits, allowed)
     return e.select("vec_id", pick.alias("r")).select("vec_id", "r.letter", num.round_half_up("r.confidence", 4).alias("confidence"))
 
 
 @query
 def token_confidence(spark, sf):
-    probs = F.transform("embedding", lambda x: num.round_half_up(F.least(F.abs(x.cast("double")) * 4, F.lit(1.0)), 4))
+    # a floor by vector, so that weak, middling and sure readings all occur
+    floor = (F.col("vec_id") % 3) / 4
+    probs = F.transform("embedding", lambda x: num.round_half_up(F.greatest(F.least(F.abs(x.cast("double")) * 4, F.lit(1.0)), floor), 4))
     e = table(spark, sf, "embeddings")
-    used = F.when(F.col("vec_id") % 10 == 0, F.array().cast("array<double>")).otherwise(
-        F.slice(F.array_sort(probs), F.lit(20) + (F.col("vec_id") % 40).cast("int"), F.lit(5))
-    )
+    used = F.when(F.col("vec_id") % 10 == 0, F.array().cast("array<double>")).otherwise(probs)
     return e.select("vec_id", probability.token_confidence(used).alias("confidence"))
 
 
@@ -633,7 +632,8 @@ def score_reply(spark, sf):
 
 @query
 def bullets(spark, sf):
-    b = text.bullet_lines("text")
+    listed = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("\t- \xa0first point here\x0c\n"), "text")).otherwise(F.col("text"))
+    b = text.bullet_lines(listed)
     return table(spark, sf, "documents").select(
         "doc_id", F.size(b).alias("n"), F.md5(F.array_join(b, "|")).alias("digest")
     )
@@ -973,7 +973,7 @@ def text_cleanup(spark, sf):
         F.length(text.strip_trailing_noise("text")).alias("stripped"),
         F.md5(text.digits_only("text")).alias("digits"),
         text.first_letter("text").alias("letter"),
-        F.length(text.after_preamble("text")).alias("after_colon"),
+        F.length(text.after_preamble(F.concat("text", src.noise(F.col("doc_id"))))).alias("after_colon"),
     )
 
 
@@ -1019,15 +1019,13 @@ def data_uris(spark, sf):
 
 @query
 def mojibake(spark, sf):
-    """Texts garbled by a wrong decode, repaired; exact except where the garbling
-    itself was not reversible."""
+    """Texts garbled by a wrong decode, repaired; where the garbling was not reversible, the garbled text stays
+    and only its dashes and quotes are spelled in ASCII."""
     d = table(spark, sf, "documents")
     garbled = F.translate(
         F.decode(F.encode("text", "UTF-8"), "ISO-8859-1"), text.CP1252_BYTES.decode("latin-1"), text.CP1252_CHARS
     )
-    lost = garbled.rlike(r"[\x{80}-\x{9F}]")
-    repaired = text.repair_mojibake(garbled)
-    return d.select("doc_id", F.when(lost, F.lit("")).otherwise(F.md5(repaired)).alias("digest"))
+    return d.select("doc_id", F.md5(text.repair_mojibake(garbled)).alias("digest"))
 
 
 @query
@@ -1089,11 +1087,12 @@ def number_region(spark, sf):
 
 @query
 def dark_shares(spark, sf):
-    """Texts as grey rasters 64 bytes wide: dark share of three boxes each."""
+    """Texts as grey rasters 64 bytes wide, the last row filled up with white: dark share of three boxes each."""
     raw = F.encode("text", "UTF-8")
     d = table(spark, sf, "documents").select("doc_id", raw.alias("data")).withColumn(
-        "height", F.floor(F.length("data") / 64).cast("int")
+        "height", F.ceil(F.length("data") / 64).cast("int")
     )
+    d = d.withColumn("data", F.expr("rpad(data, height * 64, x'FF')"))
     box = lambda key, x, y, w, h: F.struct(
         F.lit(key).alias("key"), *[v.cast("double").alias(n) for n, v in zip("xywh", (x, y, w, h))]
     )

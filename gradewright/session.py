@@ -38,23 +38,6 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/gradewright/{name}"
 
 
-# columns to spread a table by when it comes in fewer splits than there are cores
-SPREAD_KEYS = {
-    "lineitem": ("l_orderkey", "l_linenumber"),
-    "orders": ("o_orderkey",),
-    "events": ("event_id",),
-    "documents": ("doc_id",),
-    "part": ("p_partkey",),
-    "embeddings": ("vec_id",),
-}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table. Small files hold a single row group, which one task would
-    read and process alone; those are spread over the cores right after the scan.
-    Inputs with enough splits are taken as they are."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in SPREAD_KEYS and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, *SPREAD_KEYS[name])
-    return df
+    """A driver table. How it is split is up to the session's configuration."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -1,31 +1,32 @@
 import json
 
 import pytest
+import sample_payload
 from conftest import rows
 from pyspark.sql import functions as F
 
 from gradewright.operators import changes, cohort, payload, sheet, tree
-from gradewright.sources import demo, results, store
+from gradewright.sources import results, store
 
 KEY = ["exam_id", "student_number", "q_num"]
 
 
 @pytest.fixture(scope="module")
 def tables(spark):
-    return payload.normalise(demo.demo_results(spark), results.question_schema())
+    return payload.normalise(sample_payload.results(spark), results.question_schema())
 
 
-def test_demo_counts(tables):
+def test_sample_counts(tables):
     assert {t: d.count() for t, d in tables.items()} == {
         "exams": 1, "exam_results": 2, "question_results": 6, "ocr_outputs": 6, "llm_evaluations": 2,
     }
     assert rows(tables["exam_results"], "student_number", "total_score", "total_max_points", "needs_review") == [
-        ("DEMO2025001", 27.0, 30.0, True), ("DEMO2025002", 10.0, 30.0, True),
+        ("77001", 13.0, 15.0, True), ("77002", 3.0, 15.0, True),
     ]
-    texts = rows(tables["ocr_outputs"].where("student_number = 'DEMO2025002'"), "q_num", "output_type", "text", "confidence")
+    texts = rows(tables["ocr_outputs"].where("student_number = '77002'"), "q_num", "output_type", "text", "confidence")
     assert texts == [
-        ("1", "multiple_choice", "C", 0.91), ("2", "fill_blanks:1", "photosinthesis", 0.64),
-        ("3", "open_ended_text", "Plants make food.", 0.61),
+        ("1", "multiple_choice", "D", 0.9), ("2", "fill_blanks:1", "bassalt", 0.6),
+        ("3", "open_ended_text", "Water moves.", 0.55),
     ]
 
 
@@ -60,13 +61,13 @@ def test_redelivery_replaces_an_exam_and_keeps_students(spark, tables, tmp_path)
 
     fewer = {
         "exams": tables["exams"],
-        "exam_results": tables["exam_results"].where("student_number = 'DEMO2025001'"),
-        "question_results": tables["question_results"].where("student_number = 'DEMO2025001' and q_num <> '3'"),
+        "exam_results": tables["exam_results"].where("student_number = '77001'"),
+        "question_results": tables["question_results"].where("student_number = '77001' and q_num <> '3'"),
     }
     other = {k: v.withColumn("exam_id", F.lit("0042")) for k, v in fewer.items()}
     s.replace_exams(other)
     s.replace_exams(fewer)
-    assert rows(s.read("exam_results"), "exam_id") == [("0042",), ("DEMO_EXAM_001",)]
+    assert rows(s.read("exam_results"), "exam_id") == [("0042",), ("GEO_7",)]
     assert s.read("llm_evaluations").count() == 0  # the new delivery has none
     assert rows(s.read("students")) == first_ids
     assert s.read("question_results").where("exam_id = '0042'").count() == 2
@@ -109,8 +110,8 @@ def test_validation_reports_rows(tables):
     assert changes.validate_store(tables).count() == 0
     twice = dict(tables, exam_results=tables["exam_results"].union(tables["exam_results"]), exams=tables["exams"].where("false"))
     got = rows(changes.validate_store(twice), "table_name", "rule", "row_key", "n")
-    assert ("exam_results", "unique", "DEMO_EXAM_001/DEMO2025001", 2) in got
-    assert ("exam_results", "refers to exams", "DEMO_EXAM_001", 1) in got
+    assert ("exam_results", "unique", "GEO_7/77001", 2) in got
+    assert ("exam_results", "refers to exams", "GEO_7", 1) in got
 
 
 def test_tree(tables):
@@ -118,29 +119,29 @@ def test_tree(tables):
         tables["exam_results"], tables["question_results"].select(*KEY, "q_type", "score"), tables["ocr_outputs"],
         tables["llm_evaluations"].select(*KEY, "model_name", "score"),
     )
-    r = t.where("student_number = 'DEMO2025001'").first()
+    r = t.where("student_number = '77001'").first()
     assert [q.q_num for q in r.questions] == ["1", "2", "3"]
-    assert r.questions[1].ocr_outputs[0].text == "photosynthesis" and r.questions[2].llm_evaluation.score == 7.0
+    assert r.questions[1].ocr_outputs[0].text == "basalt" and r.questions[2].llm_evaluation.score == 3.0
     assert r.questions[0].llm_evaluation is None
 
 
 def test_sheet_and_back(spark, tables, tmp_path):
-    st = tables["exam_results"].withColumn("row_no", F.when(F.col("student_number") == "DEMO2025001", 1).otherwise(2))
+    st = tables["exam_results"].withColumn("row_no", F.when(F.col("student_number") == "77001", 1).otherwise(2))
     q = tables["question_results"].withColumn("explanation", F.get_json_object("raw_result_json", "$.explanation"))
     wide = sheet.score_sheet(st, q, ["1", "2", "3", "4"], ["exam_id", "student_number"])
-    r = {x["Student Number"]: x for x in wide.collect()}["DEMO2025002"]
-    assert (r["Q2 Score"], r["Q2 Conf"], r["Q1 Detail"], r["Percentage"], r["Needs Review"]) == (6.0, 64.0, "wrong", 33.3, "YES")
+    r = {x["Student Number"]: x for x in wide.collect()}["77002"]
+    assert (r["Q2 Score"], r["Q2 Conf"], r["Q1 Detail"], r["Percentage"], r["Needs Review"]) == (2.0, 60.0, "wrong", 20.0, "YES")
     assert (r["Q4 Score"], r["Q4 Conf"], r["Q4 Detail"]) == (0.0, 0.0, "")
     path = str(tmp_path / "sheet")
     store.write_sheet_csv(wide, path)
     back = store.read_sheet_csv(spark, path)
     long = sheet.unpivot_sheet(back, ["1", "2", "3"])
-    key = spark.createDataFrame([("1", "multiple_choice", 10.0), ("2", "fill_blanks", 10.0), ("3", "open_ended", 10.0)], "q_num string, q_type string, points double")
+    key = spark.createDataFrame([("1", "multiple_choice", 5.0), ("2", "fill_blanks", 5.0), ("3", "open_ended", 5.0)], "q_num string, q_type string, points double")
     got = sheet.recover_results(long, key)
-    assert rows(got.where("student_number = 'DEMO2025002'"), "q_num", "status", "needs_review") == [
+    assert rows(got.where("student_number = '77002'"), "q_num", "status", "needs_review") == [
         ("1", "wrong", False), ("2", "partial", True), ("3", "graded", True),
     ]
-    assert "lacks detail" in long.where("q_num = '3' and student_number = 'DEMO2025001'").first().detail
+    assert "The sun is missing" in long.where("q_num = '3' and student_number = '77001'").first().detail
 
 
 def test_partition_overwrite_touches_delivered_exams_only(spark, tmp_path):
