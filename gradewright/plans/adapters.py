@@ -215,3 +215,32 @@ def answer_key(spark: SparkSession, sf: str) -> DataFrame:
         cells.alias("correct_cells"),
         F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("correct_text"),
     )
+
+
+def payload_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """A result payload per paper, as a line of JSON: every question with the fields its type has. Confidences are
+    missing in places, so that they come from cells or are 0."""
+    kind, number = F.col("q_type"), F.col("q_num")
+    cells = kind.isin("matching", "fill_blanks")
+    record = F.struct(
+        kind.alias("type"),
+        "score",
+        F.col("max_points").alias("maxPoints"),
+        "status",
+        F.when(~number.isin("2", "5"), F.col("confidence")).alias("confidence"),
+        F.col("needs_review").alias("needsReview"),
+        F.when(kind == "multiple_choice", F.lit("B")).alias("selected"),
+        F.when(cells, F.create_map(F.lit("1"), kind, F.lit("2"), F.col("status"))).alias("ocrAnswers"),
+        F.when(cells, F.create_map(F.lit("1"), F.lit(0.5), F.lit("2"), F.lit(1.0))).alias("ocrConfidences"),
+        F.when(kind == "open_ended", F.concat(F.lit("read "), number)).alias("studentReadText"),
+    )
+    papers = exam_questions(spark, sf).groupBy("exam_result_id", "student_number").agg(
+        F.map_from_entries(F.collect_list(F.struct("q_num", record.alias("r")))).alias("questions"),
+        F.sum("score").alias("totalScore"),
+        F.sum("max_points").alias("totalMaxPoints"),
+    )
+    student = F.struct(
+        F.col("student_number").alias("studentNumber"), F.lit(0.9).alias("studentNumberConfidence"), "questions", "totalScore", "totalMaxPoints"
+    )
+    doc = F.struct(F.concat(F.lit("P"), F.col("exam_result_id").cast("string")).alias("examId"), F.array(student).alias("students"))
+    return papers.select(F.to_json(doc).alias("value"))

@@ -312,8 +312,25 @@ SQL["score_cells"] = f"{CELLSQL}, {QSCORE} SELECT * FROM scored_cells"
 # read back from the cells themselves, not from the text
 SQL["detail_cells"] = f"""{CELLSQL} SELECT pair_id, coalesce(string_agg(concat(item, '=', predicted), ';' ORDER BY item) FILTER (cell_status='correct'), '') AS plain,
  coalesce(string_agg(concat(item, '=', predicted), ';' ORDER BY item) FILTER (cell_status <> 'blank'), '') AS complete FROM judged GROUP BY 1"""
-SQL["cell_explode"] = """SELECT p_partkey, '1' AS item, split_part(p_name,' ',1) AS text, 0.5::DOUBLE AS confidence FROM part
- UNION ALL SELECT p_partkey, '2', split_part(p_name,' ',2), 0.0 FROM part"""
+SQL["cell_explode"] = """SELECT p_partkey, '1' AS item, split_part(p_name,' ',1) AS text, 0.5::DOUBLE AS confidence, '' AS source FROM part
+ UNION ALL SELECT p_partkey, '2', split_part(p_name,' ',2), 0.0, 'line' FROM part"""
+# payloads: the confidence of a question is its own, else the mean of its cells, else 0
+PAY = f"""{BASE}, pay AS (SELECT concat('P', exam_result_id) AS exam_id, student_number, q_num, q_type, score, max_points, status,
+ CASE WHEN q_num NOT IN ('2', '5') THEN confidence WHEN q_type IN ('matching', 'fill_blanks') THEN 0.75 ELSE 0.0 END AS confidence,
+ needs_review OR status IN ('pending_review','ai_flagged','error') AS needs_review, status = 'correct' AS is_correct FROM exam_questions)"""
+SQL["payload_questions"] = f"{PAY} SELECT * FROM pay"
+OCR = """ocr AS (SELECT exam_id, q_num, q_type AS output_type, CASE WHEN q_type = 'multiple_choice' THEN 'B' ELSE '' END AS text, confidence FROM pay WHERE q_type IN ('multiple_choice', 'multi_select')
+ UNION ALL SELECT exam_id, q_num, concat(q_type, ':1'), q_type, 0.5 FROM pay WHERE q_type IN ('matching', 'fill_blanks')
+ UNION ALL SELECT exam_id, q_num, concat(q_type, ':2'), status, 1.0 FROM pay WHERE q_type IN ('matching', 'fill_blanks')
+ UNION ALL SELECT exam_id, q_num, 'open_ended_text', concat('read ', q_num), confidence FROM pay WHERE q_type = 'open_ended')"""
+SQL["payload_ocr"] = f"{PAY}, {OCR} SELECT * FROM ocr"
+SQL["payload_tables"] = f"""{PAY}, {OCR} SELECT 'total_score' AS name, CAST(sum(score) AS BIGINT) AS n FROM pay
+ UNION ALL SELECT 'exams', count(DISTINCT exam_id) FROM pay UNION ALL SELECT 'exam_results', count(DISTINCT exam_id) FROM pay
+ UNION ALL SELECT 'question_results', count(*) FROM pay UNION ALL SELECT 'ocr_outputs', count(*) FROM ocr
+ UNION ALL SELECT 'llm_evaluations', count(*) FROM pay WHERE q_type = 'open_ended'"""
+SQL["error_papers"] = f"""WITH {ER} SELECT exam_result_id, CASE WHEN exam_result_id % 3 > 0 THEN student_number ELSE concat('error_', exam_result_id % 40 + 1) END AS student_number,
+ CAST(exam_result_id % 40 AS INT) AS position, concat('unreadable page ', exam_result_id % 7) AS error,
+ 0.0::DOUBLE AS number_confidence, 0.0::DOUBLE AS total_score, 0.0::DOUBLE AS total_max_points FROM exam_results WHERE exam_result_id % 5 = 0"""
 SQL["open_ended"] = f"""WITH {QR} SELECT exam_result_id, q_num, max_points AS points, CASE WHEN needs_review THEN 0.0 ELSE score END AS score, max_points,
  CASE WHEN needs_review THEN 'pending_review' ELSE 'ai_graded' END AS status, CASE WHEN needs_review THEN 0.0 ELSE confidence END AS confidence,
  needs_review, CASE WHEN needs_review THEN 'Open-ended — awaiting manual review.' ELSE 'ok' END AS explanation

@@ -18,7 +18,7 @@ from gradewright.operators import scoring, series, sheet, stages, tree
 from gradewright.plans import adapters as src
 from gradewright.session import table
 from gradewright.settings import Thresholds
-from gradewright.sources import archetypes, scans
+from gradewright.sources import archetypes, results, scans
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -379,14 +379,62 @@ def match_cells(spark, sf):
 
 @query
 def cell_explode(spark, sf):
-    """Cells of a map column with their confidence looked up by key."""
+    """Cells of a question with confidence and source looked up by item."""
     p = table(spark, sf, "part")
     words = F.split("p_name", " ")
     cells = F.map_from_arrays(F.array(F.lit("1"), F.lit("2")), F.array(F.get(words, F.lit(0)), F.get(words, F.lit(1))))
-    confs = F.map_from_arrays(F.array(F.lit("1")), F.array(F.lit(0.5)))
-    return p.select("p_partkey", F.explode(cells).alias("item", "text"), confs.alias("c")).select(
-        "p_partkey", "item", "text", num.safe_double(F.try_element_at("c", F.col("item"))).alias("confidence")
+    q = F.struct(
+        cells.alias("ocrAnswers"),
+        F.create_map(F.lit("1"), F.lit(0.5)).alias("ocrConfidences"),
+        F.create_map(F.lit("2"), F.lit("line")).alias("ocrSources"),
     )
+    keys = [F.lit("e").alias("exam_id"), F.lit("s").alias("student_number"), F.col("p_partkey").alias("q_num")]
+    out = results.cells_of(p.select(*keys, q.alias("q")))
+    return out.select(F.col("q_num").alias("p_partkey"), "item", "text", "confidence", F.coalesce("source", F.lit("")).alias("source"))
+
+
+# ---- payloads ---------------------------------------------------------------
+
+
+def _payload(spark, sf):
+    return payload.students_of(results.results_from_text(src.payload_lines(spark, sf)))
+
+
+@query
+def payload_questions(spark, sf):
+    """Question rows of JSON payloads."""
+    rows = payload.question_results(payload.questions_of(_payload(spark, sf), results.question_schema()))
+    return rows.select("exam_id", "student_number", "q_num", "q_type", "score", "max_points", "status", "confidence", "needs_review", "is_correct")
+
+
+@query
+def payload_ocr(spark, sf):
+    """Read texts of JSON payloads in one table."""
+    out = payload.ocr_outputs(payload.questions_of(_payload(spark, sf), results.question_schema()))
+    return out.select("exam_id", "q_num", "output_type", "text", "confidence")
+
+
+@query
+def payload_tables(spark, sf):
+    """Rows of every store table of JSON payloads, and the papers' totals."""
+    tables = payload.normalise(results.results_from_text(src.payload_lines(spark, sf)), results.question_schema())
+    papers = tables["exam_results"].agg(F.sum("total_score").cast("bigint").alias("n")).select(F.lit("total_score").alias("name"), "n")
+    for name, df in tables.items():
+        papers = papers.unionByName(df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n"))
+    return papers
+
+
+@query
+def error_papers(spark, sf):
+    """Papers whose evaluation failed stay, with a stand-in number where theirs is unknown."""
+    k = F.col("exam_result_id")
+    papers = src.exam_results(spark, sf).select(
+        "exam_result_id",
+        F.when(k % 3 > 0, F.col("student_number")).alias("student_number"),
+        (k % 40).cast("int").alias("position"),
+        F.when(k % 5 == 0, F.concat(F.lit("unreadable page "), (k % 7).cast("string"))).alias("error"),
+    )
+    return scoring.error_papers(papers, "position", "error")
 
 
 @query
