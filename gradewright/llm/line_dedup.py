@@ -11,9 +11,7 @@ has an earlier line.
 3. A pair is a candidate if it meets at a code, its sizes can reach the similarity, its places in the two orders
    leave enough tokens for the overlap it needs, and so do the parities of 64 token buckets (a pair's sets differ in one
    token at least for every parity that differs).
-4. Candidates are confirmed on the words themselves. First every class is compared with the earliest class of each of its
-   codes; that settles most of a group of near copies without its pairs. Only classes that are still to stay then meet all
-   earlier classes of their codes.
+4. Candidates are confirmed on the words themselves. All links are found: in a group of near copies they are all its pairs.
 
 Only DataFrame functions run. Defined results: a null text has no lines; lines without a word are kept, have no class and no
 links; rows without doc_id come first; repeated rows share their places and are judged alike; extra columns pass through in ``clean``.
@@ -21,7 +19,7 @@ links; rows without doc_id come first; repeated rows share their places and are
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradewright.llm.common import BLANKS, keep, pieces, small
@@ -114,52 +112,44 @@ def index(sets: DataFrame) -> DataFrame:
     return sets.select(*INDEXED[:-1], F.posexplode("prefix").alias("at", "code"))
 
 
-def with_first(sets: DataFrame) -> DataFrame:
-    """Candidate pairs of every class with the earliest class of each of its codes."""
-    entry = F.struct(*[F.col(c) for c in ("doc", "line", "id", "n", "bits", "at")])
-    here = F.struct(*[F.col(c) for c in INDEXED])
-    first = F.min(entry).over(Window.partitionBy("code"))
-    pairs = index(sets).select(here.alias("b"), first.alias("a"))
-    return pairs.where(can_link("a", "b")).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-
-
-def with_all(sets: DataFrame, gone: DataFrame) -> DataFrame:
-    """Candidate pairs of the classes that are not gone with all earlier classes of their codes."""
-    rest = index(sets.join(gone, "id", "left_anti"))
-    a, b = index(sets).alias("a"), rest.alias("b")
+def candidates(sets: DataFrame) -> DataFrame:
+    """Pairs of classes, ``a`` before ``b``, that the prefix, length, positional and parity filters leave."""
+    a, b = index(sets).alias("a"), index(sets).alias("b")
     met = a.join(b, (F.col("a.code") == F.col("b.code")) & can_link("a", "b"))
     return met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
-def linked(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The ids of later classes of the candidate pairs that are linked, compared by their words."""
+def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """All linked pairs of classes, ``a`` before ``b``: the candidates that their words confirm."""
     s, t = SIMILARITY
-    pairs = keep(pairs, "line-candidates")
+    pairs = keep(candidates(sets), "line-candidates")
     chosen = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(sets, "id")
     chosen = keep(chosen.select("id", "doc", F.col("line").alias("line_at")), "line-chosen")
     few = small(chosen, chosen.count(), BROADCAST_LINES)
     words = lines(docs).join(few, (doc_key() == F.col("doc")) & (F.col("line_no") == F.col("line_at"))).select("id", tokens(F.col("line")).alias("w"))
-    words = keep(words, "line-words")
+    words = keep(words.dropDuplicates(["id"]), "line-words")  # of repeated rows
     for side in "ab":
         pairs = pairs.join(words.select(F.col("id").alias(side), F.col("w").alias(f"w_{side}")), side)
     shared = F.size(F.array_intersect("w_a", "w_b"))
-    good = t * shared >= s * (F.size("w_a") + F.size("w_b") - shared)
-    return pairs.where(good).select(F.col("b").alias("id")).distinct()
+    return pairs.where(t * shared >= s * (F.size("w_a") + F.size("w_b") - shared)).select("a", "b")
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """Every line with a word: its class (place of the first line), and whether it is kept."""
+def judge(docs: DataFrame, n_links: bool = False) -> DataFrame:
+    """Every line with a word: its class (place of the first line), and whether it is kept. With ``n_links`` also the number of
+    classes that its class is linked to, earlier and later ones."""
     placed, sets = classes(docs)
-    gone = keep(linked(docs, sets, with_first(sets)), "line-gone")
-    gone = gone.unionByName(linked(docs, sets, with_all(sets, gone)))
-    known = sets.join(gone.withColumn("later", F.lit(True)), "id", "left").select("k1", "k2", "doc", "line", F.col("later").isNull().alias("stays"))
+    found = keep(links(docs, sets), "line-links")
+    ends = found.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.lit(False).alias("later")), F.struct(F.col("b").alias("id"), F.lit(True).alias("later")))).alias("e"))
+    linked = ends.select("e.*").groupBy("id").agg(F.count("*").alias("n_links"), F.max("later").alias("later"))
+    known = sets.join(linked, "id", "left").select("k1", "k2", "doc", "line", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("later", F.lit(False)).alias("later"))
     first = (doc_key() == F.col("doc")) & (F.col("line_no") == F.col("line"))
     return placed.join(known, ["k1", "k2"]).select(
         "doc_id",
         F.col("line_no").cast("long").alias("line_no"),
         F.nullif(F.col("doc"), F.lit(FIRST).cast("long")).alias("class_doc_id"),
         F.col("line").cast("long").alias("class_line_no"),
-        (first & F.col("stays")).alias("kept"),
+        *([F.col("n_links").cast("long").alias("n_links")] if n_links else []),
+        (first & ~F.col("later")).alias("kept"),
     )
 
 

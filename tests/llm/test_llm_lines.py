@@ -52,3 +52,21 @@ def test_clean_removes_later_lines_only(frame, clashing):
 
 def test_empty_table(frame):
     assert line_dedup.judge(frame([])).count() == 0
+
+
+def test_every_link_of_a_group_counts(frame, prose):
+    """Near copies that differ in one word: every pair of classes is linked, not only each with the earliest."""
+    words = prose(3, 20, 1).split()
+    group = [" ".join(words + [f"own{i}"]) for i in range(8)]
+    rows = [(i, f"{line}\n{prose(50 + i, 30, 1)}") for i, line in enumerate(group)] + [(9, group[0]), (9, group[0])]
+    got = Counter((r.doc_id, r.line_no, r.n_links, r.kept) for r in line_dedup.judge(frame(rows), n_links=True).collect())
+    assert got == Counter([*((i, 0, 7, i == 0) for i in range(8)), *((i, 1, 0, True) for i in range(8)), (9, 0, 7, False), (9, 0, 7, False)])
+
+
+def test_link_counts_equal_all_pairs(frame, prose, awkward):
+    rows = [(20 + i, v) for i, v in enumerate(variants(prose))] + [(r[0], r[1]) for r in awkward if r[0] not in (5, 7, 9)]
+    sets = {frozenset(brute.WORD.findall(line)) for _, t in rows if t for line in t.split("\n") if brute.WORD.search(line)}
+    texts = {(-1 if i is None else i): t for i, t in rows}
+    for r in line_dedup.judge(frame(rows), n_links=True).collect():
+        s = frozenset(brute.WORD.findall(texts[-1 if r.doc_id is None else r.doc_id].split("\n")[r.line_no]))
+        assert r.n_links == sum(o != s and 4 * len(s & o) >= 3 * len(s | o) for o in sets)
