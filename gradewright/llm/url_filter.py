@@ -5,7 +5,8 @@ between a host and the host above it (``a.b.example`` and ``b.example``; single
 hold for subdomains too. Trust starts at hosts with allowed pages and follows the edges; distrust starts at hosts with
 blocked pages and follows them backwards, to those who link there. Both are personalised PageRank: at every step
 a share ``DAMPING`` moves along the edges, the rest is renewed at the seeds; what reaches a host without further edges
-ends there. A host is blocked if its distrust is above ``THRESHOLD`` times its trust.
+ends there. Steps go on until no host is newly reached and no host's rank grows by more than a share ``SETTLED`` of it,
+however small it is. A host is blocked if its distrust is above ``THRESHOLD`` times its trust by a share ``SAME`` of it.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and is no node; a null html has no links; repeated
 rows are repeated links; a host that neither reaches is allowed; extra columns pass through, but host, path, rule and
@@ -20,9 +21,12 @@ from pyspark.sql import functions as F
 from gradewright.llm.common import keep, lower_ascii
 
 RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
-DAMPING, STEPS, THRESHOLD = 0.85, 12, 1.0
+DAMPING, STEPS, THRESHOLD = 0.85, 12, 1.0  # STEPS: of ``ranks`` unless it is to settle, and of the SQL twin
+SETTLED, SAME = 1e-8, 1e-6
+LEAST = 1e-300  # growth that counts; below, doubles lose their digits
+WRITTEN = 8  # steps per written table
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^\s"'>]*)"""
-DIGITS = 12  # to which ranks are rounded, so that the order of sums does not matter
+DIGITS = 12  # to which the SQL twin rounds ranks
 
 
 def host(url: Column) -> Column:
@@ -69,21 +73,40 @@ def edges(pages: DataFrame) -> DataFrame:
     return links.unionByName(tied[0]).unionByName(tied[1]).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def ranks(graph: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps: int = STEPS) -> DataFrame:
-    """``host``, ``trust``, ``distrust`` from ``seeds`` (kind, host, mass of 1 for each kind)."""
+def ranks(graph: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps: int | None = STEPS) -> DataFrame:
+    """``host``, ``trust``, ``distrust`` from ``seeds`` (kind, host, mass of 1 for each kind), after so many steps, or with
+    None when all ranks have settled; ``untrusted`` where no trust arrives, as far-off ranks can be too small for a double.
+
+    ``mass`` is what has come to rest by now, ``term`` the part of it that the last step added. A host's ``term`` against its mass
+    of the step before is at most the largest such share of the hosts it comes from, so that share never rises again."""
     both = graph.select(F.lit("trust").alias("kind"), "src", "dst", "weight").unionByName(
         graph.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
     )
     out = both.groupBy("kind", "src").agg(F.sum("weight").alias("out"))
-    steps_of = keep(both.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("out")).alias("share")), "link-shares")
-    renewed = seeds.select("kind", "host", (F.col("mass") * (1 - damping)).alias("mass"))
-    now = seeds
-    for step in range(1, steps + 1):
-        moved = now.join(steps_of.withColumnRenamed("src", "host"), ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("mass") * F.col("share") * damping).alias("mass"))
-        now = moved.unionByName(renewed).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
-        now = keep(now, "link-ranks") if step % 3 == 0 or step == steps else now
-    of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("mass"))), F.lit(0.0)).alias(kind)
-    return now.groupBy("host").agg(of("trust"), of("distrust"))
+    shares = both.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("weight") / F.col("out") * damping).alias("share"))
+    # every host keeps its own mass by an edge without a share to itself, so that a step reads the ranks once
+    nodes = seeds.select("kind", "host").unionByName(both.select("kind", F.explode(F.array("src", "dst")).alias("host"))).distinct()
+    own = nodes.select("kind", "host", F.col("host").alias("dst"), F.lit(None).cast("double").alias("share"))
+    steps_of = keep(shares.unionByName(own), "link-shares")
+    rest = F.col("mass") * (1 - damping)
+    now, step, reached = seeds.select("kind", "host", rest.alias("mass"), rest.alias("term")), 0, -1
+    while steps is None or step < steps:
+        added = F.coalesce(F.col("term") * F.col("share"), F.lit(0.0))
+        moved = now.join(steps_of, ["kind", "host"]).select("kind", F.col("dst").alias("host"), F.when(F.col("share").isNull(), F.col("mass")).otherwise(added).alias("mass"), added.alias("term"))
+        now = moved.groupBy("kind", "host").agg(F.sum("mass").alias("mass"), F.sum("term").alias("term"))
+        step += 1
+        if step % WRITTEN == 0 or step == steps:
+            now = keep(now, "link-ranks")
+            grows = (F.col("term") > SETTLED * (F.col("mass") - F.col("term"))) & (F.col("term") > LEAST)
+            if steps is None:
+                hosts, growing = now.agg(F.count("*"), F.coalesce(F.max(grows), F.lit(False))).first()  # one row
+                if not growing and hosts == reached:
+                    break
+                reached = hosts
+    # what still moves is counted where it is
+    mass = F.col("mass") + F.col("term") * (damping / (1 - damping))
+    of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, mass)), F.lit(0.0)).alias(kind)
+    return now.groupBy("host").agg(of("trust"), of("distrust"), (F.max("kind") == "distrust").alias("untrusted"))
 
 
 def judge(pages: DataFrame, rules: dict[str, str] = RULES, threshold: float = THRESHOLD) -> DataFrame:
@@ -93,8 +116,9 @@ def judge(pages: DataFrame, rules: dict[str, str] = RULES, threshold: float = TH
     totals = votes.groupBy("by_rule").agg(F.sum("n").alias("total"))
     kind = F.when(F.col("by_rule") == "allow", "trust").otherwise("distrust").alias("kind")
     seeds = keep(votes.join(totals, "by_rule").select(kind, "host", (F.col("n") / F.col("total")).alias("mass")), "link-seeds")
-    found = ranks(edges(known), seeds)
-    bad = found.where(F.round("distrust", DIGITS) > F.round(threshold * F.col("trust"), DIGITS)).select(F.col("host").alias("_bad"))
+    found = ranks(edges(known), seeds, steps=None)
+    above = F.col("distrust") > threshold * F.col("trust") * (1 + SAME)
+    bad = found.where(F.col("untrusted") | above).select(F.col("host").alias("_bad"))
     verdict = F.coalesce("by_rule", F.when(F.col("_bad").isNotNull(), "block").otherwise("allow"))
     return known.join(bad, F.col("host") == F.col("_bad"), "left").withColumn("verdict", verdict).drop("_bad", "by_rule")
 

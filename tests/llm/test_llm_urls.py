@@ -61,3 +61,24 @@ def test_links_carry_distrust_back_and_trust_on(spark, clashing):
 
 def test_empty_table(spark):
     assert url_filter.report(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_distrust_reaches_any_distance_however_small(spark):
+    """20 hosts in a row that link on to a blocked one; most links to each come from another host, so ranks fall below 1e-30."""
+    many = lambda h: f'<a href="http://{h}/">x</a>' * 30
+    hosts = [f"h{i}.net" for i in range(20)] + ["bad.com"]
+    rows = [(i, f"http://{a}/", f'<a href="http://{b}/de/1">x</a>') for i, (a, b) in enumerate(zip(hosts, hosts[1:]))]
+    rows += [(20, "http://bad.com/de/1", None), (21, "http://far.net/", None), (22, "http://spam.net/", "".join(map(many, hosts)))]
+    got = {r.page_id: r.verdict for r in url_filter.report(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: "allow" if i == 21 else "block" for i in range(23)}
+
+
+def test_two_way_chain_equals_converged_ranks(spark):
+    n = 12
+    edges = {(a, b): 1.0 for i in range(n - 1) for a, b in ((f"{i:02}", f"{i + 1:02}"), (f"{i + 1:02}", f"{i:02}"))}
+    graph = spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()], "src string, dst string, weight double")
+    seeds = spark.createDataFrame([("trust", "00", 1.0), ("distrust", f"{n - 1:02}", 1.0)], "kind string, host string, mass double")
+    got = {r.host: (r.trust, r.distrust) for r in url_filter.ranks(graph, seeds, steps=None).collect()}
+    trust, bad = rank(edges, {"00": 1.0}, steps=400), rank({(b, a): w for (a, b), w in edges.items()}, {f"{n - 1:02}": 1.0}, steps=400)
+    assert got == {h: pytest.approx((trust[h], bad[h]), rel=1e-6) for h in trust}
+    assert [h for h, (t, d) in sorted(got.items()) if d > t * (1 + url_filter.SAME)] == [f"{i:02}" for i in range(n // 2, n)]
