@@ -2,7 +2,8 @@
 
 Every source takes whole rounds of its documents while they fit its target. For what remains of the target, the
 documents are counted by exact word length; each length gives its proportional share of documents, and a bounded
-knapsack over the lengths fills the rest, exactly where a subset of lengths does. Within a length the documents
+knapsack over the lengths fills the rest, exactly where a subset of lengths does; where very long
+documents leave a rest open, the longest are given back and their room is filled anew, in a coarser unit first. Within a length the documents
 with the lowest seeded draws are taken, so reruns and other partitionings agree.
 
 Defined results: a null text has size 0; a document without words is never taken; null is a source of its own, the
@@ -21,6 +22,7 @@ from gradewright.llm.common import BLANKS, keep, pieces, small, uniform
 WEIGHTS = (1.0, 2.0, 3.0)  # of the sources by code point, repeating
 MOST = 3  # times a document, and a source, is taken at most
 FIT_WORDS = 1 << 17  # words that the knapsack fills; shares by length come this near first
+GIVE_BACK = 16  # times the longest document, the room that is filled anew where the first choice leaves some open
 BLOCK = 65_536  # draws of one length that one window orders
 BROADCAST_CUTS = 400_000  # rows of the plan by source and length (40 bytes each) sent to all tasks
 
@@ -95,7 +97,29 @@ def choose(lengths: np.ndarray, counts: np.ndarray, budget: int, fit_words: int
             rest -= more * int(lengths[i])
     if 0 < rest <= fit_words:
         extra += fill(lengths, left, rest)
-    return extra
+    rest = budget - int((lengths * extra).sum())
+    return extra if rest == 0 else refill(lengths, counts, extra, rest, fit_words)
+
+
+def refill(lengths: np.ndarray, counts: np.ndarray, extra: np.ndarray, rest: int, fit_words: int) -> np.ndarray:
+    """A choice that leaves less open than ``extra``, as very long documents do, or ``extra`` itself. Its longest documents are
+    given back and their room is filled by the knapsack in a coarser unit, then in words."""
+    again, room, wide = extra.copy(), rest, GIVE_BACK * int(lengths.max())
+    for i in np.argsort(-lengths):
+        back = max(0, min(int(again[i]), -(-(wide - room) // int(lengths[i]))))
+        again[i] -= back
+        room += back * int(lengths[i])
+    unit = -(-room // fit_words)
+    again += fill(-(-lengths // unit), counts - again, room // unit)  # lengths rounded up, so that none goes beyond
+    room = rest + int((lengths * (extra - again)).sum())
+    if room > fit_words:
+        for i in np.argsort(-lengths):  # what rounding left open
+            more = min(int(counts[i] - again[i]), room // int(lengths[i]))
+            again[i] += more
+            room -= more * int(lengths[i])
+    if 0 < room <= fit_words:
+        again += fill(lengths, counts - again, room)
+    return again if (lengths * again).sum() > (lengths * extra).sum() else extra
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, target: float, most: int = MOST) -> tuple[int, np.ndarray]:

@@ -87,3 +87,16 @@ def test_empty_and_wordless(frame):
     assert mixing.report(frame([])).count() == 0 and mixing.mix(frame([])).count() == 0
     got = mixing.report(frame([(1, None), (2, " ")])).collect()
     assert [(r["size"], r.source_size, r.target, r.taken) for r in got] == [(0, 0, 0.0, 0)] * 2
+
+
+def test_rest_of_very_long_documents_is_filled():
+    """Where no share and no greedy step comes near, the knapsack still runs, and never beyond the budget."""
+    counts = np.ones(20, np.int64)
+    for seed in range(20):
+        lengths = np.sort(np.random.default_rng(seed).integers(200_000, 1_000_000, 20))
+        budget = int(lengths.sum()) * 2 // 5
+        taken = mixing.choose(lengths, counts, budget)
+        assert (taken >= 0).all() and (taken <= counts).all()
+        assert 0 <= budget - int((lengths * taken).sum()) < 2_000
+    lengths = np.array([200_000, 300_000])  # a single document that fits
+    assert list(mixing.choose(lengths, np.array([1, 2]), 290_000)) == [1, 0]
