@@ -70,3 +70,9 @@ def test_link_counts_equal_all_pairs(frame, prose, awkward):
     for r in line_dedup.judge(frame(rows), n_links=True).collect():
         s = frozenset(brute.WORD.findall(texts[-1 if r.doc_id is None else r.doc_id].split("\n")[r.line_no]))
         assert r.n_links == sum(o != s and 4 * len(s & o) >= 3 * len(s | o) for o in sets)
+
+
+def test_classes_of_a_code_meet_without_a_window(frame):
+    _, sets = line_dedup.classes(frame([(i, f"the same words but {i}") for i in range(5)]))
+    plan = line_dedup.candidates(sets)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join Inner" in plan
