@@ -4,7 +4,10 @@ methods. Without a twin: op2 (knapsack), op3 (compression), op8 (robust estimate
 from __future__ import annotations
 
 from gradewright.llm.common import LOWER, UPPER
+from gradewright.llm.language_id import PROFILE, SAMPLE, UNKNOWN
 from gradewright.llm.sharding import BUCKETS, Node, grow, tree
+from gradewright.llm.source_audit import EXTRA, LEAST, SCALE, TOP
+from gradewright.llm.turn_repair import DELETE, INSERT, KEPT, NEXT, REROLE, ROLE, SPACES, TRUNCATED
 from gradewright.llm.url_filter import DAMPING, DIGITS, LINK, RULES, STEPS, THRESHOLD
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -196,6 +199,141 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN item ON item.doc_id = d.doc_id
 """
 
+TERMS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+OP11 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_lowered("text")}, '{TERMS}') AS w FROM documents
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), o AS (
+  SELECT id, lang, source, unnest(w) AS term FROM d
+), k AS (
+  SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT id) >= {LEAST}
+), v AS (
+  SELECT lang, count(*)::HUGEINT AS v FROM k GROUP BY lang
+), c AS (
+  SELECT o.lang, source, term, count(*)::HUGEINT AS n FROM o JOIN k USING (lang, term) GROUP BY o.lang, source, term
+), t AS (
+  SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source
+), p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + {SCALE} * (coalesce(c.n, 0) + {EXTRA}) // (coalesce(t.total, 0) + 2 * v.v) AS p
+  FROM g JOIN k ON k.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN t ON t.lang = g.lang AND t.source = g.source
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), q AS (
+  SELECT lang, term, 1 + {SCALE} * (sum(n) + {EXTRA}) // (any_value(total) + 2 * any_value(v)) AS q
+  FROM c JOIN (SELECT lang, sum(total) AS total FROM t GROUP BY lang) USING (lang) JOIN v USING (lang) GROUP BY lang, term
+), parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source
+  UNION ALL
+  SELECT a.lang, a.source, 'pair', b.source, 0 FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source WHERE a.lang NOT IN (SELECT lang FROM k)
+  UNION ALL
+  SELECT p.lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= {TOP}
+"""
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an expression's UTF-8 bytes, with ``crcs`` in scope."""
+    data = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {data}), lambda a, x: xor(a >> 8, crcs[(xor(a, x) & 255) + 1])), 4294967295)"
+
+
+def _repair_step() -> str:
+    """The four best ends (cost, letters, repaired) of a conversation before a turn, from those after it in ``r``."""
+    late = f"if(cut, {TRUNCATED}, 0)"
+    end = lambda cost, letter, state, said: f"{{{{'c': {cost} + {state}.c, 'a': '{letter}' || {state}.a, 'o': {said} || {state}.o}}}}".replace("{{", "{").replace("}}", "}")
+    out = []
+    for s in range(4):
+        ways = [end(DELETE, "D", f"r.s{s}", "''")]
+        ways.append(f"if(NOT must_go, {end(f'{REROLE} + {late}', 'R', f'r.s{NEXT[s]}', f'chr(10) || {chr(39)}{ROLE[s]}:{chr(39)} || text')}, NULL)")
+        for kind, moves in KEPT.items():
+            if s in moves:
+                ways.append(f"if(NOT must_go AND initial = '{kind}', {end(late, 'K', f'r.s{moves[s]}', 'chr(10) || role || chr(58) || text')}, NULL)")
+        out.append(f"list_min([x FOR x IN [{', '.join(ways)}] IF x IS NOT NULL]) AS b{s}")
+    return ", ".join(out)
+
+
+def _inserted(names: str, state: int, to: str) -> str:
+    said = f"chr(10) || '{ROLE[state]}:'"
+    return f"list_min([{names}{state}, {{'c': {INSERT} + {to}.c, 'a': 'I' || {to}.a, 'o': {said} || {to}.o}}])"
+
+
+OP12 = rf"""
+WITH RECURSIVE raw AS MATERIALIZED (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc_table()} AS crcs,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations
+), way AS MATERIALIZED (
+  SELECT conv_id, turn, role, text, {_crc32("k")} % 20 AS way FROM raw
+), m AS MATERIALIZED (
+  SELECT conv_id, turn, if(way = 4, 'user', role) AS role, CASE way WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(if(way = 3, [1, 2], [1])) AS copy FROM way WHERE way <> 0)
+), placed AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS place FROM m
+), n AS MATERIALIZED (
+  SELECT *, place > 1 AS again, NOT regexp_matches(text, '{WORDS}') AS blank, role[1] AS initial,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, place) AS i,
+    lag(role[1]) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, place) AS former FROM placed
+), f AS MATERIALIZED (
+  SELECT *, (blank OR again) AS must_go, right(rtrim(text, {"||".join(f"chr({ord(c)})" for c in SPACES)}), 1) NOT IN ('.', '!', '?') AS cut FROM n
+), figures AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank, count_if(again AND NOT blank) AS duplicate,
+    count_if(cut AND NOT again AND NOT blank) AS truncated, count_if(former IS NOT NULL AND former || initial NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS turns
+  FROM f GROUP BY conv_id
+), r AS (
+  SELECT conv_id, turns AS i, {{'c': 0::BIGINT, 'a': '', 'o': ''}} AS s0,
+    {{'c': {2 * INSERT}::BIGINT, 'a': 'II', 'o': chr(10) || 'user:' || chr(10) || 'assistant:'}} AS s1, {{'c': {INSERT}::BIGINT, 'a': 'I', 'o': chr(10) || 'assistant:'}} AS s2, {{'c': 0::BIGINT, 'a': '', 'o': ''}} AS s3
+  FROM figures
+  UNION ALL
+  SELECT conv_id, i, {_inserted("b", 0, "t2")} AS s0, {_inserted("b", 1, "t2")} AS s1, t2 AS s2, t3 AS s3 FROM (
+    SELECT *, {_inserted("b", 2, "b3")} AS t2, {_inserted("b", 3, "b2")} AS t3 FROM (
+      SELECT r.conv_id, r.i - 1 AS i, {_repair_step()} FROM r JOIN f ON f.conv_id IS NOT DISTINCT FROM r.conv_id AND f.i = r.i
+    ))
+)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(r.s0.c, 0)::BIGINT AS cost, coalesce(r.s0.a, '') AS audit,
+  sha256(coalesce(substr(r.s0.o, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN figures f ON f.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM c.conv_id AND r.i = 0
+"""
+
+OP13 = rf"""
+WITH raw AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, doc_id, lang, text, {_crc_table()} AS crcs, encode(coalesce(text, '')) AS bytes FROM documents
+), d AS MATERIALIZED (
+  SELECT row, doc_id, lang, text, coalesce({_crc32("doc_id::VARCHAR")} % 5 = 0, false) AS held_out,
+    {_crc32("coalesce(text, '')")} AS crc FROM raw
+), g AS MATERIALIZED (
+  SELECT row, gram, count(*) AS n FROM (
+    SELECT row, unnest(list_concat(
+      list_transform(range(2, len(w)), lambda i: w[i]), list_transform(range(1, len(w)), lambda i: w[i:i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2]))) AS gram
+    FROM (SELECT row, ' ' || lower(unnest(regexp_extract_all(text, '\pL+'))) || ' ' AS w FROM d)
+  ) GROUP BY row, gram
+), ranked AS (
+  SELECT row, gram, row_number() OVER (PARTITION BY row ORDER BY n DESC, length(gram), gram) - 1 AS pos FROM g
+), mine AS MATERIALIZED (
+  SELECT row, gram, pos FROM ranked WHERE pos < {PROFILE}
+), taught AS (
+  SELECT row, lang, (('0x' || substr(md5('language:' || coalesce(doc_id::VARCHAR, 'null') || ':' || crc), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS draw,
+    {SAMPLE}.0::DOUBLE / count(*) OVER (PARTITION BY lang) AS share FROM d WHERE NOT held_out AND lang IS NOT NULL AND text IS NOT NULL
+), known AS (
+  SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, length(gram), gram) - 1 AS pos FROM taught JOIN g USING (row) WHERE draw < share GROUP BY lang, gram
+), profiles AS MATERIALIZED (
+  SELECT * FROM known WHERE pos < {PROFILE}
+), far AS (
+  SELECT row, lang, sum(abs(m.pos - p.pos) - {PROFILE}) AS less FROM mine m JOIN profiles p USING (gram) GROUP BY row, lang
+), every AS (
+  SELECT n.row, l.lang, n.n, n.n * {PROFILE} + coalesce(far.less, 0) AS distance
+  FROM (SELECT row, count(*) AS n FROM mine GROUP BY row) n CROSS JOIN (SELECT DISTINCT lang FROM profiles) l LEFT JOIN far ON far.row = n.row AND far.lang = l.lang
+), best AS (
+  SELECT row, list_min(list({{'distance': distance, 'lang': lang, 'n': n}})) AS b FROM every GROUP BY row
+)
+SELECT doc_id, held_out, coalesce(b.lang, '{UNKNOWN}') AS lang_pred, coalesce(1 - b.distance / (b.n * {PROFILE}.0::DOUBLE), 0.0::DOUBLE) AS score FROM d LEFT JOIN best USING (row)
+"""
+
 SQL: dict[str, str] = {
     "op1_line_dedup": OP1,
     "op4_url_filter": OP4,
@@ -203,4 +341,7 @@ SQL: dict[str, str] = {
     "op6_hash_tree_shards": OP6,
     "op7_minhash_dedup": OP7,
     "op10_decontaminate": OP10,
+    "op11_source_audit": OP11,
+    "op12_turn_repair": OP12,
+    "op13_language_id": OP13,
 }

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradewright.llm import chat_format, decontaminate, line_dedup, mixing, near_dedup, quality, secrets, sharding, toxicity, url_filter
+from gradewright.llm import chat_format, decontaminate, language_id, line_dedup, mixing, near_dedup, quality, secrets, sharding, source_audit, toxicity
+from gradewright.llm import turn_repair, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -91,3 +92,21 @@ def op10_decontaminate(spark, sf_dir):
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         "contaminated",
     )
+
+
+@query
+def op11_source_audit(spark, sf_dir):
+    """Divergences of the sources of every language, in pairs and by term."""
+    return source_audit.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_turn_repair(spark, sf_dir):
+    """Faults, cheapest repair and repaired text of every conversation, damaged first."""
+    return turn_repair.report(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op13_language_id(spark, sf_dir):
+    """The language of every document."""
+    return language_id.report(table(spark, sf_dir, "documents"))
