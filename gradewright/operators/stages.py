@@ -12,11 +12,15 @@ from gradewright.functions.text import STAGE_FIELDS, STAGE_TAG, stage_field, sta
 from gradewright.operators.running import Measure, row_numbers, running
 
 
+def with_stage_fields(lines: DataFrame, line: str = "line") -> DataFrame:
+    """The typed fields of every line, null where it has none."""
+    fields = {name: stage_field("_head", name, kind) for name, kind in STAGE_FIELDS}
+    return lines.withColumn("_head", stage_head(line)).withColumns({**fields, "msg": stage_message(line)}).drop("_head")
+
+
 def stage_events(lines: DataFrame, line: str = "line") -> DataFrame:
     """Lines with the stage tag, fields typed; other columns pass through."""
-    fields = {name: stage_field("_head", name, kind) for name, kind in STAGE_FIELDS}
-    tagged = lines.where(F.contains(F.col(line), F.lit(STAGE_TAG))).withColumn("_head", stage_head(line))
-    return tagged.withColumns({**fields, "msg": stage_message(line)}).drop("_head")
+    return with_stage_fields(lines.where(F.contains(F.col(line), F.lit(STAGE_TAG))), line)
 
 
 def _is_start() -> Column:
@@ -73,6 +77,45 @@ def bracket_batches(events: DataFrame, order: str = "line_no", by: Sequence[str]
     )
 
 
+NO_RUN = ("exam_id", "students_total", "student_idx", "student_num", "question", "question_type", "phase", "last_error")
+
+
+def latest_state(events: DataFrame, by: Sequence[str] = ("source",), order: str = "line_no") -> DataFrame:
+    """State of the run behind each log after its last line: what the events since the last start say.
+
+    Two aggregates by log, combined before the shuffle: the place of the last start, then, of the events from there, the last value
+    of every field. A log that never starts is taken from its first event.
+    """
+    by = list(by)
+    began = events.groupBy(*by).agg(F.max(F.when(_is_start(), F.col(order))).alias("_began"), F.max(order).alias("last_line"))
+    since = events.join(began, by).where(F.col("_began").isNull() | (F.col(order) >= F.col("_began")))
+    stage = F.col("stage")
+    steps, asks, ends = stage.isin("read", "grade", "done"), stage == "q", _is_end()
+
+    def last(value: Column, when: Column) -> Column:
+        return F.max_by(value, F.when(when, F.col(order)))
+
+    phase = F.when(_is_start(), "batch").when(ends, "idle").when(stage.isin("q", "read", "grade", "done", "error", "save"), stage)
+    failed = F.coalesce("msg", F.lit("student failed"))
+    out = since.groupBy(*by, "_began", "last_line").agg(
+        last(_is_start(), _is_start() | ends).alias("busy"),
+        last(F.col("eid"), _is_start()).alias("exam_id"),
+        last(F.col("sTotal"), _is_start() | (steps & F.col("sTotal").isNotNull())).alias("students_total"),
+        last(F.when(~ends, F.col("sIdx")), ends | (steps & F.col("sIdx").isNotNull())).alias("student_idx"),
+        last(F.when(~ends, F.col("sNum")), ends | (steps & F.col("sNum").isNotNull())).alias("student_num"),
+        last(F.when(asks, F.col("qNum")), asks | steps | ends).alias("question"),
+        last(F.when(asks, F.col("qType")), asks | steps | ends).alias("question_type"),
+        last(phase, phase.isNotNull()).alias("phase"),
+        last(failed, stage == "error").alias("last_error"),
+    )
+    finished = since.where((stage == "done") & F.col("sIdx").isNotNull()).select(*by, "sIdx").distinct()
+    counted = finished.groupBy(*by).agg(F.count(F.lit(1)).cast("int").alias("completed"))
+    done = F.coalesce("completed", F.lit(0))
+    open_now = F.when(F.coalesce("busy", F.lit(False)) & F.col("phase").isin("read", "q", "grade"), 1).otherwise(0)
+    pending = F.when(F.col("students_total").isNotNull(), F.greatest(F.col("students_total") - done - open_now, F.lit(0)))
+    return out.join(counted, by, "left").select(*by, "busy", *NO_RUN, "last_line", done.alias("completed"), pending.alias("pending"))
+
+
 def batches(batched: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """One row per closed batch."""
     return batched.groupBy(*by, "batch_start", "batch_end", "batch_eid", "batch_students").agg(

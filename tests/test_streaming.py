@@ -1,12 +1,16 @@
 import json
 import os
+import random
 
+import pandas as pd
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from gradewright.operators import stages
 from gradewright.operators.stages import stage_events, time_by_type
 from gradewright.settings import Thresholds
-from gradewright.sources.logs import stream_stage_log
+from gradewright.sources.logs import read_stage_log, stream_stage_log
 from gradewright.streaming import progress
 from gradewright.streaming.requests import dedupe_stream
 
@@ -85,6 +89,126 @@ def test_latest_state(spark, tmp_path):
     assert rows(progress.student_buckets(state), "idx", "bucket") == [(0, "done"), (1, "pending"), (2, "current")]
 
 
+NAMES = ("busy", "exam_id", "students_total", "student_idx", "student_num", "question", "question_type", "phase", "last_error", "last_line", "completed", "pending")
+
+
+@pytest.fixture
+def rocks(spark):
+    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+
+
+def random_run(r):
+    """A log with several runs, noise, errors, repeated students and missing fields."""
+    out = []
+    for _ in range(r.randint(1, 3)):
+        out.append(r.choice(["[STAGE] stage=batch state=start eid=E1 sTotal=4", "[STAGE] stage=batch state=start", "noise"]))
+        for _ in range(r.randint(0, 25)):
+            i = r.randrange(4)
+            out.append(r.choice([
+                f"[STAGE] sIdx={i} sTotal=4 sNum=n{i} stage=read", f"[STAGE] sIdx={i} stage=grade", "[STAGE] stage=read sNum=x", "noise", "",
+                f"[STAGE] stage=q qNum={i} qType=matching elapsedMs=4", "[STAGE] stage=q", f"[STAGE] sIdx={i} stage=done hadAi=1 ocrMs=4 aiMs=5",
+                "[STAGE] stage=error msg=it broke twice", "[STAGE] stage=error", "[STAGE] stage=save", "[STAGE] stage=batch state=odd",
+            ]))
+        out += r.choice([["[STAGE] stage=batch state=end eid=E1 sTotal=4"], []])
+    return out
+
+
+def write_pieces(folder, name, pieces, start=0):
+    for i, lines in enumerate(pieces, start):
+        file = folder / f"{name}.{i}"
+        file.write_text("".join(f"{x}\n" for x in lines))
+        os.utime(file, (1_700_000_000 + 60 * i,) * 2)
+
+
+def cut(lines, r, n):
+    at = sorted(r.randrange(len(lines) + 1) for _ in range(n - 1))
+    return [lines[a:b] for a, b in zip([0, *at], [*at, len(lines)], strict=True)]
+
+
+def test_state_of_followed_logs_equals_batch_after_a_restart(spark, tmp_path, rocks):
+    """Three triggers, then a restart from the checkpoint with more pieces; split files and odd numbers of lines."""
+    r = random.Random(2)
+    logs = {f"log{k}": cut(random_run(r), r, 5) for k in range(12)}
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+
+    def follow():
+        q = (
+            progress.batch_state(stream_stage_log(spark, str(folder), max_files=12))
+            .writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True)
+            .foreachBatch(lambda df, i: df.withColumn("trigger", F.lit(i)).write.mode("overwrite").parquet(f"{tmp_path}/out/batch={i}")).start()
+        )
+        q.awaitTermination(300)
+
+    def compare(upto):
+        batch = stages.latest_state(stages.stage_events(read_stage_log(spark, str(folder)).withColumn("ingest_ts", F.lit(None).cast("timestamp"))))
+        want = {x.source: tuple(x[n] for n in NAMES) for x in batch.collect()}
+        live = spark.read.parquet(f"{tmp_path}/out").where("last_line IS NOT NULL").orderBy("trigger").collect()
+        got = {x.source: tuple(x[n] for n in NAMES) for x in live}
+        assert got == want and len(got) > 8
+        assert max(x.trigger for x in live) >= upto
+
+    try:
+        for name, pieces in logs.items():
+            write_pieces(folder, name, pieces[:3])
+        follow()
+        compare(2)
+        for name, pieces in logs.items():
+            write_pieces(folder, name, pieces[3:], 3)
+        follow()
+        compare(4)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_split_files_keep_their_line_numbers(spark, tmp_path):
+    lines = [f"[STAGE] stage=q qNum={i}" + "x" * (i % 60) for i in range(400)]
+    write_pieces(tmp_path, "a.log", [lines[:250], lines[250:]], 9)  # 9 and 10: by number, not by name
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    try:
+        got = read_stage_log(spark, str(tmp_path))
+        assert got.rdd.getNumPartitions() > 1
+        assert rows(got, "line_no", "line") == sorted(((i, x) for i, x in enumerate(lines)), key=str)
+        assert got.select("source").distinct().count() == 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_changes_compose(spark):
+    """Folding a log in parts equals folding it whole."""
+    r = random.Random(7)
+    for _ in range(60):
+        run = [x for x in random_run(r) if "[STAGE]" in x]
+        if not run:
+            continue
+        df = stages.stage_events(spark.createDataFrame([(i, x) for i, x in enumerate(run)], "i long, line string").withColumn("ingest_ts", F.timestamp_seconds("i"))) if _ == 0 else None
+        ev = parsed(run)
+        if df is not None:
+            fields = ["stage", "sIdx", "qNum", "msg"]
+            plain = df.orderBy("i").select(*fields).toPandas()
+            assert [[progress._plain(v) for v in row] for row in plain.to_numpy(object)] == [[progress._plain(v) for v in row] for row in ev[fields].to_numpy(object)]
+        at = r.randrange(len(run) + 1)
+        parts = [progress.change_of(p) for p in (ev.iloc[:at], ev.iloc[at:])]
+        whole, joined = progress.change_of(ev), progress.then(*parts)
+        assert (joined["reset"], joined["set"], sorted(joined["done"])) == (whole["reset"], whole["set"], sorted(whole["done"]))
+
+
+def parsed(run):
+    out = []
+    for i, line in enumerate(run):
+        head, _, msg = line.partition("msg=")
+        f = dict(x.split("=", 1) for x in head.split() if "=" in x)
+        ints = {k: int(f[k]) if k in f else None for k in ("sIdx", "sTotal", "hadAi", "ocrMs", "aiMs")}
+        out.append({k: f.get(k) for k in ("stage", "state", "eid", "sNum", "qNum", "qType")} | ints | {"msg": msg or None, "ingest_ts": pd.Timestamp(i, unit="s")})
+    return pd.DataFrame(out)
+
+
 def test_request_stream_drops_repeats(spark, tmp_path):
     d = tmp_path / "req"
     d.mkdir()
