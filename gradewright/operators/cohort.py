@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gradewright.functions.collections import question_order
 from gradewright.functions.numeric import percent, percent_of_at_least_one, rate, round_half_up, round_score
 from gradewright.operators.judging import judged_correct, judged_partial, review_in_store, review_in_summary
-from gradewright.operators.running import Measure, running
+from gradewright.operators.running import order_statistics
 from gradewright.settings import DEFAULTS, Thresholds
 
 
@@ -205,37 +205,10 @@ def score_histogram(pcts: DataFrame, value: str = "pct", by: Sequence[str] = (),
 
 
 def exact_median(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Mean and interpolated median per group.
-
-    Built on counts of distinct values that are ranked in chunks of the value
-    range, so the values of a group never meet in one task.
-    """
-    if not by:
-        # one named group, so that the one-row totals join like any other
-        return exact_median(df.withColumn("_all_rows", F.lit(0)), value, ["_all_rows"]).drop("_all_rows")
-    by = list(by)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.groupBy(*by).agg(
-        F.sum("n").alias("_all"), (F.sum(F.col(value) * F.col("n")) / F.sum("n")).alias("mean")
-    )
-    # the integer part cuts the values into chunks, the window orders inside them
-    cut = counts.withColumn("_cut", F.floor(value))
-    per_cut = cut.groupBy(*by, "_cut").agg(F.sum("n").alias("_m"))
-    before = running(per_cut, "_cut", [Measure("_before", "sum", F.col("_m"), inclusive=False)], by)
-    inside = Window.partitionBy(*by, "_cut").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    upto = (
-        cut.withColumn("_in", F.sum("n").over(inside))
-        .join(before.select(*by, "_cut", "_before"), [*by, "_cut"])
-        .withColumn("_upto", F.col("_in") + F.col("_before"))
-    )
-    joined = upto.join(totals, by)
-    low, high = F.floor((F.col("_all") + 1) / 2), F.floor((F.col("_all") + 2) / 2)
-    picked = joined.groupBy(*by).agg(
-        F.max("mean").alias("mean"),
-        F.min(F.when(F.col("_upto") >= low, F.col(value))).alias("_lo"),
-        F.min(F.when(F.col("_upto") >= high, F.col(value))).alias("_hi"),
-    )
-    return picked.select(*by, "mean", ((F.col("_lo") + F.col("_hi")) / 2).alias("median"))
+    """Mean and interpolated median per group."""
+    middle = {"_lo": lambda n: F.floor((n + 1) / 2), "_hi": lambda n: F.floor((n + 2) / 2)}
+    found = order_statistics(df, value, middle, by)
+    return found.select(*by, (F.col("total") / F.col("n")).alias("mean"), ((F.col("_lo") + F.col("_hi")) / 2).alias("median"))
 
 
 # ---- comparisons ------------------------------------------------------------

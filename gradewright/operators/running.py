@@ -2,21 +2,22 @@
 
 A window over ``partitionBy(group).orderBy(position)`` sorts and scans a whole
 group in a single task, which fails when one log, batch or exam holds a third of
-the rows. Here the rows of a group are cut into chunks of consecutive positions:
+the rows. Here the rows of a group are cut into chunks of consecutive positions
+and dealt out by chunk:
 
 1. a window inside each chunk gives the value local to the chunk,
-2. each chunk is summarised by a (map-side combined) aggregate,
-3. the summaries, 2**bits times fewer, are carried forward in two levels,
+2. each chunk is summarised,
+3. the summaries, up to 2**bits times fewer, are carried forward,
 4. the carried value is joined back on the chunk key, by which the rows are
-   already partitioned.
+   already dealt out.
 
-The input is evaluated twice, the second time for the measured columns only. Ask
-for several measures in one call rather than nesting calls.
+Both readers of the dealt rows ask for the same columns, so Spark computes the input and its
+exchange once (``_witness``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -66,45 +67,116 @@ def _joined(m: Measure, near: Column, far: Column) -> Column:
     return F.coalesce(near, far)
 
 
+def _witness(df: DataFrame) -> Column:
+    """An aggregate over all columns, never null. A summary that keeps it reads the same columns of the dealt rows as
+    the rows' own branch does, and Spark then reuses the exchange instead of computing the input again."""
+    plain = [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    return F.max(F.xxhash64(*plain))
+
+
 def running(
-    df: DataFrame, order: str, measures: Sequence[Measure], by: Sequence[str] = (), bits: int = 16
+    df: DataFrame, order: str, measures: Sequence[Measure], by: Sequence[str] = (), bits: int = 16, levels: int = 1
 ) -> DataFrame:
     """Add one column per measure, carried along ``order`` inside each ``by`` group.
 
-    ``order`` is a whole-number column, unique within a group and fairly dense
-    (a chunk covers 2**bits consecutive positions); ``by`` columns hold no nulls.
+    ``order`` is a whole-number column, unique within a group; ``by`` columns hold no nulls. A chunk covers
+    2**bits consecutive positions, and the summaries of a group's chunks meet in one task; where positions are so sparse that they are many,
+    ``levels`` carries them in chunks of chunks.
     """
-    by = list(by)
-    c1, c2 = "_chunk", "_super"
-    slotted = df.select(
-        "*",
-        *[m.value.alias(m.slot) for m in measures],
-        F.shiftright(F.col(order).cast("bigint"), bits).alias(c1),
-    )
-
-    chunks = (
-        slotted.groupBy(*by, c1)
-        .agg(*[_summary(m, order) for m in measures])
-        .withColumn(c2, F.shiftright(F.col(c1), bits))
-    )
-    supers = chunks.groupBy(*by, c2).agg(*[_summary(m, c1) for m in measures])
-    super_carry = supers.select(*by, c2, *[_over(m, by, c2, -1).alias(f"_s_{m.name}") for m in measures])
-    carry = (
-        chunks.withColumns({m.carry: _over(m, [*by, c2], c1, -1) for m in measures})
-        .join(super_carry, [*by, c2], "left")
-        .select(*by, c1, *[_joined(m, F.col(m.carry), F.col(f"_s_{m.name}")).alias(m.carry) for m in measures])
-    )
+    by, chunk = list(by), f"_chunk{levels}"
+    slots = [m.value.alias(m.slot) for m in measures]
+    slotted = df.select("*", *slots, F.shiftright(F.col(order).cast("bigint"), bits).alias(chunk)).repartition(*by, chunk)
+
+    summed = slotted.groupBy(*by, chunk).agg(*[_summary(m, order) for m in measures], _witness(slotted).alias("_seen"))
+    chunks = summed.where(F.col("_seen").isNotNull()).drop("_seen")
+    before = [Measure(m.carry, m.kind, F.col(m.slot), False, m.backward) for m in measures]
+    if levels > 1:
+        carried = running(chunks, chunk, before, by, bits, levels - 1)
+    else:
+        carried = chunks.withColumns({m.carry: _over(m, by, chunk, -1) for m in measures})
+    carry = carried.select(*by, chunk, *[m.carry for m in measures])
 
     local = slotted.withColumns(
-        {f"_l_{m.name}": _over(m, [*by, c1], order, 0 if m.inclusive else -1) for m in measures}
+        {f"_l_{m.name}": _over(m, [*by, chunk], order, 0 if m.inclusive else -1) for m in measures}
     )
-    out = local.join(carry, [*by, c1], "left")
+    out = local.join(carry, [*by, chunk])
     return out.select(
         *df.columns,
         *[_joined(m, F.col(f"_l_{m.name}"), F.col(m.carry)).alias(m.name) for m in measures],
     )
 
 
+def segments(
+    df: DataFrame,
+    order: str,
+    value: Column,
+    here: Column,
+    starts: Callable[[Column, Column], Column],
+    name: str,
+    by: Sequence[str] = (),
+    bits: int = 16,
+) -> DataFrame:
+    """Number the segments of each group along ``order``: a row opens one where ``starts(value of the row before, here)`` holds; the
+    value before the first row is null. Looking back and counting take one pass: only the first row of a chunk asks the chunk before.
+    """
+    by = list(by)
+    slots = [value.alias("_value"), here.alias("_here"), F.shiftright(F.col(order).cast("bigint"), bits).alias("_chunk")]
+    slotted = df.select("*", *slots).repartition(*by, "_chunk")
+    w = Window.partitionBy(*by, "_chunk").orderBy(order)
+    opens = F.when(F.row_number().over(w) > 1, starts(F.lag("_value").over(w), F.col("_here")).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    flagged = slotted.withColumn("_opens", opens)
+
+    chunks = flagged.groupBy(*by, "_chunk").agg(
+        F.sum("_opens").alias("_n"), F.min_by("_here", order).alias("_first"), F.max_by("_value", order).alias("_last"), _witness(slotted).alias("_seen")
+    ).where(F.col("_seen").isNotNull())
+    line = Window.partitionBy(*by).orderBy("_chunk")
+    joint = chunks.withColumn("_open1", starts(F.lag("_last").over(line), F.col("_first")).cast("bigint"))
+    upto = F.sum(F.col("_n") + F.col("_open1")).over(line.rowsBetween(Window.unboundedPreceding, -1))
+    carry = joint.select(*by, "_chunk", (F.coalesce(upto, F.lit(0)) + F.col("_open1")).alias("_carry"))
+
+    counted = flagged.withColumn("_local", F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return counted.join(carry, [*by, "_chunk"]).select(*df.columns, (F.col("_local") + F.col("_carry")).alias(name))
+
+
+def ordered_key(value: str, kind: str) -> Column:
+    """A whole number of 64 bits that orders like the value: doubles by their bits, negative ones reversed."""
+    if kind not in ("double", "float"):
+        return F.col(value).cast("bigint")
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), F.col(value).cast("double") + 0.0).cast("bigint")
+    return F.when(bits >= 0, bits).otherwise(bits.bitwiseXOR(F.lit(2**63 - 1)))
+
+
+def order_statistics(
+    df: DataFrame, value: str, ranks: dict[str, Callable[[Column], Column]], by: Sequence[str] = (), bits: int = 42
+) -> DataFrame:
+    """Exact order statistics of every group: ``n``, ``total``, ``highest``, and the values at ``ranks`` (of n, from 1).
+
+    Radix selection on counts of distinct values (combined before the shuffle): values are counted by the leading bits of their ordered
+    key, the counts (at most 2**(64-bits) a group) are added up in order, and only the buckets with a wanted rank are sorted.
+    """
+    by = list(by)
+    key = F.shiftright(ordered_key(value, dict(df.dtypes)[value]), bits).alias("_bucket")
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    dealt = counts.select(*by, value, "_n", key).repartition(*by, "_bucket")
+    per = dealt.groupBy(*by, "_bucket").agg(F.sum("_n").alias("_m"), F.sum(F.col(value) * F.col("_n")).alias("_sum"), F.max(value).alias("_max"))
+    line, group = Window.partitionBy(*by).orderBy("_bucket"), Window.partitionBy(*by)
+    upto = line.rowsBetween(Window.unboundedPreceding, 0)
+    placed = per.select(
+        *by, "_bucket", "_m", (F.sum("_m").over(upto) - F.col("_m")).alias("_before"),
+        F.sum("_m").over(group).alias("n"), F.sum("_sum").over(group).alias("total"), F.max("_max").over(group).alias("highest"),
+    )
+    wanted = {name: rank(F.col("n")).cast("bigint") for name, rank in ranks.items()}
+    hits = F.lit(False)
+    for rank in wanted.values():
+        hits = hits | ((rank > F.col("_before")) & (rank <= F.col("_before") + F.col("_m")))
+    picked = placed.where(hits).drop("_m")
+    inside = Window.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    found = dealt.join(picked, [*by, "_bucket"]).withColumn("_upto", F.col("_before") + F.sum("_n").over(inside))
+    at = [F.min(F.when(F.col("_upto") >= rank, F.col(value))).alias(name) for name, rank in wanted.items()]
+    out = found.groupBy(*by).agg(*[F.max(c).alias(c) for c in ("n", "total", "highest")], *at)
+    return out.where(F.col("n").isNotNull())
+
+
 def row_numbers(df: DataFrame, order: str, name: str, by: Sequence[str] = (), bits: int = 16) -> DataFrame:
     """1-based row number along ``order`` inside each group."""
     return running(df, order, [Measure(name, "sum", F.lit(1).cast("bigint"))], by, bits)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradewright.operators.running import Measure, row_numbers, running
+from gradewright.operators.running import segments
 
 
 def islands(
@@ -26,25 +26,18 @@ def islands(
     by = list(by)
     level = level if not isinstance(level, (int, float)) else F.lit(level)
     high = series.where(F.col(value) >= level).select(*by, F.col(position).cast("bigint").alias("_y"))
-    # consecutive positions minus their rank are constant inside a run
-    ranked = row_numbers(high, "_y", "_rank", by, bits)
     runs = (
-        ranked.groupBy(*by, F.col("_y") - F.col("_rank"))
+        segments(high, "_y", F.col("_y"), F.col("_y"), lambda before, here: before.isNull() | (here - before > 1), "_run", by, bits)
+        .groupBy(*by, "_run")
         .agg(F.min("_y").alias("_s"), (F.max("_y") + 1).alias("_e"))
         .where(F.col("_e") - F.col("_s") >= min_length)
         .select(*by, "_s", "_e")
     )
-    near = running(runs, "_s", [Measure("_gap_from", "last", F.col("_e"), inclusive=False)], by, bits)
-    fresh = (
-        F.when(F.col("_gap_from").isNull() | (F.col("_s") - F.col("_gap_from") >= merge_gap), 1)
-        .otherwise(0)
-        .cast("bigint")
-    )
     end = F.max("_e") + pad
     if height is not None:
         end = F.least(end, height if not isinstance(height, int) else F.lit(height))
     return (
-        running(near, "_s", [Measure("_band", "sum", fresh)], by, bits)
+        segments(runs, "_s", F.col("_e"), F.col("_s"), lambda before, here: before.isNull() | (here - before >= merge_gap), "_band", by, bits)
         .groupBy(*by, "_band")
         .agg(F.greatest(F.min("_s") - pad, F.lit(0)).alias("start"), end.alias("end"))
         .drop("_band")

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradewright.functions.numeric import round_half_up
 from gradewright.functions.text import STAGE_FIELDS, STAGE_TAG, stage_field, stage_head, stage_message
-from gradewright.operators.running import Measure, row_numbers, running
+from gradewright.operators.running import Measure, order_statistics, running
 
 
 def with_stage_fields(lines: DataFrame, line: str = "line") -> DataFrame:
@@ -133,8 +133,8 @@ def latest_batches(
         .orderBy(F.col("batch_start").desc())
         .limit(keep)
     )
-    # at most `keep` rows from here on
-    numbered = row_numbers(newest, "batch_start", "position", bits=40)
+    # at most `keep` rows meet here
+    numbered = newest.withColumn("position", F.row_number().over(Window.orderBy("batch_start")))
     slug = F.get(F.array(*[F.lit(s) for s in slugs]), F.col("position").cast("int") - 1)
     return numbered.where(F.col("position") <= len(slugs)).withColumn(
         "slug", F.coalesce(F.col("batch_eid"), slug)
@@ -151,35 +151,15 @@ def student_stage_times(question_events: DataFrame, keys: Sequence[str], qtype="
     )
 
 
-def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-
-
 def time_by_type(events: DataFrame, keys: Sequence[str] = ("qType",), ms: str = "elapsedMs") -> DataFrame:
-    """n, mean, upper median (sorted[n // 2]) and maximum per question type.
-
-    Works on the histogram of whole milliseconds, so a type holding most of the
-    log costs as much as its number of distinct times, spread over chunks.
-    """
-    counts = value_counts(events, keys, ms)
-    totals = counts.groupBy(*keys).agg(
-        F.sum("n").cast("bigint").alias("n"),
-        F.sum(F.col(ms) * F.col("n")).alias("_sum"),
-        F.max(ms).alias("max_ms"),
-    )
-    ranked = running(counts, ms, [Measure("_upto", "sum", F.col("n"))], keys, bits=12)
-    median = (
-        ranked.join(totals.select(*keys, F.col("n").alias("_all")), list(keys))
-        .where(F.col("_upto") > F.floor(F.col("_all") / 2))
-        .groupBy(*keys)
-        .agg(F.min(ms).alias("median_ms"))
-    )
-    return totals.join(median, list(keys)).select(
+    """n, mean, upper median (sorted[n // 2]) and maximum per question type, from counts of whole milliseconds."""
+    upper = {"median_ms": lambda n: F.floor(n / 2) + 1}
+    return order_statistics(events, ms, upper, keys, bits=10).select(
         *keys,
         "n",
-        round_half_up(F.col("_sum") / F.col("n"), 1).alias("avg_ms"),
+        round_half_up(F.col("total") / F.col("n"), 1).alias("avg_ms"),
         F.col("median_ms").cast("bigint").alias("median_ms"),
-        F.col("max_ms").cast("bigint").alias("max_ms"),
+        F.col("highest").cast("bigint").alias("max_ms"),
     )
 
 
