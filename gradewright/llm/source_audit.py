@@ -2,7 +2,7 @@
 
 A task folds whole documents into stripes: for each language and term, the number of documents with the term and its
 occurrences by source. When a task's stripes hold ``CELLS`` cells they are spilled as rows and it starts anew. Spilled stripes are dealt out by
-language and term, sorted, and merged in one pass that holds one stripe; those of ``LEAST`` documents or more are kept. A merged
+language and term, sorted, and merged in one pass that holds ``ROWS`` of them; those of ``LEAST`` documents or more are kept. A merged
 stripe, with the sums of its language beside it, gives its part of every pair's divergence and its own divergence from the language:
 pairs are summed inside a task before they are shuffled, and of the terms a task keeps the ``TOP`` of each group.
 
@@ -23,14 +23,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradewright.llm.common import keep
+from gradewright.llm.common import keep, small
 
 LEAST, TOP = 10, 10
 SCALE, EXTRA = 1_000_000_000, 2
-CELLS = 200_000  # of a task's stripes or pair sums
+CELLS = 600_000  # of a task's stripes or pair sums
+ROWS = 100_000  # stripes that a task merges at a time
+GROUPS = 100_000  # of all languages, that are sent to every task
 BLOCK = 1 << 20  # shares that a task has at a time
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 GROUP = ""  # stands for a term where a stripe only says that its groups exist
@@ -38,70 +41,96 @@ STRIPE = "lang string, term string, df long, sources array<string>, counts array
 PART = "lang string, source string, part string, item string, value long"
 
 
-def terms(text: str) -> Counter:
-    """Occurrences of each term; only A-Z are lower-cased."""
-    return Counter(TERM.findall(text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")))
+def terms(text: str) -> list[str]:
+    """The terms of a text in order; only A-Z are lower-cased."""
+    return TERM.findall(text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
 
 
-def stripes(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [()] * 5
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["lang", "term", "df", "sources", "counts"])
+NAMES = ["lang", "term", "df", "sources", "counts"]
 
 
-def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents (lang, source, text) to stripes."""
-    held: dict[str, dict[str, list]] = {}  # lang -> term -> [documents, {source: count}]
-    cells = 0
+class Stripes:
+    """A task's stripes: for each language the documents of every term, and for each of its sources the occurrences."""
 
-    def spilled() -> Iterator[pa.RecordBatch]:
-        rows = [(lang, term, df, list(by), list(by.values())) for lang, of in held.items() for term, (df, by) in of.items()]
-        for i in range(0, len(rows), 20_000):
-            yield stripes(rows[i : i + 20_000])
+    def __init__(self) -> None:
+        self.df: dict[str, Counter] = {}
+        self.counts: dict[str, dict[str, Counter]] = {}
 
+    def add(self, lang: str, source: str, text: str) -> None:
+        words = terms(text)
+        self.df.setdefault(lang, Counter()).update(set(words))
+        self.counts.setdefault(lang, {}).setdefault(source, Counter()).update(words)
+
+    def cells(self) -> int:
+        return sum(len(c) for by in self.counts.values() for c in by.values())
+
+    def spill(self) -> Iterator[pa.RecordBatch]:
+        for lang, by in self.counts.items():
+            source, term, n = [pa.array([s for s in by])], [pa.array([GROUP] * len(by))], [pa.array([0] * len(by), pa.int64())]
+            for s, c in by.items():
+                source.append(pa.repeat(pa.scalar(s), len(c)))
+                term.append(pa.array(list(c), pa.string()))
+                n.append(pa.array(list(c.values()), pa.int64()))
+            flat = pa.table({"term": pa.chunked_array(term), "sources": pa.chunked_array(source), "counts": pa.chunked_array(n)})
+            rows = flat.group_by("term", use_threads=False).aggregate([("sources", "list"), ("counts", "list")])
+            df = self.df[lang]
+            found = [df[t] for t in rows["term"].to_pylist()]
+            out = pa.table([pa.repeat(pa.scalar(lang), len(rows)), rows["term"], pa.array(found, pa.int64()), rows["sources_list"], rows["counts_list"]], NAMES)
+            yield from out.combine_chunks().to_batches(max_chunksize=20_000)
+        self.__init__()
+
+
+def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents (lang, source, text) to stripes."""
+    held, since = Stripes(), 0
     for batch in batches:
         for lang, source, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            of = held.setdefault(lang, {})
-            if source not in of.setdefault(GROUP, [0, {}])[1]:
-                of[GROUP][1][source] = 0
-                cells += 1
-            for term, n in terms(text).items():
-                stripe = of.get(term)
-                if stripe is None:
-                    of[term] = [1, {source: n}]
-                    cells += 1
-                else:
-                    stripe[0] += 1
-                    by = stripe[1]
-                    if source in by:
-                        by[source] += n
-                    else:
-                        by[source] = n
-                        cells += 1
-            if cells >= CELLS:
-                yield from spilled()
-                held, cells = {}, 0
-    yield from spilled()
+            held.add(lang, source, text)
+            since += len(text)
+            if since > CELLS:  # a cell takes a character at least
+                if held.cells() >= CELLS:
+                    yield from held.spill()
+                since = 0
+    yield from held.spill()
+
+
+def combined(rows: pa.Table, last: bool) -> tuple[pa.Table, pa.Table]:
+    """Sorted stripes with those of one key added up: the ones to keep, and the last key's, which may go on unless this is the ``last`` part."""
+    lang, term, many = rows["lang"], rows["term"], len(rows)
+    new = np.ones(many, bool)
+    if many > 1:
+        differs = [pc.not_equal(c.slice(1), c.slice(0, many - 1)).to_numpy() for c in (lang, term)]
+        new[1:] = differs[0] | differs[1]
+    starts, key = np.flatnonzero(new), np.cumsum(new) - 1
+    df = np.add.reduceat(rows["df"].to_numpy(), starts)
+    kept = (df >= LEAST) | pc.equal(term.take(pa.array(starts)), GROUP).to_numpy()
+    kept[-1] = kept[-1] or not last
+    rows, key = rows.filter(pa.array(kept[key])).combine_chunks(), key[kept[key]]
+    if not len(rows):
+        return rows, rows
+    sources, counts = (rows[c].chunk(0) for c in ("sources", "counts"))
+    cells = pa.table({"key": key[pc.list_parent_indices(sources).to_numpy()], "source": sources.flatten(), "n": counts.flatten()})
+    cells = cells.group_by(["key", "source"], use_threads=False).aggregate([("n", "sum")])
+    out = cells.group_by("key", use_threads=False).aggregate([("source", "list"), ("n_sum", "list")]).sort_by("key")
+    at = out["key"].to_numpy()
+    firsts = pa.array(np.searchsorted(key, at))
+    table = pa.table([rows["lang"].take(firsts), rows["term"].take(firsts), pa.array(df[at]), out["source_list"], out["n_sum_list"]], NAMES)
+    return (table, table.slice(0, 0)) if last else (table.slice(0, len(table) - 1), table.slice(len(table) - 1))
 
 
 def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted stripes to one for each language and term; those of too few documents go."""
-    key, df, by, done = None, 0, {}, []
+    """Sorted stripes to one for each language and term; those of too few documents go. A task has ``ROWS`` stripes at a time and what the
+    key of the last ones adds up to."""
+    held, many = [], 0
     for batch in batches:
-        for lang, term, n, sources, counts in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            if (lang, term) != key:
-                if key and (df >= LEAST or key[1] == GROUP):
-                    done.append((*key, df, list(by), list(by.values())))
-                key, df, by = (lang, term), 0, {}
-            df += n
-            for s, c in zip(sources, counts, strict=True):
-                by[s] = by.get(s, 0) + c
-        if len(done) >= 5000:
-            yield stripes(done)
-            done = []
-    if key and (df >= LEAST or key[1] == GROUP):
-        done.append((*key, df, list(by), list(by.values())))
-    yield stripes(done)
+        held.append(pa.Table.from_batches([batch]).rename_columns(NAMES))
+        many += len(batch)
+        if many >= ROWS:
+            done, rest = combined(pa.concat_tables(held, promote_options="permissive"), last=False)
+            yield from done.combine_chunks().to_batches()
+            held, many = [rest], len(rest)
+    if many:
+        yield from combined(pa.concat_tables(held, promote_options="permissive"), last=True)[0].combine_chunks().to_batches()
 
 
 def merged(docs: DataFrame) -> DataFrame:
@@ -203,8 +232,9 @@ def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def report(docs: DataFrame) -> DataFrame:
     """``lang``, ``source``, ``part``, ``item``, ``value``, ``rank``."""
     kept = merged(docs)
-    of = languages(kept)
-    beside = kept.where(F.col("term") != GROUP).drop("df").join(of, "lang").sortWithinPartitions("lang")
+    of = keep(languages(kept), "audit-languages")
+    groups = of.agg(F.coalesce(F.sum(F.size("groups")), F.lit(0))).first()[0]  # one row
+    beside = kept.where(F.col("term") != GROUP).drop("df").join(small(of, groups, GROUPS), "lang").sortWithinPartitions("lang")
     found = keep(beside.select("lang", "term", "sources", "counts", "v", "groups").mapInArrow(emit, PART), "audit-parts")
     every = of.select("lang", F.explode("groups.source").alias("source"), F.col("groups.source").alias("items")).select(
         "lang", "source", F.lit("pair").alias("part"), F.explode("items").alias("item"), F.lit(0).cast("long").alias("value")

@@ -59,6 +59,8 @@ def test_equals_plain(frame, rows):
 def test_spilled_stripes_and_small_blocks_change_nothing(frame, rows, monkeypatch):
     monkeypatch.setattr(audit, "CELLS", 25)
     monkeypatch.setattr(audit, "BLOCK", 7)
+    monkeypatch.setattr(audit, "ROWS", 9)
+    monkeypatch.setattr(audit, "GROUPS", 1)
     assert digest(audit.report(frame(rows).repartition(5))) == plain([(t, s, lang) for _, t, s, lang in rows])
 
 
