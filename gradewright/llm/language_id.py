@@ -26,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradewright.llm.common import uniform
+from gradewright.llm.common import keep, small, uniform
 
 PROFILE = 300
 SAMPLE = 2000  # documents of each language that teach, about
 BLOCK = 256  # languages
+LANGUAGES = 10_000  # whose sampling rates are sent to every task
 PIECE = 1 << 20
 SPACE, BITS = 32, 21  # three code points fit into 63 bits
 UNKNOWN = "und"
@@ -115,9 +116,9 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame) -> dict[str, list[int]]:
     """The profile of every language by name."""
     taught = docs.where(~held_out()).where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
-    shares = taught.groupBy("lang").agg((F.lit(float(SAMPLE)) / F.count("*")).alias("share"))
+    shares = keep(taught.groupBy("lang").agg((F.lit(float(SAMPLE)) / F.count("*")).alias("share")), "language-shares")
     draw = uniform(F.lit("language"), F.col("doc_id"), F.crc32(F.col("text").cast("binary")))
-    sample = taught.join(shares, "lang").where(draw < F.col("share")).select("lang", "text")
+    sample = taught.join(small(shares, shares.count(), LANGUAGES), "lang").where(draw < F.col("share")).select("lang", "text")
     counted = sample.mapInArrow(count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     top = counted.withColumn("place", place).where(F.col("place") <= PROFILE)
