@@ -67,11 +67,32 @@ def _joined(m: Measure, near: Column, far: Column) -> Column:
     return F.coalesce(near, far)
 
 
+GROUP = "_group"
+
+
+def _group(by: Sequence[str]) -> list[Column]:
+    """The key of a group as one struct, so that nulls join like values; none without ``by``."""
+    return [F.struct(*by)] if by else []
+
+
+def _chunk_of(order: Column, bits: int) -> Column:
+    """Positions are never null; saying so keeps null filters, which would make the two readers of the dealt rows differ, out of the plan."""
+    return F.coalesce(F.shiftright(order.cast("bigint"), bits), F.lit(0).cast("bigint"))
+
+
+def _hash(df: DataFrame) -> Column:
+    return F.xxhash64(*[c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind])
+
+
 def _witness(df: DataFrame) -> Column:
     """An aggregate over all columns, never null. A summary that keeps it reads the same columns of the dealt rows as
     the rows' own branch does, and Spark then reuses the exchange instead of computing the input again."""
-    plain = [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
-    return F.max(F.xxhash64(*plain))
+    return F.max(_hash(df))
+
+
+def _whole(df: DataFrame) -> Column:
+    """Holds for every row, but asks for all columns, so that the rows' own branch is not pruned below what the summary reads."""
+    return F.nullif(_hash(df), _hash(df) + 1).isNotNull()
 
 
 def running(
@@ -79,19 +100,20 @@ def running(
 ) -> DataFrame:
     """Add one column per measure, carried along ``order`` inside each ``by`` group.
 
-    ``order`` is a whole-number column, unique within a group; ``by`` columns hold no nulls. A chunk covers
-    2**bits consecutive positions, and the summaries of a group's chunks meet in one task; where positions are so sparse that they are many,
-    ``levels`` carries them in chunks of chunks.
+    ``order`` is a whole-number column, unique within a group and never null; a null in ``by`` is a value. A chunk covers
+    2**bits consecutive positions. All columns of ``df`` travel: select what is needed before. The summaries of a group's chunks meet in one task; where positions are so sparse that they are many,
+    more ``levels`` carry them in chunks of chunks.
     """
-    by, chunk = list(by), f"_chunk{levels}"
-    slots = [m.value.alias(m.slot) for m in measures]
-    slotted = df.select("*", *slots, F.shiftright(F.col(order).cast("bigint"), bits).alias(chunk)).repartition(*by, chunk)
+    key, chunk = _group(by), f"_chunk{levels}"
+    slots = [*[c.alias(GROUP) for c in key], *[m.value.alias(m.slot) for m in measures]]
+    by = [GROUP] if key else []
+    slotted = df.select("*", *slots, _chunk_of(F.col(order), bits).alias(chunk)).repartition(*by, chunk)
 
     summed = slotted.groupBy(*by, chunk).agg(*[_summary(m, order) for m in measures], _witness(slotted).alias("_seen"))
     chunks = summed.where(F.col("_seen").isNotNull()).drop("_seen")
     before = [Measure(m.carry, m.kind, F.col(m.slot), False, m.backward) for m in measures]
     if levels > 1:
-        carried = running(chunks, chunk, before, by, bits, levels - 1)
+        carried = running(chunks.withColumnRenamed(GROUP, "_of"), chunk, before, ["_of"] if by else [], bits, levels - 1).withColumnRenamed("_of", GROUP)
     else:
         carried = chunks.withColumns({m.carry: _over(m, by, chunk, -1) for m in measures})
     carry = carried.select(*by, chunk, *[m.carry for m in measures])
@@ -99,7 +121,7 @@ def running(
     local = slotted.withColumns(
         {f"_l_{m.name}": _over(m, [*by, chunk], order, 0 if m.inclusive else -1) for m in measures}
     )
-    out = local.join(carry, [*by, chunk])
+    out = local.where(_whole(slotted)).join(carry, [*by, chunk])
     return out.select(
         *df.columns,
         *[_joined(m, F.col(f"_l_{m.name}"), F.col(m.carry)).alias(m.name) for m in measures],
@@ -119,8 +141,9 @@ def segments(
     """Number the segments of each group along ``order``: a row opens one where ``starts(value of the row before, here)`` holds; the
     value before the first row is null. Looking back and counting take one pass: only the first row of a chunk asks the chunk before.
     """
-    by = list(by)
-    slots = [value.alias("_value"), here.alias("_here"), F.shiftright(F.col(order).cast("bigint"), bits).alias("_chunk")]
+    key = _group(by)
+    by = [GROUP] if key else []
+    slots = [*[c.alias(GROUP) for c in key], value.alias("_value"), here.alias("_here"), _chunk_of(F.col(order), bits).alias("_chunk")]
     slotted = df.select("*", *slots).repartition(*by, "_chunk")
     w = Window.partitionBy(*by, "_chunk").orderBy(order)
     opens = F.when(F.row_number().over(w) > 1, starts(F.lag("_value").over(w), F.col("_here")).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
@@ -135,7 +158,7 @@ def segments(
     carry = joint.select(*by, "_chunk", (F.coalesce(upto, F.lit(0)) + F.col("_open1")).alias("_carry"))
 
     counted = flagged.withColumn("_local", F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return counted.join(carry, [*by, "_chunk"]).select(*df.columns, (F.col("_local") + F.col("_carry")).alias(name))
+    return counted.where(_whole(slotted)).join(carry, [*by, "_chunk"]).select(*df.columns, (F.col("_local") + F.col("_carry")).alias(name))
 
 
 def ordered_key(value: str, kind: str) -> Column:
@@ -154,10 +177,11 @@ def order_statistics(
     Radix selection on counts of distinct values (combined before the shuffle): values are counted by the leading bits of their ordered
     key, the counts (at most 2**(64-bits) a group) are added up in order, and only the buckets with a wanted rank are sorted.
     """
-    by = list(by)
-    key = F.shiftright(ordered_key(value, dict(df.dtypes)[value]), bits).alias("_bucket")
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    dealt = counts.select(*by, value, "_n", key).repartition(*by, "_bucket")
+    names, key = list(by), _group(by)
+    by = [GROUP] if key else []
+    bucket = _chunk_of(ordered_key(value, dict(df.dtypes)[value]), bits).alias("_bucket")
+    counts = df.where(F.col(value).isNotNull()).groupBy(*[c.alias(GROUP) for c in key], value).agg(F.count(F.lit(1)).alias("_n"))
+    dealt = counts.select(*by, value, "_n", bucket).repartition(*by, "_bucket")
     per = dealt.groupBy(*by, "_bucket").agg(F.sum("_n").alias("_m"), F.sum(F.col(value) * F.col("_n")).alias("_sum"), F.max(value).alias("_max"))
     line, group = Window.partitionBy(*by).orderBy("_bucket"), Window.partitionBy(*by)
     upto = line.rowsBetween(Window.unboundedPreceding, 0)
@@ -174,7 +198,8 @@ def order_statistics(
     found = dealt.join(picked, [*by, "_bucket"]).withColumn("_upto", F.col("_before") + F.sum("_n").over(inside))
     at = [F.min(F.when(F.col("_upto") >= rank, F.col(value))).alias(name) for name, rank in wanted.items()]
     out = found.groupBy(*by).agg(*[F.max(c).alias(c) for c in ("n", "total", "highest")], *at)
-    return out.where(F.col("n").isNotNull())
+    stats = ["n", "total", "highest", *ranks]
+    return out.where(F.col("n").isNotNull()).select(*[F.col(f"{GROUP}.{c}").alias(c) for c in names], *stats)
 
 
 def row_numbers(df: DataFrame, order: str, name: str, by: Sequence[str] = (), bits: int = 16) -> DataFrame:

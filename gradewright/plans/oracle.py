@@ -623,6 +623,13 @@ SQL["request_dedupe"] = """WITH RECURSIVE t AS (SELECT concat_ws('/', CAST(user_
   UNION ALL SELECT t.fp, t.t, t.r, CASE WHEN t.t - w.last >= 86400000000 THEN t.t ELSE w.last END, t.t - w.last >= 86400000000 FROM w JOIN t ON t.fp = w.fp AND t.r = w.r + 1)
  SELECT fp AS fingerprint, strftime(make_timestamp(t), '%Y-%m-%d %H:%M:%S.%f') AS ts FROM w WHERE run"""
 
+SQL["request_reuse_failed"] = """WITH RECURSIVE t AS (SELECT event_type AS fp, epoch_us(ts) AS t, bool_and(event_id % 3 = 0) AS bad,
+  row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts)) AS r FROM events GROUP BY 1, 2),
+ w AS (SELECT fp, t, r, CASE WHEN NOT bad THEN t END AS last, TRUE AS run FROM t WHERE r = 1
+  UNION ALL SELECT t.fp, t.t, t.r, CASE WHEN coalesce(t.t - w.last >= 3600000000, TRUE) AND NOT bad THEN t.t ELSE w.last END, coalesce(t.t - w.last >= 3600000000, TRUE)
+   FROM w JOIN t ON t.fp = w.fp AND t.r = w.r + 1)
+ SELECT fp AS fingerprint, strftime(make_timestamp(t), '%Y-%m-%d %H:%M:%S.%f') AS ts FROM w WHERE run"""
+
 # ---- boxes, scans, alignment
 _B = "b AS (SELECT p_partkey, p_size*13.7 - 20 AS x, p_partkey % 1100 + 0.25 AS y, p_size*1.9 AS w, p_partkey % 37 - 2.5 AS h FROM part)"
 _BR = "r AS (SELECT *, CAST(round_even(x,0) AS INT) AS rx, CAST(round_even(y,0) AS INT) AS ry, CAST(round_even(w,0) AS INT) AS rw, CAST(round_even(h,0) AS INT) AS rh FROM b)"

@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_own: list[tempfile.TemporaryDirectory] = []
+
 
 def local_session(app: str = "gradewright", cores: str | int = "*", **conf: str) -> SparkSession:
     """A session for tests and the benchmark. On a cluster the job brings its own."""
@@ -29,13 +34,29 @@ def local_session(app: str = "gradewright", cores: str | int = "*", **conf: str)
     return spark
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A folder all executors reach, for stream checkpoints: below the directory the
-    cluster names in ``spark.checkpoint.dir``."""
+def shared_root(spark: SparkSession) -> str:
+    """The folder all executors reach, as the cluster names it in ``spark.checkpoint.dir``. Only where it is unset and everything
+    runs in this process, a temporary folder takes its place."""
     root = spark.conf.get("spark.checkpoint.dir", "")
     if not root:
-        raise ValueError("spark.checkpoint.dir is not set; pass a folder that all executors reach")
-    return f"{root.rstrip('/')}/gradewright/{name}"
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir is not set; name a folder that all executors reach")
+        if not _own:
+            _own.append(tempfile.TemporaryDirectory(prefix="gradewright-"))
+        root = f"file://{_own[0].name}"
+    return root.rstrip("/")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A folder of that name all executors reach, for stream checkpoints."""
+    return f"{shared_root(spark)}/gradewright/{name}"
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: it is computed once, its lineage ends, and it survives lost executors."""
+    path = shared_folder(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

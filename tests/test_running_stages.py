@@ -1,11 +1,13 @@
 import random
+import re
 
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from gradewright.operators import cohort, requests, series, stages
-from gradewright.operators.running import Measure, row_numbers, running, surrogate_ids
+from gradewright.operators.running import Measure, order_statistics, row_numbers, running, segments, surrogate_ids
+from gradewright.plans import queries
 from gradewright.settings import Thresholds
 
 
@@ -141,23 +143,70 @@ def test_islands(spark):
         assert rows(got, "start", "end") == [(4, 46), (84, 104)]
 
 
-def test_request_reuse(spark):
-    def chain(times, failing, ttl):
-        out, last = [], None
-        for t in times:
-            if last is None or t - last >= ttl:
-                out.append(t)
-                if t not in failing:
-                    last = t
-        return out
+def chain(times, failing, ttl):
+    out, last = [], None
+    for t in times:
+        if last is None or t - last >= ttl:
+            out.append(t)
+            if t not in failing:
+                last = t
+    return out
+
 
-    rng = random.Random(8)
+@pytest.mark.parametrize("seed", range(3))
+def test_request_reuse(spark, seed):
+    """Dense and sparse keys, pauses, failures, exact distances, times before 1970, and no key at all."""
+    rng = random.Random(seed)
     data, want = [], []
-    for k in "abc":
-        times = sorted(rng.sample(range(3000), 120))
-        failing = set(rng.sample(times, 30))
+    for k, times in {
+        "a": rng.sample(range(3000), 120), "b": rng.sample(range(3000), 600), "c": range(-900, 2400, 50), "d": range(0, 4000, 100),
+        "e": rng.sample(range(100_000), 80), "f": [7], "g": [t * 99 for t in range(40)], None: rng.sample(range(800), 60),
+    }.items():
+        times = sorted(times)
+        failing = set() if k in ("c", "f") else set(rng.sample(times, len(times) // (2 + seed * 3)))
         data += [(k, t, t in failing) for t in times for _ in range(rng.choice([1, 2]))]
         want += [(k, t) for t in chain(times, failing, 100)]
+    rng.shuffle(data)
     df = spark.createDataFrame(data, "fingerprint string, t long, bad boolean").withColumn("ts", F.timestamp_seconds("t"))
     got = requests.fresh_requests(df, failed="bad", cfg=Thresholds(request_ttl_seconds=100))
     assert rows(got, "fingerprint", F.unix_timestamp("ts")) == sorted(want, key=str)
+    assert "MapInPandas" not in got._jdf.queryExecution().toString()
+
+
+def test_request_reuse_ends(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2)], "fingerprint string, t long").withColumn("ts", F.timestamp_seconds("t"))
+    assert requests.fresh_requests(df, cfg=Thresholds(request_ttl_seconds=0)).count() == 2
+    assert requests.fresh_requests(df.where("false")).count() == 0
+    failed = df.withColumn("bad", F.lit(True))
+    assert requests.fresh_requests(failed, failed="bad").count() == 2
+
+
+def test_groups_without_a_key_and_negative_values(spark):
+    data = [(g, i, x) for g, xs in ((None, [3, 1, 2]), ("a", [5])) for i, x in enumerate(xs)]
+    df = spark.createDataFrame(data, "g string, i long, x long")
+    got = running(df, "i", [Measure("s", "sum", F.col("x"))], ["g"], bits=1)
+    assert rows(got, "g", "i", "s") == sorted([(None, 0, 3), (None, 1, 4), (None, 2, 6), ("a", 0, 5)], key=str)
+    odd = segments(df, "i", F.col("x"), F.col("x"), lambda p, h: p.isNull() | (h < p), "n", ["g"], bits=1)
+    assert rows(odd, "g", "i", "n") == sorted([(None, 0, 1), (None, 1, 2), (None, 2, 2), ("a", 0, 1)], key=str)
+    rng = random.Random(4)
+    values = [(g, rng.choice([-1.5, -0.0, 0.0, 1e-300, -1e300, rng.gauss(0, 1), rng.random() / 1e6])) for g in ["x", None] * 150]
+    stats = order_statistics(spark.createDataFrame(values, "g string, v double"), "v", {"low": lambda n: n * 0 + 1, "mid": lambda n: F.floor(n / 2) + 1, "last": lambda n: n}, ["g"])
+    want = {g: sorted(v for h, v in values if h == g) for g in ("x", None)}
+    assert {r.g: (r.n, r.low, r.mid, r["last"], r.highest) for r in stats.collect()} == {g: (150, v[0], v[75], v[-1], v[-1]) for g, v in want.items()}
+
+
+def planned(df):
+    """Scans and shuffles of the plan as first made; what is reused counts once."""
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return text.count("FileScan"), len(re.findall(r"\n[^\n]*?[-+] Exchange ", text))
+
+
+@pytest.mark.parametrize(("name", "scans", "shuffles"), [("islands", 1, 7), ("timing_by_type", 1, 6), ("latest_batches", 1, 6), ("score_median", 2, 6), ("export_rows", 1, 2)])
+def test_inputs_are_computed_once(spark, name, scans, shuffles):
+    """Of one table one scan; ``score_median`` reads two."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = planned(queries.REGISTRY[name](spark, "/root/testdata/sf0.001"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert got[0] <= scans and 0 < got[1] <= shuffles, got
