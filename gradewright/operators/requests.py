@@ -24,9 +24,6 @@ from gradewright.session import keep
 from gradewright.settings import DEFAULTS, Thresholds
 
 SPARSE = {"bits": 22, "levels": 2}  # times in microseconds: chunks of four seconds, and of half a year
-WRITTEN = 3  # levels of climbing for each written table
-
-
 def _pointers(good: DataFrame, ttl: int) -> DataFrame:
     """Successes (k, t) with their slot, whether they are a head or the first of their slot, and ``nxt`` with its slot. A next request
     that is a head needs no pointer."""
@@ -84,7 +81,7 @@ def _answered(good: DataFrame, ttl: int) -> DataFrame:
     climbing = [exits[0].where("head").select(*columns)]
     while True:
         level, low = len(exits) - 1, exits[-1]
-        if level % WRITTEN == 0 and not low.where("nxt IS NOT NULL").limit(1).count():
+        if not low.where("nxt IS NOT NULL").limit(1).count():
             break
         steps = low.select("k", "t", "nxt", "nxt_s")
         moved = climbing[-1].join(steps, ["k", "t"]).withColumn("_hop", _hops(level)).where("NOT _hop OR nxt IS NOT NULL")
@@ -93,7 +90,7 @@ def _answered(good: DataFrame, ttl: int) -> DataFrame:
             F.when(F.col("_hop"), F.col("nxt_s")).otherwise(F.col("s")).alias("s"),
             F.when(F.col("_hop"), F.lit(True)).otherwise(F.col("first")).alias("first"),
         )
-        climbing.append(keep(up, "request-climbing") if (level + 1) % WRITTEN == 0 else up)
+        climbing.append(keep(up, "request-climbing"))
         exits.append(keep(_exits(low, level), "request-exits"))
     marked = climbing[-1]
     for level in range(len(exits) - 2, -1, -1):

@@ -6,7 +6,7 @@ for real exam data in the registered queries and the benchmark.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradewright.operators.marks import options
@@ -14,12 +14,12 @@ from gradewright.session import table
 
 
 def question_results(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per order and line number; repeated pairs keep their newest line."""
-    li = table(spark, sf, "lineitem")
-    pick = F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
-    newest = li.groupBy("l_orderkey", "l_linenumber").agg(
-        F.max_by(F.struct("l_quantity", "l_returnflag", "l_linestatus", "l_discount", "l_tax"), pick).alias("l")
-    )
+    """One row per order and line number; repeated pairs keep their newest line. Rows are dealt out by order, once for all that follows."""
+    fields = ("l_quantity", "l_returnflag", "l_linestatus", "l_discount", "l_tax")
+    pick = ("l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *dict.fromkeys(pick + fields)).repartition("l_orderkey")
+    first = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*[F.desc(c) for c in pick])
+    newest = li.withColumn("n", F.row_number().over(first)).where("n = 1")
     q_type = (
         F.when(F.col("l_linenumber") % 5 == 0, "multi_select")
         .when(F.col("l_linenumber") % 5 == 1, "multiple_choice")
@@ -27,16 +27,16 @@ def question_results(spark: SparkSession, sf: str) -> DataFrame:
         .when(F.col("l_linenumber") % 5 == 3, "fill_blanks")
         .otherwise("open_ended")
     )
-    status = F.when(F.col("l.l_returnflag") == "N", "correct").when(F.col("l.l_returnflag") == "R", "partial").otherwise("wrong")
+    status = F.when(F.col("l_returnflag") == "N", "correct").when(F.col("l_returnflag") == "R", "partial").otherwise("wrong")
     return newest.select(
         F.col("l_orderkey").alias("exam_result_id"),
         F.col("l_linenumber").cast("string").alias("q_num"),
         q_type.alias("q_type"),
-        F.col("l.l_quantity").alias("score"),
+        F.col("l_quantity").alias("score"),
         F.lit(50.0).alias("max_points"),
         status.alias("status"),
-        ((100 - 5 * F.round(F.col("l.l_tax") * 100).cast("int")) / F.lit(100.0)).alias("confidence"),
-        ((F.col("l.l_linestatus") == "O") & (F.col("l.l_discount") > 0.085)).alias("needs_review"),
+        ((100 - 5 * F.round(F.col("l_tax") * 100).cast("int")) / F.lit(100.0)).alias("confidence"),
+        ((F.col("l_linestatus") == "O") & (F.col("l_discount") > 0.085)).alias("needs_review"),
     )
 
 

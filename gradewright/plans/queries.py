@@ -168,8 +168,10 @@ def stage_maps(spark, sf):
     )
 
 
-def _batched(spark, sf):
-    return stages.bracket_batches(stages.stage_events(src.stage_log(spark, sf)).drop("line", "ingest_ts", "msg"))
+def _batched(spark, sf, *fields):
+    """Bracketed events with the fields that brackets need and those named."""
+    events = stages.stage_events(src.stage_log(spark, sf))
+    return stages.bracket_batches(events.select("line_no", "stage", "state", "eid", "sIdx", "sTotal", "sNum", *fields))
 
 
 @query
@@ -179,7 +181,7 @@ def batch_bracketing(spark, sf):
 
 @query
 def stage_attribution(spark, sf):
-    rows = _batched(spark, sf).where(F.col("stage") == "q")
+    rows = _batched(spark, sf, "qNum", "qType", "elapsedMs").where(F.col("stage") == "q")
     return rows.select(
         "line_no", "batch_start", "qNum", "qType", "elapsedMs",
         F.coalesce("student_idx", F.lit(-1)).alias("student_idx"), F.coalesce("student_num", F.lit("")).alias("student_num"),
@@ -188,25 +190,25 @@ def stage_attribution(spark, sf):
 
 @query
 def student_stage_times(spark, sf):
-    q = _batched(spark, sf).where((F.col("stage") == "q") & F.col("student_idx").isNotNull())
+    q = _batched(spark, sf, "qType", "elapsedMs").where((F.col("stage") == "q") & F.col("student_idx").isNotNull())
     typed = q.withColumn("qType", F.when(F.col("qType") == "view", "open_ended").otherwise(F.col("qType")))
     return stages.student_stage_times(typed, ["batch_start", "student_idx"])
 
 
 @query
 def timing_by_type(spark, sf):
-    return stages.time_by_type(_batched(spark, sf).where(F.col("stage") == "q"))
+    return stages.time_by_type(_batched(spark, sf, "qType", "elapsedMs").where(F.col("stage") == "q"))
 
 
 @query
 def batch_totals(spark, sf):
-    t = stages.batch_totals(_batched(spark, sf))
+    t = stages.batch_totals(_batched(spark, sf, "ocrMs", "aiMs"))
     return t.withColumn("avg_per_student_s", num.round_half_up("avg_per_student_s", 4))
 
 
 @query
 def global_times(spark, sf):
-    return stages.global_times(_batched(spark, sf))
+    return stages.global_times(_batched(spark, sf, "ocrMs", "aiMs"))
 
 
 @query
