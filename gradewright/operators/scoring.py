@@ -287,25 +287,46 @@ def error_papers(papers: DataFrame, position: str, error: str, number: str = "st
     )
 
 
+def dispatch(questions: DataFrame, rules: dict[str, dict[str, Column]], keys: Sequence[str], points: str = "points") -> DataFrame:
+    """Result rows of questions whose evidence stands in the same row: each type's rule gives the result columns, and all types
+    are done in one scan. A type without a rule, or with a rule that lacks a column, gives an ``error`` row or a null there."""
+    kind = F.coalesce(F.col("q_type"), F.lit("unknown"))
+    stray = {
+        "score": F.lit(0.0),
+        "max_points": safe_double(points),
+        "status": F.lit("error"),
+        "confidence": F.lit(0.0),
+        "needs_review": F.lit(True),
+        "explanation": F.concat(F.lit("Evaluation error: no result for type "), kind),
+    }
+    out = []
+    for name, otherwise in stray.items():
+        value = otherwise
+        for q_type, rule in rules.items():
+            value = F.when(F.col("q_type") == q_type, rule.get(name, F.lit(None))).otherwise(value)
+        out.append(value.alias(name))
+    return questions.select(*keys, "q_type", *out)
+
+
 def by_type(
     questions: DataFrame,
-    branches: dict[str, DataFrame],
+    branches: dict[str | tuple[str, ...], DataFrame],
     keys: Sequence[str],
     points: str = "points",
 ) -> DataFrame:
     """One result table from the scored branch of each question type.
 
     A question whose type has no branch becomes an ``error`` row instead of
-    failing the job.
+    failing the job. A branch of several types is named by a tuple and brings ``q_type``.
     """
     cols = [*keys, "q_type", *RESULT_COLUMNS, "explanation"]
-    known = list(branches)
+    known = [t for name in branches for t in ((name,) if isinstance(name, str) else name)]
     stray = questions.where(~F.coalesce(F.col("q_type").isin(known), F.lit(False)))
     result = error_rows(
         stray, keys, F.concat(F.lit("no result for type "), F.coalesce(F.col("q_type"), F.lit("unknown"))), points
     ).select(*cols)
     for name, scored in branches.items():
-        part = scored.withColumn("q_type", F.lit(name))
+        part = scored.withColumn("q_type", F.lit(name)) if isinstance(name, str) else scored
         if "explanation" not in part.columns:
             part = part.withColumn("explanation", F.lit(None).cast("string"))
         result = result.unionByName(part.select(*cols))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradewright.operators.marks import options
-from gradewright.session import table
+from gradewright.session import keep, table
 
 
 def question_results(spark: SparkSession, sf: str) -> DataFrame:
@@ -244,3 +244,105 @@ def payload_lines(spark: SparkSession, sf: str) -> DataFrame:
     )
     doc = F.struct(F.concat(F.lit("P"), F.col("exam_result_id").cast("string")).alias("examId"), F.array(student).alias("students"))
     return papers.select(F.to_json(doc).alias("value"))
+
+
+# ---- a whole grading batch: maps of eight questions, one for each run of eight parts ---------------------------------
+
+MAP_TYPES = ("multiple_choice", "multi_select", "matching", "fill_blanks", "open_ended", "multiple_choice", "essay", "open_ended")
+
+
+def letter(number) -> F.Column:
+    return F.substr(F.lit("ABCD"), (number % 4 + 1).cast("int"), F.lit(1))
+
+
+def map_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Exam maps as JSON texts: two pages of four questions, with keys and boxes."""
+    k, size, words = F.col("p_partkey"), F.col("p_size"), F.split("p_name", " ")
+    pos = (k % len(MAP_TYPES)).cast("int")
+    kind = F.get(F.array(*map(F.lit, MAP_TYPES)), pos)
+
+    def box(x, y) -> F.Column:
+        return F.struct(F.lit(float(x)).alias("x"), (size + y).cast("double").alias("y"), F.lit(30.0).alias("w"), size.cast("double").alias("h"))
+
+    items = lambda *values: F.create_map(*[c for i, v in enumerate(values) for c in (F.lit(str(i + 1)), v)])
+    question = F.struct(
+        kind.alias("type"), F.col("p_name").alias("questionText"), F.when(size % 5 > 0, box(10, 20)).alias("boundingBox"),
+        F.struct((4 + size % 7).cast("double").alias("points"), F.when(k % 3 > 0, (k % 3) * 0.25).alias("penaltyPerItem")).alias("scoring"),
+        F.struct(
+            letter(size).alias("correctOption"), F.array_distinct(F.array(letter(size), letter(size + k))).alias("correctOptions"),
+            items(letter(k), letter(k + 1), letter(size)).alias("correctMatches"), items(F.get(words, F.lit(0)), F.get(words, F.lit(1))).alias("correctBlanks"),
+            F.col("p_name").alias("text"),
+        ).alias("expectedAnswer"),
+        F.create_map(*[c for x, o in enumerate("ABCD") for c in (F.lit(o), box(100 + 40 * x, 30))]).alias("options"),
+        items(box(50, 60), box(90, 60), box(130, 60)).alias("answerBoxes"), items(box(50, 80), box(90, 80)).alias("fillBlanks"),
+        box(40, 50).alias("answerSection"), F.when(size % 3 > 0, box(40, 90)).alias("solutionArea"),
+    )
+    entry = F.struct((pos + 1).cast("string").alias("key"), question.alias("value"))
+    half = len(MAP_TYPES) // 2
+    listed = table(spark, sf, "part").groupBy(F.floor(k / len(MAP_TYPES)).cast("string").alias("m")).agg(F.collect_list(F.struct(pos.alias("pos"), entry.alias("entry"))).alias("q"))
+    on_page = lambda page: F.transform(F.filter("q", lambda x: F.floor(x["pos"] / half) == page), lambda x: x["entry"])
+    digit = F.struct(F.lit(5.0).alias("x"), F.lit(6.0).alias("y"), F.lit(7.0).alias("w"), F.lit(8.0).alias("h"))
+    pages = F.array(*[
+        F.struct(F.lit(i).alias("pageIndex"), F.concat(F.lit(f"P{i + 1}_MAP"), "m").alias("pageId"), F.array(*[digit] * (3 - i)).alias("studentNumberBoxes"), F.map_from_entries(on_page(i)).alias("questions"))
+        for i in range(2)
+    ])
+    return listed.select(F.to_json(F.struct(F.concat(F.lit("MAP"), "m").alias("examId"), pages.alias("pages"))).alias("value"))
+
+
+def map_papers(spark: SparkSession, sf: str) -> DataFrame:
+    """A paper per order; a third of all are of one exam, and some of exams without a map."""
+    exam = F.when(F.col("o_custkey") % 3 == 0, 0).otherwise(F.col("o_custkey") % 250)
+    return table(spark, sf, "orders").select(
+        "o_orderkey", F.concat(F.lit("MAP"), exam.cast("string")).alias("exam_id"),
+        F.lpad(F.col("o_orderkey").cast("string"), 10, "0").alias("student_number"), F.lit(0.9).alias("number_confidence"),
+    )
+
+
+def read_inputs(spark: SparkSession, sf: str):
+    """What readers and graders found on the papers of ``map_papers``: the newest line of an order and number is the evidence for the
+    question of that number."""
+    from gradewright.plans.grading import ReadInputs
+
+    pick = ("l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    fields = ("l_quantity", "l_returnflag", "l_linestatus", "l_discount", "l_tax")
+    papers = map_papers(spark, sf)
+    first = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*[F.desc(c) for c in pick])
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *dict.fromkeys(pick + fields)).repartition("l_orderkey")
+    newest = li.withColumn("n", F.row_number().over(first)).where("n = 1")
+    lines = keep(
+        newest.join(papers, F.col("l_orderkey") == F.col("o_orderkey")).select(
+            "exam_id", "student_number", F.col("l_linenumber").cast("string").alias("q_num"), "l_linenumber", "l_partkey", "l_suppkey", *fields
+        ),
+        "grade-lines",
+        ["l_linenumber"],
+    )
+    item = ["exam_id", "student_number", "q_num"]
+    n, r4 = F.col("l_linenumber"), lambda c: F.round(c, 4)
+    ratio = F.array(r4(F.col("l_discount") * 10), r4(F.col("l_tax") * 12.5), r4(F.col("l_quantity") / 50), r4(n / 7.0))
+    ratios = lines.where(n.isin(1, 2, 6)).select(*item, F.posexplode(ratio).alias("ord", "ratio")).withColumn("letter", letter(F.col("ord")))
+
+    three = lines.where(n == 3).select("*", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("i"))
+    reading = lambda o, name, text, conf: F.struct(F.lit(o).alias("ord"), F.lit(name).alias("reader"), text.alias("text"), conf.alias("confidence"))
+    found = F.array(
+        reading(0, "cnn0", letter(F.col("l_partkey") + F.col("i")), F.col("l_quantity") / 50),
+        reading(1, "ocr0", letter(F.col("l_suppkey") + F.col("i")), F.col("l_discount") * 10),
+    )
+    letters = three.select(*item, F.col("i").cast("string").alias("item"), F.explode(found).alias("r")).select(*item, "item", "r.*")
+
+    names = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.split("p_name", " ").alias("w"))
+    four = lines.where(n == 4).join(names, "l_partkey", "left").select("*", F.explode(F.sequence(F.lit(1), F.lit(2))).alias("i"))
+    words = four.select(
+        *item, F.col("i").cast("string").alias("item"), F.concat(F.get("w", F.col("i") - 1), noise(F.col("l_suppkey"))).alias("first_text"),
+        (F.col("l_quantity") / 50).alias("first_conf"), F.lit("").alias("retry_text"), F.lit(0.0).alias("retry_conf"), F.lit("zz").alias("third_text"),
+        F.lit(0.5).alias("third_conf"), (F.col("l_discount") == 0).alias("is_blank"),
+    )
+
+    verdict = F.struct(
+        (1 + F.col("l_quantity").cast("int") % 5).cast("string").alias("semantic_relevance_rating"), (F.col("l_returnflag") == "A").alias("missed_key_concepts"),
+        (F.col("l_discount") > 0.095).alias("hallucination_detected"), ((F.col("l_tax") > 0.075) & (F.col("l_linestatus") == "F")).alias("cheating_detected"),
+    )
+    verdicts = lines.where((n == 5) & (F.col("l_suppkey") % 4 > 0)).select(
+        *item, verdict.alias("verdict"), F.lit("fine").alias("explanation"), (F.col("l_partkey") % 17 == 0).alias("failed"),
+        F.when(F.col("l_partkey") % 23 == 0, "timeout").alias("crash"), F.concat(F.lit("line "), "q_num").alias("wrote"),
+    )
+    return ReadInputs(papers.drop("o_orderkey"), ratios, letters, words, verdicts)

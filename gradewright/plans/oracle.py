@@ -679,3 +679,83 @@ SQL["question_pool"] = f"""WITH {KEY.replace(", unnest(['A','B','C']) AS archety
  CASE WHEN q_type = 'multi_select' THEN array_to_string(list_sort(opts), ',') ELSE '' END AS correct_options,
  CASE WHEN q_type = 'fill_blanks' THEN {_M.format('w1', 'w2', 'w3')} ELSE '' END AS correct_cells, CASE WHEN q_type = 'matching' THEN 'A=A;B=B;C=C' ELSE '' END AS right_options,
  CASE WHEN q_type = 'open_ended' THEN txt ELSE '' END AS expected FROM k2"""
+
+# ---- exam maps and the whole grading plan
+_TYPES = "['multiple_choice','multi_select','matching','fill_blanks','open_ended','multiple_choice','essay','open_ended']"
+MAPKEY = f"""k AS (SELECT p_partkey, p_size, p_name, concat('MAP', p_partkey // 8) AS exam_id, p_partkey % 8 + 1 AS pos,
+ CAST(p_partkey % 8 + 1 AS VARCHAR) AS q_num, CAST(p_partkey % 8 // 4 AS INT) AS page_pos, ({_TYPES})[p_partkey % 8 + 1] AS q_type,
+ CAST(4 + p_size % 7 AS DOUBLE) AS points, CAST((p_partkey % 3) * 0.25 AS DOUBLE) AS penalty, string_split(p_name, ' ') AS w,
+ [{L.format('p_partkey')}, {L.format('(p_partkey + 1)')}, {L.format('p_size')}] AS matches, {L.format('p_size')} AS opt,
+ list_distinct([{L.format('p_size')}, {L.format('(p_size + p_partkey)')}]) AS opts FROM part)"""
+SQL["exam_dimension"] = f"WITH {MAPKEY} SELECT exam_id, q_num, page_pos, q_type, p_name AS question_text, points, penalty FROM k"
+SQL["expected_answer"] = f"""WITH {MAPKEY} SELECT exam_id, q_num, CASE WHEN q_type = 'multiple_choice' THEN opt ELSE '' END AS option,
+ CASE q_type WHEN 'matching' THEN concat('1=', matches[1], ';2=', matches[2], ';3=', matches[3]) WHEN 'fill_blanks' THEN concat('1=', w[1], ';2=', w[2]) ELSE '' END AS cells,
+ CASE WHEN q_type = 'open_ended' THEN p_name ELSE '' END AS text FROM k"""
+
+
+def _boxes(kind: str, items: list[tuple[str, int]], y: int, types: str, when: str = "TRUE") -> str:
+    return " UNION ALL ".join(
+        f"SELECT exam_id, page_pos, q_num, '{kind}' AS kind, '{item}' AS item, {x}.0::DOUBLE AS x, CAST(p_size + {y} AS DOUBLE) AS y, 30.0::DOUBLE AS w, CAST(p_size AS DOUBLE) AS h FROM k WHERE q_type IN ({types}) AND {when}"
+        for item, x in items
+    )
+
+
+_ANY = "'multiple_choice','multi_select','matching','fill_blanks','open_ended','essay'"
+_BOXED = " UNION ALL ".join([
+    _boxes("question", [("", 10)], 20, _ANY, "p_size % 5 > 0"), _boxes("option", [(o, 100 + 40 * i) for i, o in enumerate("ABCD")], 30, "'multiple_choice','multi_select'"),
+    _boxes("solution", [("", 40)], 90, "'open_ended'", "p_size % 3 > 0"), _boxes("section", [("", 40)], 50, "'matching','fill_blanks'"),
+    _boxes("answer", [("1", 50), ("2", 90), ("3", 130)], 60, "'matching','fill_blanks'"), _boxes("blank", [("1", 50), ("2", 90)], 80, "'fill_blanks'"),
+])
+SQL["box_dimension"] = f"""WITH {MAPKEY}, m AS (SELECT DISTINCT exam_id FROM k),
+ p AS (SELECT exam_id, CAST(i AS INT) AS page_pos FROM m, range(0, 2) t(i)) {_BOXED}
+ UNION ALL SELECT exam_id, page_pos, '', 'digit', CAST(n AS VARCHAR), 5.0, 6.0, 7.0, 8.0 FROM p, range(1, 4) t(n) WHERE n <= 3 - page_pos
+ UNION ALL SELECT exam_id, page_pos, '', 'number_region', '', 1.0, 2.0, 15.0, 16.0 FROM p"""
+# the evidence of a paper and question, and the rules of each type; the similarities are those of LCS above
+GRADE = f"""{MAPKEY}, paper AS (SELECT o_orderkey, concat('MAP', CASE WHEN o_custkey % 3 = 0 THEN 0 ELSE o_custkey % 250 END) AS exam_id, lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS student_number FROM orders),
+ newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC, l_quantity DESC) AS rn FROM lineitem) WHERE rn = 1),
+ asked AS MATERIALIZED (SELECT p.o_orderkey, p.student_number, k.*, n.* FROM paper p JOIN k USING (exam_id) LEFT JOIN newest n ON n.l_orderkey = p.o_orderkey AND n.l_linenumber = k.pos),
+ mark_ratio AS (SELECT *, round(l_discount * 10, 4) AS a, round(l_tax * 12.5, 4) AS b, round(l_quantity / 50, 4) AS c, round(l_linenumber / 7.0, 4) AS d FROM asked
+  WHERE q_type IN ('multiple_choice', 'multi_select') AND l_orderkey IS NOT NULL),
+ {SINGLE}, {MULTI},
+ m2 AS (SELECT *, len(list_filter(sel, lambda x: list_contains(opts, x))) AS good, len(list_filter(sel, lambda x: NOT list_contains(opts, x))) AS bad,
+  len(list_filter(opts, lambda x: NOT list_contains(sel, x))) AS miss, points / len(opts) AS share FROM multi WHERE q_type = 'multi_select'),
+ r1 AS (SELECT exam_id, student_number, q_num, q_type, CASE WHEN selected = opt THEN points ELSE 0.0 END AS score, points AS max_points,
+  CASE WHEN is_blank THEN 'blank' WHEN selected IS NULL THEN 'pending_review' WHEN selected = opt THEN 'correct' ELSE 'wrong' END AS status, confidence,
+  NOT is_blank AND selected IS NULL AS needs_review FROM single WHERE q_type = 'multiple_choice'),
+ r2 AS (SELECT exam_id, student_number, q_num, q_type, CASE WHEN is_blank THEN 0.0 ELSE greatest(0.0, {rnd('good*share - bad*CASE WHEN penalty = 0 AND bad > 0 THEN share ELSE penalty END', 2)}) END AS score,
+  points AS max_points, CASE WHEN is_blank THEN 'blank' WHEN bad = 0 AND miss = 0 THEN 'correct' WHEN good > 0 THEN 'partial' ELSE 'wrong' END AS status, confidence, FALSE AS needs_review FROM m2),
+ r12 AS (SELECT exam_id, student_number, q_num, q_type, 0.0::DOUBLE AS score, points AS max_points, 'blank' AS status, 0.0::DOUBLE AS confidence, FALSE AS needs_review
+  FROM asked WHERE q_type IN ('multiple_choice', 'multi_select') AND l_orderkey IS NULL),
+ box AS (SELECT *, row_number() OVER () AS box_id FROM (SELECT *, unnest([1, 2, 3]) AS i FROM asked WHERE q_type = 'matching' AND l_orderkey IS NOT NULL)),
+ reading AS (SELECT box_id, 0 AS ord, 'cnn0' AS reader, {L.format('(l_partkey + i)')} AS text, l_quantity / 50 AS confidence, matches FROM box
+  UNION ALL SELECT box_id, 1, 'ocr0', {L.format('(l_suppkey + i)')}, l_discount * 10, matches FROM box),
+ cand AS (SELECT box_id, ord, reader, text AS letter, confidence AS conf FROM reading WHERE list_contains(matches, text) AND NOT (reader = 'cnn0' AND confidence < 0.05)),
+ voted AS ({VOTE.replace('ranked AS', 'WITH ranked AS', 1)}),
+ cells3 AS (SELECT b.exam_id, b.student_number, b.q_num, b.i, b.matches[b.i] AS expected, v.text AS predicted, v.confidence, v.needs_review AS flagged FROM box b JOIN voted v USING (box_id)),
+ four AS (SELECT a.*, string_split(x.p_name, ' ')[i] AS t1, l_quantity / 50 AS c1, a.w[i] AS key, l_discount = 0 AS is_blank, i FROM (SELECT *, unnest([1, 2]) AS i FROM asked WHERE q_type = 'fill_blanks' AND l_orderkey IS NOT NULL) a
+  LEFT JOIN part x ON x.p_partkey = a.l_partkey),
+ text_pair AS (SELECT row_number() OVER (ORDER BY predicted, expected) AS pair_id, predicted, expected FROM
+  (SELECT DISTINCT coalesce(t1, '') AS predicted, key AS expected FROM four WHERE coalesce(t1, '') <> '' UNION SELECT 'zz', key FROM four)),
+ {LCS},
+ hit AS (SELECT predicted, expected, s >= 0.8 AS hit FROM text_pair JOIN sim USING (pair_id)),
+ cells4 AS (SELECT exam_id, student_number, q_num, i, key AS expected, CASE WHEN is_blank THEN '' WHEN take OR c1 >= 0.5 THEN coalesce(t1, '') ELSE 'zz' END AS predicted,
+   CASE WHEN is_blank THEN 1.0 WHEN take THEN c1 ELSE {rnd('greatest(c1, 0.5)', 4)} END AS confidence, NOT is_blank AND NOT take AND c1 < 0.8 AS flagged
+  FROM (SELECT f.*, c1 >= 0.8 AND coalesce(t1, '') <> '' AND coalesce(h.hit, FALSE) AS take FROM four f LEFT JOIN hit h ON h.predicted = f.t1 AND h.expected = f.key)),
+ cells AS (SELECT c.*, CASE WHEN predicted = '' THEN 'blank' WHEN lower(predicted) = lower(expected) THEN 'correct' ELSE 'wrong' END AS st FROM cells3 c
+  UNION ALL SELECT c.*, CASE WHEN c.predicted = '' THEN 'blank' WHEN h.hit THEN 'correct' ELSE 'wrong' END FROM cells4 c LEFT JOIN hit h ON h.predicted = c.predicted AND h.expected = c.expected),
+ counted AS (SELECT exam_id, student_number, q_num, count(*) FILTER (st = 'correct') AS ok, count(*) FILTER (st = 'wrong') AS no, count(*) FILTER (st = 'blank') AS none, bool_or(flagged) AS flagged, min(confidence) AS low FROM cells GROUP BY ALL),
+ r3 AS (SELECT a.exam_id, a.student_number, a.q_num, a.q_type, greatest(0.0, {rnd('coalesce(ok, 0) * (points / items) - coalesce(no, 0) * penalty', 2)}) AS score, points AS max_points,
+  CASE WHEN coalesce(none, items) = items THEN 'blank' WHEN no = 0 AND none = 0 THEN 'correct' WHEN ok > 0 THEN 'partial' ELSE 'wrong' END AS status,
+  {rnd('coalesce(low, 0.0)', 4)} AS confidence, coalesce(flagged, FALSE) OR coalesce(low, 0.0) < 0.8 AS needs_review
+  FROM (SELECT *, CASE WHEN q_type = 'matching' THEN 3 ELSE 2 END AS items FROM asked WHERE q_type IN ('matching', 'fill_blanks')) a LEFT JOIN counted c USING (exam_id, student_number, q_num)),
+ verdict AS (SELECT *, points AS max_points, 1 + CAST(l_quantity AS INT) % 5 AS rating, l_returnflag = 'A' AS missed, l_discount > 0.095 AS hallucinated, (l_tax > 0.075 AND l_linestatus = 'F') AS cheating,
+  l_partkey % 17 = 0 AS failed, l_partkey % 23 = 0 AS crash FROM asked WHERE q_type = 'open_ended' AND l_suppkey % 4 > 0),
+ {RUB},
+ r5 AS (SELECT exam_id, student_number, q_num, q_type, CASE WHEN crash OR failed THEN 0.0 ELSE sc END AS score, max_points, CASE WHEN crash THEN 'pending_review' WHEN failed THEN 'ai_error' ELSE 'ai_graded' END AS status,
+  CASE WHEN crash OR failed THEN 0.0 WHEN rev THEN 0.5 ELSE 0.95 END::DOUBLE AS confidence, crash OR failed OR rev AS needs_review FROM rub
+  UNION ALL SELECT exam_id, student_number, q_num, q_type, 0.0, points, 'pending_review', 0.0, TRUE FROM asked WHERE q_type = 'open_ended' AND coalesce(l_suppkey % 4, 0) = 0),
+ r7 AS (SELECT exam_id, student_number, q_num, q_type, 0.0::DOUBLE AS score, points AS max_points, 'error' AS status, 0.0::DOUBLE AS confidence, TRUE AS needs_review FROM asked WHERE q_type = 'essay'),
+ graded AS (SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r12 UNION ALL SELECT * FROM r3 UNION ALL SELECT * FROM r5 UNION ALL SELECT * FROM r7)"""
+SQL["grade_exam"] = f"WITH RECURSIVE {GRADE} SELECT * FROM graded"
+SQL["graded_papers"] = f"""WITH RECURSIVE {GRADE} SELECT p.exam_id, p.student_number, coalesce({rnd('sum(score)', 2)}, 0.0) AS total_score, coalesce(sum(max_points), 0.0) AS total_max_points,
+ coalesce(bool_or(needs_review OR status IN ('pending_review','ai_flagged','error')), FALSE) AS needs_review FROM paper p LEFT JOIN graded g USING (exam_id, student_number) GROUP BY 1, 2"""

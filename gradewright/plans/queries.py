@@ -16,9 +16,10 @@ from gradewright.operators import readers, requests, rubric
 from gradewright.operators import running as run
 from gradewright.operators import scoring, series, sheet, stages, tree
 from gradewright.plans import adapters as src
+from gradewright.plans import grading
 from gradewright.session import table
 from gradewright.settings import Thresholds
-from gradewright.sources import archetypes, results, scans
+from gradewright.sources import archetypes, exam_map, results, scans
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -395,6 +396,52 @@ def cell_explode(spark, sf):
     return out.select(F.col("q_num").alias("p_partkey"), "item", "text", "confidence", F.coalesce("source", F.lit("")).alias("source"))
 
 
+# ---- exam maps and the whole grading plan -----------------------------------
+
+
+def _maps(spark, sf):
+    return exam_map.maps_from_text(src.map_lines(spark, sf))
+
+
+@query
+def exam_dimension(spark, sf):
+    """Questions of exam maps with type, points and penalty."""
+    return exam_map.question_dimension(_maps(spark, sf)).select("exam_id", "q_num", "page_pos", "q_type", "question_text", "points", "penalty")
+
+
+@query
+def box_dimension(spark, sf):
+    """Every box of exam maps."""
+    boxes = exam_map.box_dimension(_maps(spark, sf))
+    none = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return boxes.select("exam_id", "page_pos", none("q_num"), "kind", none("item"), "box.x", "box.y", "box.w", "box.h")
+
+
+@query
+def expected_answer(spark, sf):
+    """The part of each key that counts for its question type."""
+    d = exam_map.question_dimension(_maps(spark, sf)).withColumn("e", exam_map.expected_answer("q_type", "expected"))
+    cells = F.coalesce("e.matches", "e.blanks")
+    listed = F.transform(F.array_sort(F.map_entries(cells)), lambda x: F.concat_ws("=", x["key"], x["value"]))
+    return d.select("exam_id", "q_num", *[F.coalesce(c, F.lit("")).alias(n) for n, c in (("option", F.col("e.option")), ("cells", F.array_join(listed, ";")), ("text", F.col("e.text")))])
+
+
+@query
+def grade_exam(spark, sf):
+    """Every question of every paper, from readings and verdicts to results."""
+    key = exam_map.question_dimension(_maps(spark, sf))
+    graded = grading.grade(key, src.read_inputs(spark, sf))
+    return graded.select("exam_id", "student_number", "q_num", "q_type", "score", "max_points", "status", "confidence", "needs_review")
+
+
+@query
+def graded_papers(spark, sf):
+    """Totals of the papers of the whole grading plan."""
+    key, inputs = exam_map.question_dimension(_maps(spark, sf)), src.read_inputs(spark, sf)
+    out = grading.results(inputs.papers, grading.grade(key, inputs))
+    return out.select("exam_id", "student_number", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("total_score", "total_max_points")], F.coalesce("needs_review", F.lit(False)).alias("needs_review"))
+
+
 # ---- payloads ---------------------------------------------------------------
 
 
@@ -453,14 +500,11 @@ def open_ended(spark, sf):
 
 @query
 def dispatch_by_type(spark, sf):
-    """Branches by type in one table; a type without a branch becomes error rows."""
-    q = src.question_results(spark, sf)
-    asked = q.select(*QKEYS, "q_type", F.col("max_points").alias("points"))
-    branches = {
-        t: q.where(F.col("q_type") == t)
-        for t in ("multiple_choice", "multi_select", "matching", "fill_blanks")
-    }
-    return scoring.by_type(asked, branches, QKEYS).withColumn("explanation", F.coalesce("explanation", F.lit("")))
+    """Results by the rule of each type, in one scan; a type without a rule becomes error rows."""
+    q = src.question_results(spark, sf).withColumn("points", F.col("max_points"))
+    own = {c: F.col(c) for c in scoring.RESULT_COLUMNS}
+    rules = {t: own for t in ("multiple_choice", "multi_select", "matching", "fill_blanks")}
+    return scoring.dispatch(q, rules, QKEYS).withColumn("explanation", F.coalesce("explanation", F.lit("")))
 
 
 # ---- readers ----------------------------------------------------------------

@@ -16,6 +16,11 @@ def read_exam_map(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EXAM_MAP).option("multiLine", True).json(path)
 
 
+def maps_from_text(lines: DataFrame, text: str = "value") -> DataFrame:
+    """Exam maps that arrive as one JSON text each."""
+    return lines.select(F.from_json(text, EXAM_MAP).alias("m")).select("m.*")
+
+
 def map_pages(maps: DataFrame) -> DataFrame:
     """One row per map page."""
     return maps.select(
@@ -88,42 +93,37 @@ def expected_answer(q_type, expected) -> Column:
 
 
 def box_dimension(maps: DataFrame) -> DataFrame:
-    """Every box of a map: exam_id, page_pos, q_num, kind, item, box."""
-    pages = map_pages(maps)
-    qs = _questions(maps)
-    q = F.col("q")
+    """Every box of a map: exam_id, page_pos, q_num, kind, item, box. A page's boxes are listed in its row, in one pass over the maps."""
     none = F.lit(None).cast("string")
 
-    def one(kind: str, box: Column, only: Column | None = None) -> DataFrame:
-        rows = qs if only is None else qs.where(only)
-        return rows.select("exam_id", "page_pos", "q_num", F.lit(kind).alias("kind"), none.alias("item"), box.alias("box"))
-
-    def many(kind: str, boxes: Column, only: Column) -> DataFrame:
-        return qs.where(only).select(
-            "exam_id", "page_pos", "q_num", F.lit(kind).alias("kind"), F.explode(boxes).alias("item", "box")
-        )
-
-    choice = q["type"].isin("multiple_choice", "multi_select")
-    cells = q["type"].isin("matching", "fill_blanks")
-    parts = [
-        pages.select(
-            "exam_id", "page_pos", none.alias("q_num"), F.lit("number_region").alias("kind"), none.alias("item"),
-            F.coalesce(F.col("number_region"), number_region("number_boxes").cast(BOX)).alias("box"),
-        ),
-        pages.select("exam_id", "page_pos", F.posexplode("number_boxes").alias("_i", "box")).select(
-            "exam_id", "page_pos", none.alias("q_num"), F.lit("digit").alias("kind"),
-            (F.col("_i") + 1).cast("string").alias("item"), "box",
-        ),
-        one("question", q["boundingBox"]),
-        many("option", q["options"], choice),
-        one("solution", q["solutionArea"], q["type"] == "open_ended"),
-        one("section", q["answerSection"], cells),
-        many("answer", q["answerBoxes"], cells),
-        many("blank", q["fillBlanks"], q["type"] == "fill_blanks"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    def one(kind: str, box: Column, q_num: Column = none) -> Column:
+        return F.array(record(q_num=q_num, kind=F.lit(kind), item=none, box=box.cast(BOX)))
+
+    def many(kind: str, boxes: Column, only: Column, q_num: Column) -> Column:
+        found = F.transform(F.map_entries(boxes), lambda b: record(q_num=q_num, kind=F.lit(kind), item=b["key"], box=b["value"].cast(BOX)))
+        return F.when(only, found)
+
+    def of_question(entry: Column) -> Column:
+        """All boxes of one question in one array; a question has a few dozen."""
+        n, v = entry["key"], entry["value"]
+        kind = lambda *types: F.coalesce(v["type"].isin(*types), F.lit(False))
+        parts = [
+            one("question", v["boundingBox"], n),
+            many("option", v["options"], kind("multiple_choice", "multi_select"), n),
+            F.when(kind("open_ended"), one("solution", v["solutionArea"], n)),
+            F.when(kind("matching", "fill_blanks"), one("section", v["answerSection"], n)),
+            many("answer", v["answerBoxes"], kind("matching", "fill_blanks"), n),
+            many("blank", v["fillBlanks"], kind("fill_blanks"), n),
+        ]
+        empty = F.array().cast(f"array<struct<q_num:string,kind:string,item:string,box:{BOX}>>")
+        return F.flatten(F.array(*[F.coalesce(p, empty) for p in parts]))
+
+    digits = F.transform("number_boxes", lambda b, i: record(q_num=none, kind=F.lit("digit"), item=(i + 1).cast("string"), box=b.cast(BOX)))
+    region = one("number_region", F.coalesce(F.col("number_region"), number_region("number_boxes").cast(BOX)))
+    empty = F.array().cast(f"array<struct<q_num:string,kind:string,item:string,box:{BOX}>>")
+    asked = F.flatten(F.transform(F.map_entries("questions"), of_question))
+    boxes = F.concat(region, F.coalesce(digits, empty), F.coalesce(asked, empty))
+    out = map_pages(maps).select("exam_id", "page_pos", F.explode(boxes).alias("b")).select("exam_id", "page_pos", "b.*")
     return out.where(F.col("box").isNotNull())
 
 

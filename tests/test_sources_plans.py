@@ -6,7 +6,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from gradewright.operators import alignment, authoring
+from gradewright.operators import alignment, authoring, scoring
 from gradewright.plans import grading
 from gradewright.sources import archetypes, exam_map, logs, results, scans
 
@@ -215,3 +215,23 @@ def test_authoring_round_trip(spark, maps):
     assert pool["1"].correct_option == "B" and pool["1"].options[3] == "Option 4"
     assert pool["3"].correct_cells == {"1": "A", "2": "B"} and pool["4"].correct_cells == {"1": "agile", "2": "scrum"}
     assert pool["2"].correct_options == ["A", "C"] and pool["5"].expected == "key"
+
+
+def test_keys_too_large_to_send_are_shared_out(spark, maps, monkeypatch):
+    """The same rows when the key is repeated for shares of an exam's papers."""
+    papers = spark.createDataFrame([("E1", f"s{i}") for i in range(40)] + [("none", "s0")], "exam_id string, student_number string")
+    key = exam_map.question_dimension(maps).select("exam_id", "q_num", "points")
+    sent = rows(grading.join_key(papers, key, ["exam_id"]))
+    monkeypatch.setattr(grading, "KEY_ROWS", 1)
+    assert rows(grading.join_key(papers, key, ["exam_id"])) == sent and len(sent) == 40 * key.count()
+    left = grading.join_key(papers, key, ["exam_id"], "left")
+    assert left.count() == len(sent) + 1
+
+
+def test_dispatch_in_one_scan(spark):
+    df = spark.createDataFrame([("1", "a", 3.0), ("2", "b", 3.0), ("3", None, 3.0)], "k string, q_type string, points double")
+    got = scoring.dispatch(df, {"a": {"score": F.col("points"), "status": F.lit("fine"), "max_points": F.col("points")}}, ["k"])
+    assert rows(got, "k", "score", "max_points", "status", "needs_review", "explanation") == [
+        ("1", 3.0, 3.0, "fine", None, None), ("2", 0.0, 3.0, "error", True, "Evaluation error: no result for type b"),
+        ("3", 0.0, 3.0, "error", True, "Evaluation error: no result for type unknown"),
+    ]
