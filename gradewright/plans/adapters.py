@@ -6,11 +6,13 @@ for real exam data in the registered queries and the benchmark.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradewright.operators.marks import options
-from gradewright.session import keep, table
+from gradewright.session import keep, shared_folder, table
 
 
 def question_results(spark: SparkSession, sf: str) -> DataFrame:
@@ -111,6 +113,22 @@ def stage_log(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+LOG_LINES, LOG_PIECES = 1013, 3  # lines of a log, and the pieces that it is cut into
+PIECE = r"/piece=(\d+)|/part-[^/]*$"  # what tells the pieces of a log apart
+
+
+def log_files(spark: SparkSession, sf: str) -> str:
+    """The stage log cut into logs of ``LOG_LINES`` lines, as text files of ``LOG_PIECES`` pieces each, written one after the other. Gives
+    the pattern of their folders."""
+    root = shared_folder(spark, f"stage-logs-{uuid.uuid4().hex}")
+    lines = stage_log(spark, sf).select("line", (F.col("line_no") % LOG_LINES).alias("at"), F.floor(F.col("line_no") / LOG_LINES).cast("bigint").alias("log"))
+    piece = F.floor(F.col("at") * LOG_PIECES / LOG_LINES)
+    for i in range(LOG_PIECES):
+        part = lines.where(piece == i).repartition("log").sortWithinPartitions("log", "at")
+        part.select("line", "log").write.partitionBy("log").text(f"{root}/piece={i}")
+    return f"{root}/piece=*/log=*"
+
+
 def text_pairs(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part")
     nxt = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("expected"))

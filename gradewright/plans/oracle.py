@@ -186,6 +186,27 @@ SQL["stage_parse"] = f"""WITH {LOG}, {EV} SELECT line_no, stage, state, eid, snu
 SQL["stage_maps"] = f"""WITH {LOG}, t AS (SELECT line_no, list_filter(string_split(replace(line,'[STAGE] ',''), ' '), lambda x: contains(x,'=')) AS kv FROM stage_log WHERE contains(line,'[STAGE]'))
  SELECT line_no, CAST(len(kv) AS INT) AS fields, array_to_string(list_sort(list_transform(kv, lambda x: split_part(x,'=',1))), ',') AS names,
  split_part(list_filter(kv, lambda x: starts_with(x,'stage='))[1], '=', 2) AS stage FROM t"""
+_STEP = "stage IN ('read', 'grade', 'done')"
+_END = "(stage = 'batch' AND state = 'end')"
+_START = "(stage = 'batch' AND state = 'start')"
+# the log cut into logs of 1,013 lines
+_SINCE = f"""WITH {LOG}, {EV}, e AS (SELECT *, line_no // 1013 AS log, line_no % 1013 AS ln FROM ev),
+ b AS (SELECT log, max(ln) FILTER ({_START}) AS began, max(ln) AS last_line FROM e GROUP BY log),
+ s AS (SELECT e.*, last_line FROM e JOIN b USING (log) WHERE began IS NULL OR ln >= began)"""
+SQL["latest_log_state"] = SQL["followed_log_state"] = f"""{_SINCE}, o AS (SELECT log, any_value(last_line) AS last_line,
+  coalesce(arg_max(state = 'start', ln) FILTER ({_START} OR {_END}), FALSE) AS busy,
+  coalesce(arg_max(coalesce(eid, ''), ln) FILTER ({_START}), '') AS exam_id,
+  coalesce(arg_max(coalesce(stotal, -1), ln) FILTER ({_START} OR ({_STEP} AND stotal IS NOT NULL)), -1)::BIGINT AS students_total,
+  coalesce(arg_max(CASE WHEN {_END} THEN -1 ELSE sidx END, ln) FILTER ({_END} OR ({_STEP} AND sidx IS NOT NULL)), -1)::BIGINT AS student_idx,
+  coalesce(arg_max(CASE WHEN {_END} THEN '' ELSE snum END, ln) FILTER ({_END} OR ({_STEP} AND snum IS NOT NULL)), '') AS student_num,
+  coalesce(arg_max(CASE WHEN stage = 'q' THEN coalesce(qnum, '') ELSE '' END, ln) FILTER (stage = 'q' OR {_STEP} OR {_END}), '') AS question,
+  coalesce(arg_max(CASE WHEN stage = 'q' THEN coalesce(qtype, '') ELSE '' END, ln) FILTER (stage = 'q' OR {_STEP} OR {_END}), '') AS question_type,
+  coalesce(arg_max(CASE WHEN {_START} THEN 'batch' WHEN {_END} THEN 'idle' ELSE stage END, ln) FILTER ({_START} OR {_END} OR stage IN ('q', 'read', 'grade', 'done', 'error', 'save')), '') AS phase,
+  count(DISTINCT sidx) FILTER (stage = 'done')::BIGINT AS completed FROM s GROUP BY log)
+ SELECT *, '' AS last_error, CASE WHEN students_total < 0 THEN -1 ELSE greatest(students_total - completed - CASE WHEN busy AND phase IN ('read', 'q', 'grade') THEN 1 ELSE 0 END, 0) END AS pending FROM o"""
+SQL["followed_progress"] = f"""WITH {LOG}, {EV} SELECT line_no // 1013 AS log, max(eid) AS exam_id, max(stotal) AS students_total, count(*) FILTER (stage = 'done') AS students_done,
+ count(*) FILTER (stage = 'error') AS errors, coalesce(sum(ocr) FILTER (stage = 'done'), 0)::BIGINT AS ocr_ms, coalesce(sum(ai) FILTER (stage = 'done'), 0)::BIGINT AS ai_ms FROM ev GROUP BY 1"""
+SQL["followed_type_times"] = f"""WITH {LOG}, {EV} SELECT qtype AS "qType", count(*) AS n, sum(elapsed)::BIGINT AS total_ms, max(elapsed) AS max_ms FROM ev WHERE stage = 'q' AND elapsed IS NOT NULL GROUP BY 1"""
 SQL["batch_bracketing"] = f"{LOGB} SELECT batch_start, batch_end, batch_eid, batch_students, count(*) AS lines FROM batched GROUP BY 1,2,3,4"
 SQL["stage_attribution"] = f"""{LOGB} SELECT line_no, batch_start, qnum AS "qNum", qtype AS "qType", elapsed AS "elapsedMs",
  coalesce(student_idx,-1) AS student_idx, coalesce(student_num,'') AS student_num FROM batched WHERE stage='q'"""

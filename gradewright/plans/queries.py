@@ -19,7 +19,8 @@ from gradewright.plans import adapters as src
 from gradewright.plans import grading
 from gradewright.session import table
 from gradewright.settings import Thresholds
-from gradewright.sources import archetypes, exam_map, results, scans
+from gradewright.sources import archetypes, exam_map, logs, results, scans
+from gradewright.streaming import progress
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -219,6 +220,53 @@ def latest_batches(spark, sf):
     return last.select("batch_start", "batch_end", "slug", "position", "lines")
 
 
+# ---- followed logs ----------------------------------------------------------
+
+def _log_number():
+    return F.regexp_extract("source", r"log=(\d+)", 1).cast("bigint").alias("log")
+
+
+def _followed(spark, sf):
+    """The stage log as files of many logs, followed a few at a time."""
+    logs_at_a_time = 8
+    return logs.stream_stage_log(spark, src.log_files(spark, sf), logs_at_a_time, src.PIECE)
+
+
+def _state_columns(state):
+    texts, numbers = ("exam_id", "student_num", "question", "question_type", "phase", "last_error"), ("students_total", "student_idx", "last_line", "completed", "pending")
+    shown = [F.coalesce("busy", F.lit(False)).alias("busy"), *[F.coalesce(c, F.lit("")).alias(c) for c in texts], *[F.coalesce(F.col(c).cast("bigint"), F.lit(-1)).alias(c) for c in numbers]]
+    return state.select("log", *shown)
+
+
+@query
+def latest_log_state(spark, sf):
+    """State of the run behind each log after its last line."""
+    lines = src.stage_log(spark, sf).select("line", (F.col("line_no") % src.LOG_LINES).alias("line_no"), F.floor(F.col("line_no") / src.LOG_LINES).cast("bigint").alias("log"))
+    return _state_columns(stages.latest_state(stages.stage_events(lines), ["log"]))
+
+
+@query
+def followed_log_state(spark, sf):
+    """The same from the stream, trigger by trigger in keyed state."""
+    with progress.keyed_state(spark):
+        state = progress.settled(progress.batch_state(_followed(spark, sf)), ["source"], "log-state")
+    return _state_columns(state.where("last_line IS NOT NULL").withColumn("log", _log_number()))
+
+
+@query
+def followed_progress(spark, sf):
+    """Counters of each log from the stream."""
+    found = progress.settled(progress.batch_progress(_followed(spark, sf)), ["source"], "log-progress")
+    return found.select(_log_number(), "exam_id", "students_total", "students_done", "errors", "ocr_ms", "ai_ms")
+
+
+@query
+def followed_type_times(spark, sf):
+    """Times per question type from the stream."""
+    found = progress.settled(progress.type_times(_followed(spark, sf), approximate=False), ["qType"], "type-times")
+    return found.select("qType", "n", "total_ms", "max_ms")
+
+
 # ---- pages ------------------------------------------------------------------
 
 

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gradewright.functions.text import STAGE_TAG
@@ -225,6 +228,34 @@ def student_buckets(state: DataFrame) -> DataFrame:
     return rows.select("source", "idx", bucket.alias("bucket"))
 
 
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """The state store that keyed states need, for the streams started inside."""
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
+def settled(stream: DataFrame, keys: Sequence[str], name: str, mode: str = "update") -> DataFrame:
+    """Run a stream over what is there now, and give its last row for each key. Triggers are written one folder each, so a repeated one
+    overwrites itself; the folders, and the stream's checkpoint, are in the shared folder."""
+    root = shared_folder(stream.sparkSession, f"{name}-{uuid.uuid4().hex}")
+
+    def write(rows: DataFrame, trigger: int) -> None:
+        rows.withColumn("trigger", F.lit(trigger)).write.mode("overwrite").parquet(f"{root}/out/run={trigger}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
+    query.start().awaitTermination()
+    schema = T.StructType([*stream.schema.fields, T.StructField("trigger", T.IntegerType())])
+    rows = stream.sparkSession.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{root}/out")
+    last = rows.groupBy(*keys).agg(F.max("trigger").alias("trigger"))
+    return rows.join(last, [*keys, "trigger"]).drop("trigger")
+
+
 def apply_feed(
     feed: DataFrame,
     write: Callable[[DataFrame, int], None],
