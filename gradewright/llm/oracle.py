@@ -8,7 +8,7 @@ from gradewright.llm.language_id import PROFILE, SAMPLE, UNKNOWN
 from gradewright.llm.sharding import BUCKETS, Node, grow, tree
 from gradewright.llm.source_audit import EXTRA, LEAST, SCALE, TOP
 from gradewright.llm.turn_repair import DELETE, INSERT, KEPT, NEXT, REROLE, ROLE, SPACES, TRUNCATED
-from gradewright.llm.url_filter import DAMPING, DIGITS, LINK, RULES, STEPS, THRESHOLD
+from gradewright.llm.url_filter import DAMPING, LINK, RULES, SAME, THRESHOLD, TWIN_STEPS
 
 WORDS = r"[^\x20\x09-\x0D]+"
 LETTERS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -41,15 +41,7 @@ FROM w JOIN c ON w.s = c.s LEFT JOIN k ON k.id = c.id
 
 
 def _links() -> str:
-    """Trust and distrust ranks by host after all steps."""
-    steps = ", ".join(
-        f"""r{k} AS (
-  SELECT kind, host, sum(mass) AS mass FROM (
-    SELECT e.kind, e.dst AS host, r.mass * e.share * {DAMPING} AS mass FROM r{k - 1} r JOIN e ON e.kind = r.kind AND e.src = r.host
-    UNION ALL SELECT kind, host, mass * (1 - {DAMPING}) FROM r0
-  ) GROUP BY kind, host)"""
-        for k in range(1, STEPS + 1)
-    )
+    """Hosts whose distrust is above their trust once both have settled."""
     link = LINK.replace("'", "''")
     return f"""
 l AS (
@@ -72,9 +64,14 @@ l AS (
 ), r0 AS MATERIALIZED (
   SELECT if(by_rule = 'allow', 'trust', 'distrust') AS kind, host, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY by_rule) AS mass
   FROM p WHERE host <> '' AND by_rule IS NOT NULL GROUP BY by_rule, host
-), {steps}, bad AS (
-  SELECT host FROM r{STEPS} GROUP BY host
-  HAVING round(coalesce(sum(mass) FILTER (kind = 'distrust'), 0), {DIGITS}) > round({THRESHOLD} * coalesce(sum(mass) FILTER (kind = 'trust'), 0), {DIGITS})
+), terms AS (
+  SELECT 0 AS step, kind, host, mass * (1 - {DAMPING}) AS term FROM r0
+  UNION ALL
+  SELECT t.step + 1, t.kind, e.dst, sum(t.term * e.share * {DAMPING}) FROM terms t JOIN e ON e.kind = t.kind AND e.src = t.host
+  WHERE t.step < {TWIN_STEPS} GROUP BY t.step, t.kind, e.dst
+), bad AS (
+  SELECT host FROM terms GROUP BY host
+  HAVING coalesce(sum(term) FILTER (kind = 'distrust'), 0) > {THRESHOLD} * (1 + {SAME}) * coalesce(sum(term) FILTER (kind = 'trust'), 0)
 )"""
 
 
@@ -87,7 +84,7 @@ def _rules(column: int) -> str:
 
 
 OP4 = rf"""
-WITH u AS (
+WITH RECURSIVE u AS (
   SELECT page_id, html, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host,
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
 ), p AS MATERIALIZED (

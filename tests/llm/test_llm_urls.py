@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from gradewright.llm import url_filter
@@ -82,3 +84,44 @@ def test_two_way_chain_equals_converged_ranks(spark):
     trust, bad = rank(edges, {"00": 1.0}, steps=400), rank({(b, a): w for (a, b), w in edges.items()}, {f"{n - 1:02}": 1.0}, steps=400)
     assert got == {h: pytest.approx((trust[h], bad[h]), rel=1e-6) for h in trust}
     assert [h for h, (t, d) in sorted(got.items()) if d > t * (1 + url_filter.SAME)] == [f"{i:02}" for i in range(n // 2, n)]
+
+
+def test_sure_verdicts_equal_settled_ones(spark):
+    """Steps that end when bounds decide give the verdicts of settled ranks, on random graphs and on hosts far from all seeds."""
+    r = random.Random(6)
+    for n in (6, 12, 25):
+        names = [f"h{i:02}" for i in range(n)]
+        edges = {(a, b): float(r.randint(1, 5)) for a in names for b in r.sample(names, min(n, 3)) if a != b}
+        edges |= {(f"c{i}", f"c{i + 1}"): 1.0 for i in range(15)} | {(f"c{i + 1}", f"c{i}"): 2.0 for i in range(15)} | {("c0", "h00"): 1.0, ("h00", "c0"): 1.0}
+        graph = spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()], "src string, dst string, weight double")
+        seeds = spark.createDataFrame([("trust", "h00", 0.5), ("trust", "h01", 0.5), ("distrust", "h03", 0.7), ("distrust", "h01", 0.3)], "kind string, host string, mass double")
+        apart = 1 + url_filter.SAME
+        early = {x.host: x.untrusted or x.distrust > apart * x.trust for x in url_filter.ranks(graph, seeds, steps=None, apart=apart).collect()}
+        trust = rank(edges, {"h00": 0.5, "h01": 0.5}, steps=500)
+        bad = rank({(b, a): w for (a, b), w in edges.items()}, {"h03": 0.7, "h01": 0.3}, steps=500)
+        assert early == {h: bad.get(h, 0.0) > apart * trust.get(h, 0.0) for h in set(trust) | set(bad)}
+
+
+def test_twin_equals_the_operator_on_linked_pages(spark, tmp_path):
+    import duckdb
+
+    from gradewright.llm.oracle import SQL
+
+    r, rows = random.Random(9), []
+    hosts = [f"{a}.example.{t}" for t in ("org", "com", "net") for a in ("x", "y", "www.z", "w")] + ["bad.com", "good.org", "lone.net"]
+    for i in range(200):
+        links = "".join(f'<a href="http://{r.choice(hosts)}/fr/x">l</a>' for _ in range(r.randint(0, 4)))
+        rows.append((i, f"http://{r.choice(hosts)}/{r.choice(['de', 'fr', 'en', 'es'])}/{r.randint(1, 30)}", links if i % 9 else None))
+    df = spark.createDataFrame(rows, SCHEMA)
+    df.toPandas().to_parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet'")
+    want = sorted(con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({SQL['op4_url_filter']})").fetchall())
+    assert sorted(map(tuple, url_filter.report(df).collect())) == want
+    assert len({v[4] for v in want}) == 2
+
+
+def test_columns_of_any_name_pass_through(spark):
+    df = spark.createDataFrame([(1, "http://a.com/de/1", None, "b", "r", "p", "h")], SCHEMA + ", bad string, by_rule string, page string, _bad string")
+    (row,) = url_filter.judge(df).collect()
+    assert (row.bad, row.by_rule, row.page, row["_bad"], row.verdict) == ("b", "r", "p", "h", "block")
