@@ -143,6 +143,109 @@ def approval_history(
     return prior.select(*approvals.columns, F.col("_old").alias("old_value"))
 
 
+def change_events(
+    exam_results: DataFrame,
+    questions: DataFrame,
+    overrides: DataFrame,
+    approvals: DataFrame,
+    result_keys: Sequence[str],
+    number: str = "q_num",
+) -> DataFrame:
+    """Results, questions and their changes in one pass per paper, in the order of ``change_id``.
+
+    All rows are dealt out by paper once and sorted twice, by question and by time. ``kind`` is ``result``, ``question``, ``override`` or ``approval``;
+    changes that name no existing row are gone. An override carries the ``old_score``, ``old_status`` and ``old_needs_review`` it replaced, an approval its
+    ``final_score`` (the total of that moment where none is given) and the ``old_value`` it replaced; every row has ``so_far``, the paper's
+    sum at that moment, and ``moved``, the overrides up to then. The changes of one paper are few by nature.
+    """
+    keys = list(result_keys)
+    base = exam_results.select(*keys, F.lit("result").alias("kind"), F.struct("total_score").alias("stored"))
+    asked = questions.select(
+        *keys, number, F.lit("question").alias("kind"), safe_double("score").alias("new_score"), "status", F.coalesce("needs_review", F.lit(False)).alias("review")
+    )
+    moved = overrides.select(
+        *keys, number, F.lit("override").alias("kind"), "change_id", safe_double("new_score").alias("new_score"), F.lit(OVERRIDDEN).alias("status"),
+        F.lit(False).alias("review"), "reason", "teacher",
+    )
+    given = approvals.select(*keys, F.lit("approval").alias("kind"), "change_id", "status", F.col("final_score").try_cast("double").alias("final_score"), "approved_by")
+    feed = base
+    for part in (asked, moved, given):
+        feed = feed.unionByName(part, allowMissingColumns=True)
+    kind = F.col("kind")
+    # base rows have no change_id and stand first
+    by_question = Window.partitionBy(*keys, number).orderBy(F.col("change_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    scored = kind.isin("question", "override")
+    known = F.last(F.when(scored, F.struct("new_score", "status", "review")), ignorenulls=True).over(by_question)
+    exists = F.last(F.when(kind == "question", F.lit(True)), ignorenulls=True).over(by_question)
+    prior = feed.repartition(*keys).withColumns({"old": known, "exists": exists}).where((kind != "override") | F.col("exists"))
+
+    upto = Window.partitionBy(*keys).orderBy(F.col("change_id").asc_nulls_first())
+    exact = lambda c: F.coalesce(F.col(c), F.lit(0.0)).cast(EXACT)
+    move = F.when(kind == "question", exact("new_score")).when(kind == "override", exact("new_score") - exact("old.new_score"))
+    row = F.struct("status", "final_score", "approved_by")
+    timed = prior.withColumns(
+        {
+            "so_far": F.sum(move).over(upto),
+            "moved": F.count_if(kind == "override").over(upto),
+            "total": F.last("stored", ignorenulls=True).over(upto),
+        }
+    ).where((kind.isin("question", "override")) | F.col("total").isNotNull())
+    moment = F.when(F.col("moved") > 0, F.coalesce("so_far", F.lit(0)).cast("double")).otherwise(F.col("total.total_score"))
+    final = F.when(kind == "approval", F.coalesce("final_score", moment))
+    strictly = Window.partitionBy(*keys).orderBy(F.col("change_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    return timed.withColumn("final_score", final).select(
+        *keys, number, "kind", "change_id", "new_score", "status", "review", "reason", "teacher", "final_score", "approved_by", "so_far", "moved",
+        F.when(kind == "override", F.col("old.new_score")).alias("old_score"), F.when(kind == "override", F.col("old.status")).alias("old_status"),
+        F.when(kind == "override", F.col("old.review")).alias("old_needs_review"), F.col("total.total_score").alias("stored_total"),
+        F.when(kind == "approval", F.last(F.when(kind == "approval", row), ignorenulls=True).over(strictly)).alias("old_value"),
+    )
+
+
+def results_after(events: DataFrame, exam_results: DataFrame, result_keys: Sequence[str], number: str = "q_num") -> DataFrame:
+    """Exam results after the changes of ``change_events``, as ``current_results`` gives them: events are folded by question, then by paper, where
+    they lie."""
+    keys, kind = list(result_keys), F.col("kind")
+    per_question = events.groupBy(*keys, number).agg(
+        F.bool_or(F.when(kind == "question", F.col("review"))).alias("review"),
+        F.max(F.when(kind == "override", F.col("change_id"))).alias("last_override"),
+        F.max(F.when((kind == "approval") & (F.col("status") == "approved"), F.col("change_id"))).alias("cleared"),
+        F.sum(F.when(kind == "question", F.coalesce("new_score", F.lit(0.0)).cast(EXACT)).when(kind == "override", F.coalesce("new_score", F.lit(0.0)).cast(EXACT) - F.coalesce("old_score", F.lit(0.0)).cast(EXACT))).alias("sum"),
+    )
+    per_paper = per_question.groupBy(*keys).agg(
+        F.bool_or(F.coalesce("review", F.lit(False)) & F.col("last_override").isNull()).alias("_any"),
+        F.max("last_override").alias("_last"), F.max("cleared").alias("_cleared"), F.sum("sum").cast("double").alias("_sum"),
+    )
+    touched = F.col("_last").isNotNull()
+    cleared = F.coalesce(F.col("_cleared") > F.coalesce("_last", F.lit(-1).cast("bigint")), F.lit(False))
+    kept = [c for c in exam_results.columns if c not in ("total_score", "needs_review")]
+    return exam_results.join(per_paper, keys, "left").select(
+        *kept,
+        F.when(touched, F.col("_sum")).otherwise(F.col("total_score")).alias("total_score"),
+        F.when(cleared, F.lit(False)).when(touched, F.col("_any")).otherwise(F.col("needs_review")).alias("needs_review"),
+    )
+
+
+def audit_of(events: DataFrame, override_row: Column, approval_row: Column) -> DataFrame:
+    """The journal of both kinds of change, in one projection."""
+    is_override = F.col("kind") == "override"
+    old, taken = F.col("old_value"), F.col("old_value").isNotNull()
+    was = F.when(is_override, _json(score=F.col("old_score"), status=F.col("old_status"), needsReview=F.col("old_needs_review"))).when(
+        taken, _json(status=old["status"], finalScore=old["final_score"], approvedBy=old["approved_by"])
+    )
+    now = F.when(is_override, _json(score=F.col("new_score"), status=F.lit(OVERRIDDEN), needsReview=F.lit(False), reason=F.col("reason"))).otherwise(
+        _json(status=F.col("status"), finalScore=F.col("final_score"), approvedBy=F.col("approved_by"))
+    )
+    return events.where(F.col("kind").isin("override", "approval")).select(
+        "change_id",
+        F.when(is_override, "question_results").otherwise("final_approvals").alias("table_name"),
+        F.when(is_override, override_row.cast("string")).otherwise(approval_row.cast("string")).alias("row_id"),
+        F.when(is_override, "teacher_override").otherwise("final_approval").alias("action"),
+        was.alias("old_value_json"),
+        now.alias("new_value_json"),
+        F.when(is_override, F.col("teacher")).otherwise(F.col("approved_by")).alias("created_by"),
+    )
+
+
 def final_approvals(approved: DataFrame, existing: DataFrame | None, result_keys: Sequence[str]) -> DataFrame:
     """One row per approved result: the latest approval, else the stored one."""
     keys = list(result_keys)

@@ -107,9 +107,12 @@ def accuracy_by(judged_rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def accuracy_grouping_sets(judged_rows: DataFrame, exam: str = "exam_id", kind: str = "q_type") -> DataFrame:
-    """Per exam, per type and overall from one aggregate."""
-    sets = judged_rows.groupingSets([[F.col(exam)], [F.col(kind)], []], F.col(exam), F.col(kind))
-    out = sets.agg(F.grouping_id().alias("_gid"), *_accuracy_measures())
+    """Per exam, per type and overall from one aggregate. Rows are counted by exam and type first; only those few counts are repeated for
+    the three levels."""
+    measures = ("total", "correct", "partial", "needs_review")
+    cells = judged_rows.groupBy(exam, kind).agg(*_accuracy_measures())
+    sets = cells.groupingSets([[F.col(exam)], [F.col(kind)], []], F.col(exam), F.col(kind))
+    out = sets.agg(F.grouping_id().alias("_gid"), *[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in measures])
     level = F.when(F.col("_gid") == 1, "exam").when(F.col("_gid") == 2, "type").otherwise("overall")
     return _with_rates(out.withColumn("level", level)).drop("_gid")
 

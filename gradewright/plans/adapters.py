@@ -237,7 +237,7 @@ def answer_key(spark: SparkSession, sf: str) -> DataFrame:
 
 def payload_lines(spark: SparkSession, sf: str) -> DataFrame:
     """A result payload per paper, as a line of JSON: every question with the fields its type has. Confidences are
-    missing in places, so that they come from cells or are 0."""
+    missing in places, so that they come from cells or are 0. Papers without questions are delivered too."""
     kind, number = F.col("q_type"), F.col("q_num")
     cells = kind.isin("matching", "fill_blanks")
     record = F.struct(
@@ -252,11 +252,12 @@ def payload_lines(spark: SparkSession, sf: str) -> DataFrame:
         F.when(cells, F.create_map(F.lit("1"), F.lit(0.5), F.lit("2"), F.lit(1.0))).alias("ocrConfidences"),
         F.when(kind == "open_ended", F.concat(F.lit("read "), number)).alias("studentReadText"),
     )
-    papers = exam_questions(spark, sf).groupBy("exam_result_id", "student_number").agg(
+    found = question_results(spark, sf).groupBy("exam_result_id").agg(
         F.map_from_entries(F.collect_list(F.struct("q_num", record.alias("r")))).alias("questions"),
         F.sum("score").alias("totalScore"),
         F.sum("max_points").alias("totalMaxPoints"),
     )
+    papers = exam_results(spark, sf).join(found, "exam_result_id", "left").fillna(0.0, ["totalScore", "totalMaxPoints"])
     student = F.struct(
         F.col("student_number").alias("studentNumber"), F.lit(0.9).alias("studentNumberConfidence"), "questions", "totalScore", "totalMaxPoints"
     )

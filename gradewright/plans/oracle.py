@@ -346,7 +346,7 @@ OCR = """ocr AS (SELECT exam_id, q_num, q_type AS output_type, CASE WHEN q_type
  UNION ALL SELECT exam_id, q_num, 'open_ended_text', concat('read ', q_num), confidence FROM pay WHERE q_type = 'open_ended')"""
 SQL["payload_ocr"] = f"{PAY}, {OCR} SELECT * FROM ocr"
 SQL["payload_tables"] = f"""{PAY}, {OCR} SELECT 'total_score' AS name, CAST(sum(score) AS BIGINT) AS n FROM pay
- UNION ALL SELECT 'exams', count(DISTINCT exam_id) FROM pay UNION ALL SELECT 'exam_results', count(DISTINCT exam_id) FROM pay
+ UNION ALL SELECT 'exams', count(*) FROM exam_results UNION ALL SELECT 'exam_results', count(*) FROM exam_results
  UNION ALL SELECT 'question_results', count(*) FROM pay UNION ALL SELECT 'ocr_outputs', count(*) FROM ocr
  UNION ALL SELECT 'llm_evaluations', count(*) FROM pay WHERE q_type = 'open_ended'"""
 SQL["error_papers"] = f"""WITH {ER} SELECT exam_result_id, CASE WHEN exam_result_id % 3 > 0 THEN student_number ELSE concat('error_', exam_result_id % 40 + 1) END AS student_number,
@@ -700,6 +700,19 @@ SQL["question_pool"] = f"""WITH {KEY.replace(", unnest(['A','B','C']) AS archety
  CASE WHEN q_type = 'multi_select' THEN array_to_string(list_sort(opts), ',') ELSE '' END AS correct_options,
  CASE WHEN q_type = 'fill_blanks' THEN {_M.format('w1', 'w2', 'w3')} ELSE '' END AS correct_cells, CASE WHEN q_type = 'matching' THEN 'A=A;B=B;C=C' ELSE '' END AS right_options,
  CASE WHEN q_type = 'open_ended' THEN txt ELSE '' END AS expected FROM k2"""
+SQL["store_round_trip"] = f"""{BASE}, keep AS (SELECT *, exam_id NOT IN ('EX1993', 'EX1995') AS old, exam_result_id % 2 = 0 AS again FROM scored),
+ er AS (SELECT * FROM keep WHERE old OR again),
+ q AS (SELECT q.* FROM question_results q JOIN keep k USING (exam_result_id) WHERE k.old OR (k.again AND q_num IN ('1', '2'))),
+ llm AS (SELECT q.* FROM question_results q JOIN keep k USING (exam_result_id) WHERE k.old AND q_type = 'open_ended')
+ SELECT 'exams' AS name, count(DISTINCT exam_id) AS n, 0.0::DOUBLE AS points FROM keep UNION ALL SELECT 'exam_results', count(*), sum(total_score) FROM er
+ UNION ALL SELECT 'question_results', count(*), sum(score) FROM q UNION ALL SELECT 'ocr_outputs', count(*), coalesce(sum(score), 0) FROM q WHERE q_type IN ('matching', 'fill_blanks')
+ UNION ALL SELECT 'llm_evaluations', count(*), coalesce(sum(score), 0) FROM llm UNION ALL SELECT 'students', count(*), 0 FROM keep UNION ALL SELECT 'student ids', count(*), 0 FROM keep
+ UNION ALL SELECT 'violations', 0, 0 UNION ALL SELECT 'expired', 5 * count(DISTINCT exam_id), 0 FROM keep WHERE NOT old"""
+SQL["result_tree_deep"] = f"""{BASE}, lines AS (SELECT exam_result_id, string_agg(concat_ws(':', q_num, q_type, CAST(score AS VARCHAR),
+  CASE WHEN q_type IN ('matching', 'fill_blanks') THEN concat('cell:1~', q_type, '~', CAST(confidence AS VARCHAR), '+cell:2~', status, '~1.0') ELSE '' END,
+  CASE WHEN q_type = 'open_ended' AND NOT needs_review THEN concat('grader:', CAST(score AS VARCHAR)) END), ';' ORDER BY q_num) AS questions FROM question_results GROUP BY 1)
+ SELECT exam_id, exam_result_id, student_number, coalesce(questions, '') AS questions,
+ CASE WHEN exam_result_id % 3 = 0 THEN concat('approved:', CAST(CAST(exam_result_id % 50 AS DOUBLE) AS VARCHAR)) ELSE '' END AS approval FROM exam_results LEFT JOIN lines USING (exam_result_id)"""
 
 # ---- exam maps and the whole grading plan
 _TYPES = "['multiple_choice','multi_select','matching','fill_blanks','open_ended','multiple_choice','essay','open_ended']"

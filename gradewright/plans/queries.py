@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,9 +18,9 @@ from gradewright.operators import running as run
 from gradewright.operators import scoring, series, sheet, stages, tree
 from gradewright.plans import adapters as src
 from gradewright.plans import grading
-from gradewright.session import table
+from gradewright.session import shared_folder, table
 from gradewright.settings import Thresholds
-from gradewright.sources import archetypes, exam_map, logs, results, scans
+from gradewright.sources import archetypes, exam_map, logs, results, scans, store
 from gradewright.streaming import progress
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -792,6 +793,26 @@ def result_tree(spark, sf):
     return t.select("exam_id", "exam_result_id", "student_number", F.to_json("questions").alias("questions"))
 
 
+@query
+def result_tree_deep(spark, sf):
+    """The tree with read texts, verdicts and approvals, each paper's questions written as lines."""
+    q = src.question_results(spark, sf)
+    er = src.exam_results(spark, sf).select("exam_id", "exam_result_id", "student_number")
+    cells = F.col("q_type").isin("matching", "fill_blanks")
+    read = F.array(F.struct(F.lit("cell:2").alias("output_type"), F.col("status").alias("text"), F.lit(1.0).alias("confidence")),
+                   F.struct(F.lit("cell:1").alias("output_type"), F.col("q_type").alias("text"), F.col("confidence").alias("confidence")))
+    ocr = q.where(cells).select(*QKEYS, F.explode(read).alias("o")).select(*QKEYS, "o.*")
+    verdicts = q.where((F.col("q_type") == "open_ended") & ~F.col("needs_review")).select(*QKEYS, F.lit("grader").alias("model_name"), "score")
+    approved = er.where(F.col("exam_result_id") % 3 == 0).select("exam_result_id", F.lit("approved").alias("status"), (F.col("exam_result_id") % 50).cast("double").alias("final_score"))
+    t = tree.result_tree(er, q.select(*QKEYS, "q_type", "score"), ocr, verdicts, approved, RESULT)
+    texts = lambda x: F.transform(x["ocr_outputs"], lambda o: F.concat_ws("~", o["output_type"], o["text"], o["confidence"].cast("string")))
+    line = lambda x: F.concat_ws(":", x["q_num"], x["q_type"], x["score"].cast("string"), F.array_join(F.coalesce(texts(x), F.array().cast("array<string>")), "+"), x["llm_evaluation"]["model_name"], x["llm_evaluation"]["score"].cast("string"))
+    return t.select(
+        "exam_id", "exam_result_id", "student_number", F.array_join(F.transform("questions", line), ";").alias("questions"),
+        F.coalesce(F.concat_ws(":", "final_approval.status", F.col("final_approval.final_score").cast("string")), F.lit("")).alias("approval"),
+    )
+
+
 @query
 def ocr_outputs_union(spark, sf):
     """Read texts of all question types in one table, from typed question records."""
@@ -858,18 +879,15 @@ def unmatched_changes(spark, sf):
     )
 
 
-def _state(spark, sf):
+def _events(spark, sf):
     q, er = src.question_results(spark, sf), src.scored_results(spark, sf)
-    history = changes.override_history(q, src.score_changes(spark, sf), QKEYS)
-    approved = changes.approval_history(er, q, history, src.approvals(spark, sf), RESULT)
-    return q, er, history, approved
+    return changes.change_events(er, q, src.score_changes(spark, sf), src.approvals(spark, sf), RESULT), er
 
 
 @query
 def override_recompute(spark, sf):
-    q, er, _, approved = _state(spark, sf)
-    now = changes.current_questions(q, src.score_changes(spark, sf), QKEYS)
-    out = changes.current_results(er, now, approved, RESULT)
+    events, er = _events(spark, sf)
+    out = changes.results_after(events, er, RESULT)
     return out.select("exam_result_id", "exam_id", "total_score", "total_max_points", "needs_review")
 
 
@@ -881,7 +899,7 @@ def current_questions(spark, sf):
 
 @query
 def approval_upsert(spark, sf):
-    *_, approved = _state(spark, sf)
+    approved = _events(spark, sf)[0].where("kind = 'approval'")
     stored = src.exam_results(spark, sf).where(F.col("exam_id") == "EX1995").select(
         "exam_result_id", F.lit("approved").alias("status"), F.lit(1.0).alias("final_score"), F.lit("old").alias("approved_by")
     )
@@ -890,9 +908,8 @@ def approval_upsert(spark, sf):
 
 @query
 def audit_log(spark, sf):
-    _, _, history, approved = _state(spark, sf)
     row = F.concat_ws("/", F.col("exam_result_id").cast("string"), F.col("q_num"))
-    out = changes.override_audit(history, row).unionByName(changes.approval_audit(approved, F.col("exam_result_id")))
+    out = changes.audit_of(_events(spark, sf)[0], row, F.col("exam_result_id"))
     return out.withColumn("old_value_json", F.coalesce("old_value_json", F.lit("")))
 
 
@@ -906,6 +923,46 @@ def bulk_approve(spark, sf):
     )
 
 
+def _delivery(spark, sf):
+    """Store tables of seven exams with many students each."""
+    er = src.scored_results(spark, sf).withColumn("student_number", F.lpad(F.col("exam_result_id").cast("string"), 10, "0"))
+    q = src.question_results(spark, sf).join(er.select("exam_result_id", "exam_id", "student_number"), "exam_result_id").drop("exam_result_id")
+    item = ["exam_id", "student_number", "q_num"]
+    return {
+        "exams": er.groupBy("exam_id").agg(F.count(F.lit(1)).alias("total_students")),
+        "exam_results": er.select("exam_id", "student_number", "total_score", "total_max_points", "needs_review"),
+        "question_results": q,
+        "ocr_outputs": q.where(F.col("q_type").isin("matching", "fill_blanks")).select(*item, F.lit("cell:1").alias("output_type"), F.col("status").alias("text"), "score"),
+        "llm_evaluations": q.where(F.col("q_type") == "open_ended").select(*item, "score"),
+    }
+
+
+@query
+def store_round_trip(spark, sf):
+    """Rows and points of every store table after a delivery, a smaller one of two exams, and the expiry of what it replaced; then the rules."""
+    full = _delivery(spark, sf)
+    kept = store.ResultStore(spark, shared_folder(spark, f"store-{uuid.uuid4().hex}"))
+    kept.replace_exams(full)
+    again = F.col("exam_id").isin("EX1993", "EX1995") & (F.col("student_number").cast("bigint") % 2 == 0)
+    fewer = {name: df.where(again) for name, df in full.items() if name not in ("exams", "llm_evaluations")}
+    fewer["question_results"] = fewer["question_results"].where(F.col("q_num").isin("1", "2"))
+    fewer["ocr_outputs"] = fewer["ocr_outputs"].where(F.col("q_num").isin("1", "2"))
+    kept.replace_exams(fewer | {"exams": full["exams"].where(F.col("exam_id").isin("EX1993", "EX1995"))})
+    expired = kept.expire(0)
+    now = {name: kept.read(name) for name in (*full, "students")}
+    points = {"exam_results": "total_score", "question_results": "score", "ocr_outputs": "score", "llm_evaluations": "score"}
+    counts = [
+        df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(points[name]) if name in points else F.lit(0.0), F.lit(0.0)).alias("points")).select(F.lit(name).alias("name"), "n", "points")
+        for name, df in now.items()
+    ]
+    rules = changes.validate_store(now).agg(F.count(F.lit(1)).alias("n")).select(F.lit("violations").alias("name"), "n", F.lit(0.0).alias("points"))
+    ids = now["students"].agg(F.count_distinct("student_id").alias("n")).select(F.lit("student ids").alias("name"), "n", F.lit(0.0).alias("points"))
+    out = spark.range(1).select(F.lit("expired").alias("name"), F.lit(expired).cast("bigint").alias("n"), F.lit(0.0).alias("points"))
+    for part in (*counts, rules, ids):
+        out = out.unionByName(part)
+    return out
+
+
 @query
 def uniqueness_check(spark, sf):
     """Violated rules: repeated students per exam, repeated questions, lost parents."""

@@ -9,9 +9,8 @@ from pyspark.sql import types as T
 from gradewright.schemas import EXPECTED, QUESTION_RESULT, RESULT
 
 
-def read_results(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Payloads, one document per file, or one per line with ``multi_line=False``
-    (the splittable form to use for large inputs)."""
+def read_results(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Payloads, one document per line, which splits files among tasks, or one per file with ``multi_line``."""
     return spark.read.schema(RESULT).option("multiLine", multi_line).json(path)
 
 
@@ -23,9 +22,9 @@ def question_schema() -> T.StructType:
     return T.StructType.fromDDL(QUESTION_RESULT)
 
 
-def read_expected(spark: SparkSession, path: str) -> DataFrame:
-    """Expected totals and answers: one row per student and question."""
-    doc = spark.read.schema(EXPECTED).option("multiLine", True).json(path)
+def read_expected(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Expected totals and answers: one row per student and question. One document per line, or per file with ``multi_line``."""
+    doc = spark.read.schema(EXPECTED).option("multiLine", multi_line).json(path)
     students = doc.select("examId", F.explode("students").alias("s"))
     return students.select(
         F.col("examId").alias("exam_id"),

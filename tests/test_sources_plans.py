@@ -118,7 +118,7 @@ def test_expected_file(spark, tmp_path):
     doc = {"examId": "E", "students": [{"studentNumber": "1", "edgeCase": "tilt", "expectedTotalScore": 5, "expectedMaxPoints": 5,
         "expectedQuestions": {"1": {"type": "matching", "expectedScore": 5, "expectedMatches": {"1": "A"}}}}]}
     (tmp_path / "e.json").write_text(json.dumps(doc))
-    r = results.read_expected(spark, str(tmp_path / "e.json")).first()
+    r = results.read_expected(spark, str(tmp_path / "e.json"), multi_line=True).first()
     assert (r.student_number, r.edge_case, r.expected_total, r.q_num, r.expected.expectedMatches) == ("1", "tilt", 5.0, "1", {"1": "A"})
 
 

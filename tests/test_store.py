@@ -76,6 +76,45 @@ def test_redelivery_replaces_an_exam_and_keeps_students(spark, tables, tmp_path)
     assert len(ids) == len(set(ids)) == 3
 
 
+def delivery(spark, exams, students, start=0):
+    er = [(e, f"n{start + i}", float(i), 10.0, False) for e in exams for i in range(students)]
+    return {
+        "exams": spark.createDataFrame([(e,) for e in exams], "exam_id string"),
+        "exam_results": spark.createDataFrame(er, "exam_id string, student_number string, total_score double, total_max_points double, needs_review boolean"),
+    }
+
+
+def test_two_deliveries_at_once_share_no_id(spark, tmp_path, monkeypatch):
+    """The second delivery registers its students between the first one's pointers and its ids."""
+    monkeypatch.setattr(store, "BLOCK", 7)
+    root = str(tmp_path / "s")
+    first, second = store.ResultStore(spark, root), store.ResultStore(spark, root)
+    own = first.register_students
+    monkeypatch.setattr(first, "register_students", lambda: None)
+    first.replace_exams(delivery(spark, ["a"], 20))
+    claimed = [first._claim(), second._claim()]
+    assert len(set(claimed)) == 2
+    second.replace_exams(delivery(spark, ["b"], 20, 10))
+    own()
+    got = rows(second.read("students"), "student_number", "student_id")
+    assert len(got) == 30 and len({i for _, i in got}) == 30
+    assert second.register_students() == 0
+
+
+def test_files_are_few_and_superseded_runs_expire(spark, tmp_path):
+    root = tmp_path / "s"
+    s = store.ResultStore(spark, str(root))
+    for _ in range(3):
+        tables = delivery(spark, ["x y", "b"], 50)
+        s.replace_exams({k: v.repartition(8) for k, v in tables.items()})
+    runs = list((root / "exam_results").glob("_exam=*/_run=*"))
+    assert len(runs) == 6 and all(len(list(r.glob("*.parquet"))) <= 2 for r in runs)
+    before = rows(s.read("exam_results"))
+    assert s.expire(3600) == 0 and s.expire(0) == 8  # two exams, two tables, two old runs
+    assert rows(s.read("exam_results")) == before and len(before) == 100
+    assert len(list((root / "exam_results").glob("_exam=*/_run=*"))) == 2
+
+
 def test_overrides_and_approvals(spark):
     q = spark.createDataFrame([("e", "s", "1", 10.0, "correct", False), ("e", "s", "2", 4.0, "partial", True), ("e", "s", "3", 6.0, "partial", False)],
         "exam_id string, student_number string, q_num string, score double, status string, needs_review boolean")
@@ -100,8 +139,18 @@ def test_overrides_and_approvals(spark):
     prev = {r.change_id: r.old_value and tuple(r.old_value) for r in ap.collect()}
     assert prev == {0: None, 2: ("approved", 20.0, "t1"), 4: ("approved", 24.0, "t2"), 5: None}
     assert rows(changes.final_approvals(ap, None, KEY[:2]), "student_number", "status", "final_score") == [("s", "reopened", 7.0), ("t", "approved", 5.0)]
+    events = changes.change_events(er, q, o, a, KEY[:2])
+    seen = events.where("kind = 'override'")
+    assert rows(seen, "change_id", "old_score", "new_score", "old_status") == rows(h, "change_id", "old_score", "new_score", "old_status")
+    given = events.where("kind = 'approval'")
+    assert rows(given, "change_id", "final_score", "old_value") == rows(ap, "change_id", "final_score", "old_value")
+    folded = changes.results_after(events, er, KEY[:2])
+    journal = changes.audit_of(events, F.concat_ws("/", *KEY), F.concat_ws("/", *KEY[:2]))
+    apart = changes.override_audit(h, F.concat_ws("/", *KEY)).unionByName(changes.approval_audit(ap, F.concat_ws("/", *KEY[:2])))
+    assert rows(journal) == rows(apart)
     now = changes.current_questions(q, o, KEY)
     res = changes.current_results(er, now, ap, KEY[:2])
+    assert rows(folded) == rows(res)
     # the override after the approval recomputed the flag of s from its questions
     assert rows(res, "student_number", "total_score", "needs_review") == [("s", 25.0, False), ("t", 5.0, False)]
 
