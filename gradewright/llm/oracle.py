@@ -32,10 +32,10 @@ WITH l AS (
   SELECT a.id AS a, b.id AS b FROM t a JOIN t b ON a.tok = b.tok AND a.id < b.id AND 4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n)
   GROUP BY a.id, b.id, a.n, b.n HAVING 4 * count(*) >= 3 * (a.n + b.n - count(*))
 ), k AS (
-  SELECT DISTINCT b AS id FROM p
+  SELECT id, count(*) AS n_links, bool_or(later) AS later FROM (SELECT a AS id, false AS later FROM p UNION ALL SELECT b, true FROM p) GROUP BY id
 )
-SELECT w.doc_id, w.line_no::BIGINT AS line_no, c.place.d AS class_doc_id, c.place.l::BIGINT AS class_line_no,
-  (w.doc_id = c.place.d AND w.line_no = c.place.l AND k.id IS NULL) AS kept
+SELECT w.doc_id, w.line_no::BIGINT AS line_no, c.place.d AS class_doc_id, c.place.l::BIGINT AS class_line_no, coalesce(k.n_links, 0)::BIGINT AS n_links,
+  (w.doc_id = c.place.d AND w.line_no = c.place.l AND NOT coalesce(k.later, false)) AS kept
 FROM w JOIN c ON w.s = c.s LEFT JOIN k ON k.id = c.id
 """
 

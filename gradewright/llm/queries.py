@@ -25,8 +25,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query
 def op1_line_dedup(spark, sf_dir):
-    """Every line's class, and whether the line stays."""
-    return line_dedup.judge(table(spark, sf_dir, "documents"))
+    """Every line's class, the number of classes it is linked to, and whether the line stays."""
+    return line_dedup.judge(table(spark, sf_dir, "documents"), n_links=True)
 
 
 @query

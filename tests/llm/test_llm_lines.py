@@ -50,6 +50,11 @@ def test_clean_removes_later_lines_only(frame, clashing):
     assert {r.doc_id: (r.text, r.n_chars) for r in out.collect()} == {1: ("a b c d\nkeep me", 15), 2: ("x y z\n\nlast", 11), 3: (None, None)}
 
 
+def test_columns_of_any_name_pass_through(spark):
+    df = spark.createDataFrame([(1, "a b\na b", "x", "y")], "doc_id long, text string, _id string, _gone string")
+    assert [tuple(r) for r in line_dedup.clean(df).collect()] == [(1, "a b", "x", "y")]
+
+
 def test_empty_table(frame):
     assert line_dedup.judge(frame([])).count() == 0
 
@@ -73,6 +78,7 @@ def test_link_counts_equal_all_pairs(frame, prose, awkward):
 
 
 def test_classes_of_a_code_meet_without_a_window(frame):
-    _, sets = line_dedup.classes(frame([(i, f"the same words but {i}") for i in range(5)]))
-    plan = line_dedup.candidates(sets)._jdf.queryExecution().optimizedPlan().toString()
+    docs = frame([(i, f"the same words but {i}") for i in range(5)])
+    _, sets, ranks = line_dedup.classes(docs)
+    plan = line_dedup.candidates(line_dedup.prefixes(docs, sets, ranks))._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "Join Inner" in plan
