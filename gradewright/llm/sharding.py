@@ -2,7 +2,8 @@
 
 At each level every child draws ``-ln(u) / weight`` from a hash of the key and the child's name; the lowest draw
 takes the row. A child's share follows its weight, and a changed weight moves rows only into or out of that
-child. New shards join as a branch of their own, so that rows move into the new branch and nowhere else.
+child. The first ``BUILT`` shards are built together, rack by rack; every later one joins as a region of its own, so that rows move
+into it and nowhere else, however often the tree grows. (Fewer than ``BUILT`` shards are regions of their own; rows move when these are built together.)
 
 Defined results: a null key counts as the word null; a null text has size 8 and the checksum of no bytes; equal keys
 share a shard; rows alike in all order columns share their slots in either order. Weights are positive.
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from gradewright.llm.common import uniform
 
 BUCKETS = 2048  # of the rows of a shard; a window holds one bucket
+BUILT = 24
 
 
 @dataclass(frozen=True)
@@ -34,9 +36,10 @@ class Node:
         return sum(c.weight for c in self.children) if self.children else self.own_weight
 
 
-def tree(shards: int, racks: int = 2, per_rack: int = 4) -> Node:
-    """``shards`` equal shards, filled rack by rack and region by region."""
+def tree(shards: int, racks: int = 2, per_rack: int = 4, built: int = BUILT) -> Node:
+    """``shards`` equal shards: the first ``built`` of them filled rack by rack and region by region, the others each a region."""
     per_region = racks * per_rack
+    together = built if shards >= built else 0
 
     def rack(first: int, last: int) -> Node:
         return Node(f"rack{first}", tuple(Node(f"shard{s}", shard=s) for s in range(first, last)))
@@ -44,13 +47,18 @@ def tree(shards: int, racks: int = 2, per_rack: int = 4) -> Node:
     def region(first: int, last: int) -> Node:
         return Node(f"region{first}", tuple(rack(r, min(r + per_rack, last)) for r in range(first, last, per_rack)))
 
-    return Node("root", tuple(region(f, min(f + per_region, shards)) for f in range(0, shards, per_region)))
+    regions = [region(f, min(f + per_region, together)) for f in range(0, together, per_region)]
+    return Node("root", (*regions, *(alone(s) for s in range(together, shards))))
+
+
+def alone(shard: int, weight: float = 1.0) -> Node:
+    """A region of one shard."""
+    return Node(f"region{shard}", (Node(f"rack{shard}", (Node(f"shard{shard}", own_weight=weight, shard=shard),)),))
 
 
 def grow(root: Node, weight: float = 1.0) -> Node:
     """The tree with one more shard, in a region of its own: no other branch changes its weight."""
-    new = 1 + max(_shards(root))
-    return Node("root", (*root.children, Node(f"region{new}", (Node(f"rack{new}", (Node(f"shard{new}", own_weight=weight, shard=new),)),))))
+    return Node("root", (*root.children, alone(1 + max(_shards(root)), weight)))
 
 
 def _shards(node: Node) -> list[int]:
@@ -81,7 +89,7 @@ def assign(df: DataFrame, key: str, shards: int = 24, seed: str = "s0") -> DataF
     root = tree(shards)
     grown = grow(root)
     new, seeded = grown.children[-1], seed
-    best = F.least(*[-F.log(uniform(F.lit(seeded), F.lit(c.name), F.col(key))) / F.lit(c.weight) for c in root.children])
+    best = F.array_min(F.array(*[-F.log(uniform(F.lit(seeded), F.lit(c.name), F.col(key))) / F.lit(c.weight) for c in root.children]))
     mine = -F.log(uniform(F.lit(seeded), F.lit(new.name), F.col(key))) / F.lit(new.weight)
     # the other branches keep their draws, so the grown tree is the old one with one more draw at the top
     return df.withColumn("shard", draw(F.col(key), root, seed)).withColumn(
@@ -92,6 +100,9 @@ def assign(df: DataFrame, key: str, shards: int = 24, seed: str = "s0") -> DataF
 def with_slots(df: DataFrame, key: str, order: list[str], seed: str = "s0") -> DataFrame:
     """Adds ``slot``: rows of a shard numbered from 0 without gaps. Rows are numbered inside hashed buckets and
     shifted by the sizes of the buckets before; only the sizes, ``BUCKETS`` per shard at most, meet."""
+    columns = df.columns
+    df = df.select(F.struct("*").alias("row"), "shard")
+    key, order = f"row.{key}", [f"row.{c}" for c in order]
     bucketed = df.withColumn("_bucket", F.floor(uniform(F.lit(seed), F.lit("slot"), F.col(key)) * BUCKETS).cast("int"))
     sizes = bucketed.groupBy("shard", "_bucket").count()
     before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -101,7 +112,7 @@ def with_slots(df: DataFrame, key: str, order: list[str], seed: str = "s0") -> D
         bucketed.withColumn("_row", F.row_number().over(inside))
         .join(shifts, ["shard", "_bucket"])
         .withColumn("slot", (F.col("_shift") + F.col("_row") - 1).cast("long"))
-        .select(*[c for c in df.columns], "slot")
+        .select(*[F.col(f"row.`{c}`").alias(c) for c in columns], "slot")
     )
 
 

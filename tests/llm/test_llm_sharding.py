@@ -41,8 +41,27 @@ def test_a_weight_moves_rows_only_through_its_own_subtree(spark):
     assert share == pytest.approx(3 / 26, rel=0.2)
 
 
+@pytest.mark.parametrize("shards", [1, 2, 8, 22, 24, 25, 26, 31, 40])
+def test_one_more_shard_takes_rows_only_into_itself(spark, shards):
+    """From so many shards to the next, and what was foretold is what comes. (Between 23 and 24 the tree is built.)"""
+    ids = sharding.assign(spark.range(400).select(F.col("id").alias("k")), "k", shards)
+    now = ids.withColumnsRenamed({"shard": "was", "grown_shard": "foretold"})
+    got = sharding.assign(now, "k", shards + 1).collect()
+    assert all(r.shard == r.foretold and r.shard in (r.was, shards) for r in got)
+    assert {r.was for r in got} <= set(range(shards))
+
+
+@pytest.mark.parametrize("shards", range(1, 41))
+def test_trees_grow_by_one_region(shards):
+    """The tree of one more shard is the grown tree, for every number of shards but the one before the tree is built."""
+    if shards != sharding.BUILT - 1:
+        assert sharding.tree(shards + 1) == sharding.grow(sharding.tree(shards))
+
+
 def test_columns_stay(frame, clashing, awkward):
     df = clashing(frame(awkward))
     out = sharding.shard_documents(df)
     assert set(out.columns) == set(df.columns) | {"grown_shard"} and out.count() == len(awkward)
+    odd = frame(awkward).withColumns({c: F.lit(c) for c in ("_bucket", "_row", "_shift", "row")})
+    assert {(r["_bucket"], r["_row"], r["_shift"], r["row"]) for r in sharding.shard_documents(odd).collect()} == {("_bucket", "_row", "_shift", "row")}
     assert sharding.digest(frame([])).count() == 0 and sharding.shard_documents(frame([])).count() == 0
