@@ -3,7 +3,8 @@
 Each document gives a vector of transformed statistics: log words, log mean word length, and the logs of symbols,
 repeated lines and repeated words in a hundred. Per language and source the mean and covariance of the
 ``CORE`` share of documents with the smallest determinant are sought by concentration steps from two starts (all
-documents; medians and their deviations): measure all distances, keep the nearest share, estimate anew. A document is
+documents; medians and their deviations): measure all distances, keep the nearest share, estimate anew, until no group's smallest
+determinant falls by more than a share ``SETTLED`` of it. A document is
 rejected if its squared Mahalanobis distance is above ``CUT``, or if it fails the base rules.
 
 A step is one aggregation of the narrow table of statistics: moments are summed by group and distance bin, and the
@@ -39,7 +40,7 @@ CORE = 0.75  # share of a group that the determinant is of
 SPREAD = 1.41  # that share's covariance against a whole normal one of 5 dimensions
 CUT = 52.0  # squared distance; a normal vector of 5 dimensions is beyond it once in 10**9
 LEAST = 40
-STEPS = 3
+SETTLED = 1e-3
 BINS = 8  # of distance per octave
 BROADCAST_MODELS = 100_000  # groups, 400 bytes each
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -164,22 +165,31 @@ def _same(keys: list[str]) -> list[Column]:
     return [F.col(f"r.{k}").eqNullSafe(F.col(f"m.{k}")) for k in keys]
 
 
-def models(stats: DataFrame, steps: int = STEPS) -> DataFrame:
+def models(stats: DataFrame) -> DataFrame:
     """The estimate of each group that has at least ``LEAST`` documents."""
     rows = keep(_levels(stats.where(~base_failed()).select("lang", "source", *vector())), "quality-vectors")
     quartiles = F.array(*[F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000) for i in range(P)]).alias("quartiles")
     first = rows.groupBy(*GROUP).agg(*moments(), quartiles).where(F.col("n") >= LEAST)
-    now = keep(first.groupBy(*GROUP).applyInPandas(_starts, MODEL), "quality-models")
-    for _ in range(steps):
+    now, best = keep(first.groupBy(*GROUP).applyInPandas(_starts, MODEL), "quality-models"), None
+    groups = now.count()
+    while True:
         d2 = F.greatest(distance("m.mean", "m.inverse"), F.lit(2.0**-10))
         binned = (
             rows.alias("r")
-            .join(small(now, now.count(), BROADCAST_MODELS).alias("m"), _same(GROUP))
+            .join(small(now, groups, BROADCAST_MODELS).alias("m"), _same(GROUP))
             .select(*[F.col(f"r.{c}") for c in rows.columns], "m.start", F.least(F.floor(F.log2(d2) * BINS), F.lit(40 * BINS)).cast("int").alias("bin"))
         )
         summed = binned.groupBy(*GROUP, "start", "bin").agg(*moments())
         now = keep(summed.groupBy(*GROUP, "start").applyInPandas(_concentrate, MODEL), "quality-models")
-    return keep(now.groupBy(*GROUP).agg(F.min_by(F.struct("mean", "inverse"), F.struct("det", "start")).alias("e")).select(*GROUP, "e.*"), "quality-models")
+        # the starts are of other shares, so the first core estimates are the first to compare
+        reached = now if best is None else best.unionByName(now)
+        least = keep(reached.groupBy(*GROUP, "start").agg(F.min_by(F.struct("n", "mean", "inverse", "det"), "det").alias("e")).select(*GROUP, "start", "e.*"), "quality-best")
+        if best is not None:
+            fell = least.alias("m").join(best.alias("r"), _same([*GROUP, "start"])).where(F.col("m.det") < F.col("r.det") * (1 - SETTLED))
+            if not fell.limit(1).count():
+                break
+        best = least
+    return keep(least.groupBy(*GROUP).agg(F.min_by(F.struct("mean", "inverse"), F.struct("det", "start")).alias("e")).select(*GROUP, "e.*"), "quality-models")
 
 
 def judge(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -20,10 +20,11 @@ def test_statistics_equal_plain_python(frame, awkward, prose):
         assert not (r.base_failed and r.kept)
 
 
-def plain_mcd(x, start, steps=quality.STEPS):
-    """Concentration steps over all points, by exact order instead of distance bins."""
-    mean, inverse = start
-    for _ in range(steps):
+def plain_mcd(x, start):
+    """Concentration steps over all points, by exact order instead of distance bins, until nothing changes."""
+    (mean, inverse), core, before = start, None, None
+    while core is None or before is None or not np.array_equal(core, before):
+        before = core
         off = x - mean
         d2 = np.einsum("ij,jk,ik->i", off, inverse, off)
         core = x[np.argsort(d2, kind="stable")[: int(np.ceil(quality.CORE * len(x)))]]
