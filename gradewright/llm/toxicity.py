@@ -7,31 +7,36 @@ compressor gets the ordinary dictionary too, behind which its own stands; the tw
 is particular to toxic text. A document's share and number of windows that gain ``GAINS`` bytes or more, over its whole text,
 go through a logistic calibration on labelled documents that no dictionary has seen.
 
-Labels are learned only from rows whose ``crc32(doc_id) % 5`` is not 0. The fit sees a bounded sample: ``TOXIC`` and
-``ORDINARY`` labelled documents with the lowest seeded draws, up to ``PIECES`` evenly spread pieces of each. Every
-document is scored whole.
+Labels are learned only from rows whose ``crc32(doc_id) % 5`` is not 0. The fit sees a bounded sample of rows: ``TOXIC`` and
+``ORDINARY`` labelled documents with the lowest seeded draws, their texts whole: grams are counted over all of them in Spark, and the dictionaries
+are trained on about ``WINDOWS`` pieces of each kind, drawn by a seed from all pieces of all these texts. Every document is scored whole.
 
 Defined results: a null text is an empty one; an empty text is one empty window and has a score; a document without doc_id
 counts as not held out; without labels of both classes every score is 0; repeated label rows count once (toxic if
-one is).
+one is); repeated rows of a sampled document teach once; texts of any length teach whole; extra columns pass through ``score``, which
+replaces the column ``score``.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
+from xxhash import xxh3_64_intdigest
 
-from gradewright.llm.common import uniform
+from gradewright.llm.common import keep, uniform
 
 TOXIC, ORDINARY = 2000, 4000
-PIECES, PIECE = 32, 256  # pieces of a sampled document, characters of each
+PIECE, WINDOWS = 256, 40_000  # bytes of a piece that trains a dictionary; pieces of each kind
+MARKED = 100_000  # most frequent marked grams that are used
 WINDOW, STEP = 64, 32  # bytes
 GAINS = (2, 3)  # bytes saved by the toxic dictionary
 GRAM, OFTEN, TIMES = 5, 0.01, 8  # bytes; share of toxic documents; against the share of ordinary ones
@@ -58,19 +63,40 @@ def dictionary(samples: list[bytes], size: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
-def marked_grams(toxic: list[bytes], ordinary: list[bytes]) -> set[bytes]:
-    """Grams in at least ``OFTEN`` of the toxic documents, ``TIMES`` as often as in the ordinary ones."""
+def gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(is_toxic, text) to the grams of whole texts with the number of toxic and of ordinary ones that have them, added up by batch."""
+    for batch in batches:
+        seen: tuple[Counter, Counter] = (Counter(), Counter())
+        for is_toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            data = text.encode("utf-8", "surrogatepass")
+            seen[is_toxic].update({data[i : i + GRAM] for i in range(len(data) - GRAM + 1)})
+        grams = list(seen[0].keys() | seen[1].keys())
+        counts = [pa.array([seen[kind][g] for g in grams], pa.int64()) for kind in (1, 0)]
+        yield pa.RecordBatch.from_arrays([pa.array(grams, pa.binary()), *counts], ["gram", "toxic", "ordinary"])
 
-    def counts(texts: list[bytes]) -> dict[bytes, int]:
-        seen: dict[bytes, int] = {}
-        for text in texts:
-            for gram in {text[i : i + GRAM] for i in range(len(text) - GRAM + 1)}:
-                seen[gram] = seen.get(gram, 0) + 1
-        return seen
 
-    there, here = counts(ordinary), counts(toxic)
-    least = max(3, OFTEN * len(toxic))
-    return {g for g, n in here.items() if n >= least and n * len(ordinary) >= TIMES * (there.get(g, 0) + 1) * len(toxic)}
+def marked_grams(texts: DataFrame, toxic: int, ordinary: int) -> set[bytes]:
+    """Grams in at least ``OFTEN`` of the toxic texts, ``TIMES`` as often as in the ordinary ones; ``MARKED`` at most, by frequency."""
+    counted = texts.mapInArrow(gram_counts, "gram binary, toxic long, ordinary long").groupBy("gram").agg(F.sum("toxic").alias("here"), F.sum("ordinary").alias("there"))
+    often = counted.where((F.col("here") >= max(3, OFTEN * toxic)) & (F.col("here") * ordinary >= TIMES * (F.col("there") + 1) * toxic))
+    return {bytes(r["gram"]) for r in often.orderBy(F.desc("here"), "gram").limit(MARKED).collect()}
+
+
+def drawn_pieces(texts: DataFrame, marked: set[bytes] | None, seed: str) -> list[bytes]:
+    """About ``WINDOWS`` pieces of whole texts, or of the stretches that marked grams cover, by a draw on their content and place."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text in batch.column(0).to_pylist():
+                data = text.encode("utf-8", "surrogatepass")
+                data = data if marked is None else stretches(data, marked)
+                out += [(data[i : i + PIECE], xxh3_64_intdigest(data[i : i + PIECE] + seed.encode(), i) / 2**64) for i in range(0, len(data), PIECE)]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([u for _, u in out], pa.float64())], ["piece", "draw"])
+
+    pieces = keep(texts.select("text").mapInArrow(cut, "piece binary, draw double"), "toxicity-pieces")
+    share = WINDOWS / max(1, pieces.count())
+    return [bytes(r["piece"]) for r in pieces.where(F.col("draw") < share).orderBy("draw", "piece").collect()]
 
 
 def stretches(text: bytes, marked: set[bytes]) -> bytes:
@@ -132,19 +158,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     if len({t for _, t in ids}) < 2:
         return None
     chosen = F.broadcast(docs.sparkSession.createDataFrame(ids, "id long, is_toxic int"))
-    texts = docs.join(chosen, F.col("doc_id") == F.col("id")).select("doc_id", "is_toxic", "text", (uniform(F.lit("learn"), F.col("doc_id")) < LEARN).alias("learn"))
-    pieces = F.ceil(F.length("text") / PIECE).cast("int")
-    stride = F.ceil(pieces / PIECES).cast("int")
-    spread = F.transform(F.sequence(F.lit(0), F.least(pieces, F.lit(PIECES)) - 1), lambda i: F.substring("text", i * stride * PIECE + 1, F.lit(PIECE)))
-    rows = texts.where("learn AND length(text) > 0").select("is_toxic", F.array_join(spread, "").alias("text")).distinct().orderBy("is_toxic", "text").collect()
-    toxic = [r["text"].encode() for r in rows if r["is_toxic"]]
-    ordinary = [r["text"].encode() for r in rows if not r["is_toxic"]]
-    if not toxic or not ordinary:
+    sampled = docs.join(chosen, F.col("doc_id") == F.col("id")).select("is_toxic", F.coalesce("text", F.lit("")).alias("text"), (uniform(F.lit("learn"), F.col("doc_id")) < LEARN).alias("learn"))
+    texts = keep(sampled, "toxicity-sample")
+    learned = keep(texts.where("learn AND length(text) > 0").select("is_toxic", "text").distinct(), "toxicity-learned")
+    counts = {r["is_toxic"]: r["n"] for r in learned.groupBy("is_toxic").agg(F.count("*").alias("n")).collect()}  # two rows
+    if not counts.get(0) or not counts.get(1):
         return None
-    marked = marked_grams(toxic, ordinary)
-    particular = [s for s in (stretches(t, marked) for t in toxic) if s] or toxic
-    common = [t[i : i + 4 * WINDOW] for t in ordinary for i in range(0, len(t), 4 * WINDOW)]
-    model = Model(dictionary(common, ORDINARY_SIZE), dictionary(particular, TOXIC_SIZE), ())
+    toxic, ordinary = learned.where("is_toxic = 1"), learned.where("is_toxic = 0")
+    marked = marked_grams(learned, counts[1], counts[0])
+    particular = drawn_pieces(toxic, marked, "toxic") or drawn_pieces(toxic, None, "toxic")
+    model = Model(dictionary(drawn_pieces(ordinary, None, "ordinary"), ORDINARY_SIZE), dictionary(particular, TOXIC_SIZE), ())
     measured = with_features(texts.where("NOT learn"), model).select("is_toxic", "_features").distinct().orderBy("is_toxic", "_features").collect()
     y = np.array([r["is_toxic"] for r in measured], float)
     if len(set(y)) < 2:

@@ -52,3 +52,15 @@ def test_without_labels(spark, frame, clashing):
     assert toxicity.report(frame([]), none).count() == 0
     one = spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int")
     assert toxicity.report(frame([(1, "a"), (3, "b")]), one).count() == 2
+
+
+def test_grams_and_pieces_of_whole_texts(spark, prose):
+    """A phrase at the end of very long texts is learned; counts equal a plain loop; the draw repeats itself."""
+    texts = [(int(i % 2), prose(i, 40_000 if i < 4 else 50, 1) + (" zqxzqx wrath" if i % 2 else "")) for i in range(24)]
+    df = spark.createDataFrame(texts, "is_toxic int, text string")
+    marked = toxicity.marked_grams(df, 12, 12)
+    of = lambda kind, g: sum(g in t.encode() for k, t in texts if k == kind)
+    every = {t.encode()[i : i + 5] for k, t in texts if k for i in range(len(t.encode()) - 4)}
+    assert marked == {g for g in every if of(1, g) >= 3 and of(1, g) * 12 >= 8 * (of(0, g) + 1) * 12} and b"zqxzq" in marked
+    pieces = toxicity.drawn_pieces(df, marked, "s")
+    assert pieces == toxicity.drawn_pieces(df.repartition(5), marked, "s") and all(b"zqxzqx" in p for p in pieces) and len(pieces) == 12
