@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -10,10 +9,11 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradewright.session import shared_root
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = r"[\x20\x09-\x0D]+"
 BATCH_ROWS = 500
-_own: list[tempfile.TemporaryDirectory] = []
 
 
 def lower_ascii(text: Column) -> Column:
@@ -33,17 +33,6 @@ def uniform(*parts) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it. Only where it is unset, as in tests, a
-    temporary folder of this process takes its place."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not _own:
-            _own.append(tempfile.TemporaryDirectory(prefix="gradewright-"))
-        root = f"file://{_own[0].name}"
-    return root.rstrip("/")
-
-
 @contextmanager
 def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
     """Arrow batches of at most so many rows for the jobs inside, so that a Python worker holds few texts at a time."""
