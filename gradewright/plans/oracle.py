@@ -674,7 +674,8 @@ SQL["dark_shares"] = f"""WITH d AS (SELECT doc_id, rpad(hex(encode(text)), CAST(
  rb AS (SELECT *, least(w1, 64-x0) AS w0, least(h1, ht-y0) AS h0 FROM rin),
  wb AS (SELECT doc_id, key, x AS x0, least(y, ht-1) AS y0, least(w, 64-x) AS w0, least(h, ht-least(y, ht-1)) AS h0 FROM bx),
  s1 AS ({_DARK.format(src='rb')}), s2 AS ({_DARK.format(src='wb')})
- SELECT doc_id, key, {rnd('s1.share', 6)} AS ratio, s2.share < 0.01 AS is_blank FROM s1 JOIN s2 USING (doc_id, key)"""
+ SELECT doc_id, key, {rnd('s1.share', 6)} AS ratio, s2.share < 0.01 AS is_blank FROM s1 JOIN s2 USING (doc_id, key)
+ UNION ALL SELECT doc_id, unnest(['whole', 'inner', 'tiny']), 0.0, TRUE FROM documents WHERE coalesce(length(text), 0) = 0"""
 _AL = """a AS (SELECT o_orderkey AS k, (k*3)%17+20 AS tlx, (k*5)%13+22 AS tly, (k*7)%19+1500 AS trx, (k*11)%11+25 AS try_, (k*13)%23+18 AS blx, (k*17)%29+2150 AS bly,
  (k*19)%31+1505 AS brx, (k*23)%37+2160 AS bry, k % 12 IN (3,6,9) AS one, k % 12 IN (10,11) AS two FROM orders)"""
 SQL["page_transforms"] = f"""WITH {_AL} SELECT k AS page_id, CAST(CASE WHEN two THEN 22 ELSE tlx END AS INT) AS x1, CAST(CASE WHEN two THEN 22 ELSE tly END AS INT) AS y1,

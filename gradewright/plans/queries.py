@@ -1294,8 +1294,9 @@ def number_region(spark, sf):
 
 @query
 def dark_shares(spark, sf):
-    """Texts as grey rasters 64 bytes wide, the last row filled up with white: dark share of three boxes each."""
-    raw = F.encode("text", "UTF-8")
+    """Texts as grey rasters 64 bytes wide, the last row filled up with white: dark share of three boxes each. A page without rows
+    is blank."""
+    raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     d = table(spark, sf, "documents").select("doc_id", raw.alias("data")).withColumn(
         "height", F.ceil(F.length("data") / 64).cast("int")
     )
@@ -1306,7 +1307,7 @@ def dark_shares(spark, sf):
     whole = box("whole", F.lit(0), F.lit(0), F.lit(64), F.col("height"))
     inner = box("inner", F.lit(10.5), F.lit(1), F.lit(30), F.lit(12))
     tiny = box("tiny", F.lit(62), F.lit(0), F.lit(4), F.lit(6))
-    pages = d.where(F.col("height") > 0).select(
+    pages = d.select(
         "doc_id", "height", F.lit(64).alias("width"), F.lit(1).alias("channels"), "data", F.array(whole, inner, tiny).alias("boxes")
     )
     out = scans.dark_shares(pages)
