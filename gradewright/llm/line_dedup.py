@@ -7,8 +7,7 @@ has an earlier line.
 
 1. Tokens are counted over the whole corpus in ``BUCKETS`` hash buckets. A token's code has its bucket's count, in third
    octaves, in the upper bits and its hash below, so codes in ascending order are tokens from rare to frequent.
-2. A linked pair shares one of the first ``n - ceil(t n) + 1`` codes of either set: only this prefix is indexed, by class, and of it only codes that
-   two classes have.
+2. A linked pair shares one of the first ``n - ceil(t n) + 1`` codes of either set: only this prefix is indexed, by class.
 3. A pair is a candidate if it meets at a code, its sizes can reach the similarity, its places in the two orders
    leave enough tokens for the overlap it needs, and so do the parities of 64 token buckets (a pair's sets differ in one
    token at least for every parity that differs).
@@ -76,29 +75,23 @@ def doc_key() -> Column:
     return F.coalesce("doc_id", F.lit(FIRST).cast("long"))
 
 
-def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, Column]:
-    """The lines with the key of their token set, for each set its id, first place and size, and the rarity of tokens."""
+def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The lines with the key of their token set, and for each set its id, first place, size, parities and prefix."""
     ranks = keep(rarity(docs), "line-rarity").scalar()  # one array of fixed size
     coded = lines(docs).withColumn("ranks", ranks).select("doc_id", "line_no", codes(F.col("line"), F.col("ranks")).alias("codes"))
     placed = keep(
-        coded.select("doc_id", "line_no", F.xxhash64("codes").alias("k1"), F.xxhash64("codes", F.lit(1)).alias("k2"), F.size("codes").alias("n")),
+        coded.select(
+            "doc_id", "line_no", F.xxhash64("codes").alias("k1"), F.xxhash64("codes", F.lit(1)).alias("k2"), F.size("codes").alias("n"),
+            parities(F.col("codes")).alias("bits"), F.slice("codes", F.lit(1), prefix_length(F.size("codes"))).alias("prefix"),
+        ),
         "line-sets",
-    )
-    in_doc = placed.groupBy("k1", "k2", "n", doc_key().alias("doc")).agg(F.min("line_no").alias("line"))
-    reps = in_doc.groupBy("k1", "k2", "n").agg(F.min("doc").alias("doc"), F.min_by("line", "doc").alias("line"))
-    # classes numbered in the order of their places, so that a number tells which is earlier
-    ordered = keep(reps.repartitionByRange("doc", "line").sortWithinPartitions("doc", "line").withColumn("id", F.monotonically_increasing_id()), "line-classes")
-    return placed.select("doc_id", "line_no", "k1", "k2"), ordered, ranks
-
-
-def prefixes(docs: DataFrame, sets: DataFrame, ranks: Column) -> DataFrame:
-    """Per class its ``id``, size, parities and the first codes that a link needs, from the text of its first line. Codes that stand for one
-    occurrence in the whole corpus can meet nothing and are left out; ``at`` keeps the place of the others."""
-    few = small(sets.select("id", "doc", F.col("line").alias("line_at")), sets.count(), BROADCAST_LINES)
-    first = lines(docs).join(few, (doc_key() == F.col("doc")) & (F.col("line_no") == F.col("line_at"))).dropDuplicates(["id"])  # of repeated rows
-    coded = first.withColumn("ranks", ranks).select("id", codes(F.col("line"), F.col("ranks")).alias("codes"))
-    shared = F.posexplode(F.slice("codes", F.lit(1), prefix_length(F.size("codes")))).alias("at", "code")
-    return coded.select("id", F.size("codes").alias("n"), parities(F.col("codes")).alias("bits"), shared).where(F.col("code") >= (1 << (63 - RANK_BITS)))
+    )
+    in_doc = placed.groupBy("k1", "k2", doc_key().alias("doc")).agg(F.min("line_no").alias("line"))
+    reps = in_doc.groupBy("k1", "k2").agg(F.min("doc").alias("doc"), F.min_by("line", "doc").alias("line"))
+    at = [doc_key() == F.col("doc"), F.col("line_no") == F.col("line"), *[F.col(f"p.{k}") == F.col(f"r.{k}") for k in ("k1", "k2")]]
+    sets = placed.alias("p").join(reps.alias("r"), at).select("r.k1", "r.k2", "doc", "line", "n", "bits", "prefix")
+    sets = sets.dropDuplicates(["k1", "k2", "doc", "line"])  # of repeated rows; partitioned and sorted by the join already
+    return placed.select("doc_id", "line_no", "k1", "k2"), keep(sets.withColumn("id", F.monotonically_increasing_id()), "line-classes")
 
 
 def can_link(a: str, b: str) -> Column:
@@ -108,24 +101,29 @@ def can_link(a: str, b: str) -> Column:
     total = x("n") + y("n")
     left = F.least(x("n") - x("at"), y("n") - y("at"))  # tokens from here on
     differ = F.bit_count(x("bits").bitwiseXOR(y("bits")))
-    return (x("id") < y("id")) & (t * F.least(x("n"), y("n")) >= s * F.greatest(x("n"), y("n"))) & ((s + t) * left >= s * total) & ((s + t) * (total - differ) >= 2 * s * total)
+    earlier = (x("doc") < y("doc")) | ((x("doc") == y("doc")) & (x("line") < y("line")))
+    return earlier & (t * F.least(x("n"), y("n")) >= s * F.greatest(x("n"), y("n"))) & ((s + t) * left >= s * total) & ((s + t) * (total - differ) >= 2 * s * total)
+
+
+INDEXED = ("id", "doc", "line", "n", "bits", "at")
+
+
+def index(sets: DataFrame) -> DataFrame:
+    """The codes of the classes' prefixes; those that stand for one occurrence in the whole corpus can meet nothing and are left out."""
+    return sets.select(*INDEXED[:-1], F.posexplode("prefix").alias("at", "code")).where(F.col("code") >= (1 << (63 - RANK_BITS)))
 
 
-def candidates(index: DataFrame) -> DataFrame:
-    """Pairs of classes, ``a`` before ``b``, that the prefix, length, positional and parity filters leave. Codes of one class only
-    meet nothing: they are counted (combined before the shuffle) and go before the join."""
-    index = keep(index, "line-index")
-    met = index.groupBy("code").agg(F.count("*").alias("k")).where("k > 1").select("code")
-    index = keep(index.join(met, "code"), "line-shared-index")
-    a, b = index.alias("a"), index.alias("b")
-    pairs = a.join(b, (F.col("a.code") == F.col("b.code")) & can_link("a", "b"))
-    return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+def candidates(sets: DataFrame) -> DataFrame:
+    """Pairs of classes, ``a`` before ``b``, that the prefix, length, positional and parity filters leave."""
+    a, b = index(sets).alias("a"), index(sets).alias("b")
+    met = a.join(b, (F.col("a.code") == F.col("b.code")) & can_link("a", "b"))
+    return met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
-def links(docs: DataFrame, sets: DataFrame, ranks: Column) -> DataFrame:
+def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """All linked pairs of classes, ``a`` before ``b``: the candidates that their words confirm."""
     s, t = SIMILARITY
-    pairs = keep(candidates(prefixes(docs, sets, ranks)), "line-candidates")
+    pairs = keep(candidates(sets), "line-candidates")
     chosen = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(sets, "id")
     chosen = keep(chosen.select("id", "doc", F.col("line").alias("line_at")), "line-chosen")
     few = small(chosen, chosen.count(), BROADCAST_LINES)
@@ -140,8 +138,8 @@ def links(docs: DataFrame, sets: DataFrame, ranks: Column) -> DataFrame:
 def judge(docs: DataFrame, n_links: bool = False) -> DataFrame:
     """Every line with a word: its class (place of the first line), and whether it is kept. With ``n_links`` also the number of
     classes that its class is linked to, earlier and later ones."""
-    placed, sets, ranks = classes(docs)
-    found = keep(links(docs, sets, ranks), "line-links")
+    placed, sets = classes(docs)
+    found = keep(links(docs, sets), "line-links")
     ends = found.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.lit(False).alias("later")), F.struct(F.col("b").alias("id"), F.lit(True).alias("later")))).alias("e"))
     linked = ends.select("e.*").groupBy("id").agg(F.count("*").alias("n_links"), F.max("later").alias("later"))
     known = sets.join(linked, "id", "left").select("k1", "k2", "doc", "line", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("later", F.lit(False)).alias("later"))
